@@ -33,7 +33,7 @@ WORD = 62
 def _day_words(day: Column, first: date, n_words: int) -> list[Column]:
     at = F.datediff(day, F.lit(first))
     return [
-        F.bit_or(F.when(F.floor(at / WORD) == w, F.shiftleft(F.lit(1).cast("bigint"), F.pmod(at, F.lit(WORD)).cast("int"))).otherwise(F.lit(0).cast("bigint"))).alias(f"__w{w}")
+        F.bit_or(F.when(F.floor(at / WORD) == w, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(at, F.lit(WORD)).cast("int"))).otherwise(F.lit(0).cast("bigint"))).alias(f"__w{w}")
         for w in range(n_words)
     ]
 
