@@ -61,10 +61,11 @@ def range_counters(pairs: DataFrame, groups: list[str], patterns: list[tuple[boo
     per_id = combos.groupBy("field", "id", "pattern", *groups).agg(*[F.bit_or(w).alias(w) for w in words])
     # identifiers with one set of days count together before days are listed
     sets = per_id.groupBy("field", "pattern", *groups, *words).agg(F.count(F.lit(1)).alias("__n"))
-    days = F.concat(*[
-        F.filter(F.sequence(F.lit(i * WORD), F.lit(i * WORD + WORD - 1)), lambda d, w=w, i=i: F.getbit(F.col(w), d - F.lit(i * WORD)) == 1)
-        for i, w in enumerate(words)
-    ])
+
+    def days_of(i: int) -> Column:
+        return F.filter(F.sequence(F.lit(i * WORD), F.lit(i * WORD + WORD - 1)), lambda d: F.getbit(F.col(words[i]), d - F.lit(i * WORD)) == 1)
+
+    days = F.concat(*map(days_of, range(n_words)))
     steps = sets.withColumn("__d", days).select(
         "field", "pattern", *groups, "__n",
         F.explode(F.transform("__d", lambda d, i: F.struct(d.alias("day"), F.when(i == 0, F.lit(-1)).otherwise(F.get(F.col("__d"), i - 1)).alias("prev")))).alias("s"),
