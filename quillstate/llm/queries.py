@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstate.llm import distinct, frequent, percentiles, seen
+from quillstate.llm import distinct, frequent, mixture, percentiles, pii, seen, tokens
 from quillstate.session import cut, table
 
 
@@ -200,6 +200,63 @@ WITH l AS (
 u AS (SELECT * FROM l WHERE c9 IS NOT NULL AND c9 <> -1 AND v IS NOT NULL AND NOT isnan(v)),
 """
 
+# ---- p6: encoding -----------------------------------------------------------------------
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(table(spark, d, "documents")).select("doc_id", "ids")
+
+
+def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Texts, tokens, and texts that decoding does not give back (0 where all is well)."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    ids = cut(tokens.encode(docs))
+    back = tokens.decode(ids).select("doc_id", F.col("text").alias("decoded"))
+    both = docs.join(back, "doc_id").join(ids.select("doc_id", F.size("ids").alias("n")), "doc_id")
+    return both.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens"), F.count(F.when(F.coalesce("text", F.lit("")) != F.col("decoded"), 1)).alias("n_changed"))
+
+
+# ---- p7: mixing ---------------------------------------------------------------------------
+
+
+def _p7_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of the documents of listed sources, counted once."""
+    listed = table(spark, d, "mix_target").select("source").where("source is not null").distinct()
+    docs = table(spark, d, "documents").select("doc_id", "source", "text").join(listed, "source", "left_semi")
+    counts = tokens.token_counts(docs)
+    return cut(docs.select("doc_id", "source").join(counts, "doc_id"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    report, plan, _ = mixture.mix(_p7_sizes(spark, d), table(spark, d, "mix_target"))
+    return mixture.short_sources(report, plan).select("source")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    sizes, targets = _p7_sizes(spark, d), table(spark, d, "mix_target")
+    report, plan, _ = mixture.mix(sizes, targets)
+    return mixture.shares(report, plan, mixture.doc_blocks(sizes, targets))
+
+
+def p7_schedule(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mix(_p7_sizes(spark, d), table(spark, d, "mix_target"))[1]
+
+
+def p7_corpus(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mix(_p7_sizes(spark, d), table(spark, d, "mix_target"))[2]
+
+
+# ---- p8: personal information ---------------------------------------------------------------
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(table(spark, d, "documents"), table(spark, d, "name_parts")).select("doc_id", "kind", "pii")
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(table(spark, d, "documents"), table(spark, d, "name_parts"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_counts": p1_counts,
@@ -210,6 +267,14 @@ QUERIES = {
     "p3_counts": p3_counts,
     "p4_found": p4_found,
     "p4_rank_error": p4_rank_error,
+    "p6_ids": p6_ids,
+    "p6_round_trip": p6_round_trip,
+    "p7_found": p7_found,
+    "p7_shares": p7_shares,
+    "p7_schedule": p7_schedule,
+    "p7_corpus": p7_corpus,
+    "p8_found": p8_found,
+    "p8_redacted": p8_redacted,
 }
 
 ORACLE = {
