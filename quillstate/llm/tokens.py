@@ -64,11 +64,19 @@ def _lists(ids: list[list[int]]) -> pa.Array:
 
 
 def _encode_words(path: str):
+    """Adds the ids to (block, word) rows sorted by word; a word is encoded where its run begins."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
+        last, last_ids = None, []
         for b in batches:
-            words = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists([enc.encode_ordinary(w) for w in words])], ["word", "ids"])
+            coded = b.column("word").dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            if not words:
+                continue
+            ids = [last_ids if w == last else enc.encode_ordinary(w) for w in words]
+            last, last_ids = words[-1], ids[-1]
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("word"), _lists(ids).take(coded.indices)], ["at", "word", "ids"])
 
     return run
 
@@ -132,20 +140,19 @@ def _split(blocks: DataFrame) -> DataFrame:
 
 
 def word_table(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame, int]:
-    """The block texts, and ``block, word, ids`` of each block's distinct words."""
+    """The block texts, and ``at`` (the block), ``word, ids`` of each block's distinct words."""
     path = path or default_vocabulary()
     blocks, n_parts = _blocks(docs)
     used = blocks.select("block", F.explode(_words()).alias("word")).distinct()
-    used = used.repartition(max(n_parts, shuffle_partitions(docs.sparkSession)), "word")
-    words = used.select("word").distinct().mapInArrow(_encode_words(path), "word string, ids array<int>")
-    return blocks, used.join(words.hint("shuffle_hash"), "word"), n_parts
+    sorted_ = used.repartition(max(n_parts, shuffle_partitions(docs.sparkSession)), "word").sortWithinPartitions("word")
+    return blocks, sorted_.mapInArrow(_encode_words(path), "at bigint, word string, ids array<int>"), n_parts
 
 
 def _encode(docs: DataFrame, path: str | None, counts_only: bool) -> DataFrame:
     path = path or default_vocabulary()
     blocks, table, n_parts = word_table(docs, path)
     left = _split(blocks).select("block", "doc_id", F.coalesce("words", F.array().cast("array<string>")).alias("words"), F.when(F.col("words").isNull(), F.col("text")).alias("raw"))
-    right = table.select(F.col("block").alias("at"), "word", "ids").repartition(n_parts, "at")
+    right = table.repartition(n_parts, "at")
     run, out = _join_block(path, counts_only), ("n_tokens bigint" if counts_only else "ids array<int>")
     id_type = dict(docs.dtypes)["doc_id"]
     some = left.groupBy("block").cogroup(right.groupBy("at")).applyInArrow(lambda a, b: run(a, b), f"doc_id {id_type}, {out}")
