@@ -22,14 +22,16 @@ def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     Rows are reduced to (score, positives, negatives) first; ranks are running totals over
     distinct scores, in two levels, so no window holds all rows.
     """
-    per = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(score).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.sum(1 - F.col(label).cast("bigint")).alias("n"))
-    parts = per.repartitionByRange(F.col(score)).withColumn("__c", F.spark_partition_id())
+    y = F.col(label).cast("bigint")
+    per = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("__s")).agg(F.sum(y).alias("__p"), F.sum(1 - y).alias("__n"))
+    parts = per.repartitionByRange(F.col("__s")).withColumn("__c", F.spark_partition_id())
     before = Window.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
-    base = parts.groupBy("__c").agg(F.sum("n").alias("__t")).select("__c", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__base"))
-    inside = Window.partitionBy("__c").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    below = F.col("__base") + F.coalesce(F.sum("n").over(inside), F.lit(0))
-    won = parts.join(F.broadcast(base), "__c").withColumn("__w", F.col("p") * (below + F.col("n") / 2))
-    return won.agg((F.try_divide(F.sum("__w"), F.sum("p").cast("double") * F.sum("n"))).alias("auc"))
+    base = parts.groupBy("__c").agg(F.sum("__n").alias("__t")).select("__c", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__base"))
+    inside = Window.partitionBy("__c").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("__base") + F.coalesce(F.sum("__n").over(inside), F.lit(0))
+    # one row per partition on the small side
+    won = parts.join(F.broadcast(base), "__c").withColumn("__w", F.col("__p") * (below + F.col("__n") / 2))
+    return won.agg(F.try_divide(F.sum("__w"), F.sum("__p").cast("double") * F.sum("__n")).alias("auc"))
 
 
 def error_rate(df: DataFrame, label: str, p: str) -> DataFrame:

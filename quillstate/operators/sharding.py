@@ -11,7 +11,7 @@ def shard_of(key: Column, n: int) -> Column:
 
 
 def local_of(key: Column, n: int) -> Column:
-    return F.floor(key / F.lit(n)).cast("bigint") if n == 1 else F.call_function("div", key, F.lit(n).cast("bigint"))
+    return F.call_function("div", key, F.lit(n).cast("bigint"))
 
 
 def key_of(local: Column, shard: Column, n: int) -> Column:

@@ -28,8 +28,8 @@ def read_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_days(spark: SparkSession, path: str, sparse: T.DataType | None = None) -> DataFrame:
-    """A folder of ``day_<n>`` files with its day number; missing numbers are 0. Files are split by Spark."""
-    rows = spark.read.schema(schema(sparse or T.LongType())).option("sep", "\t").option("pathGlobFilter", "day_*").csv(path)
+    """A folder of ``day_<n>`` files (or folders of files) with its day number; missing numbers are 0. Files are split by Spark."""
+    rows = spark.read.schema(schema(sparse or T.LongType())).option("sep", "\t").csv(f"{path.rstrip('/')}/day_*")
     return rows.fillna(0, subset=DENSE).withColumn("day_n", F.regexp_extract(F.input_file_name(), r"day_(\d+)", 1).cast("int"))
 
 

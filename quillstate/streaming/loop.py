@@ -18,6 +18,8 @@ def train_batch(store: Store, variable_id: int, batch: DataFrame, batch_id: int,
     ``gradient`` turns the batch with its ``weights`` into rows ``key, grad``. The batch reads
     the committed version, and its commit is the only write.
     """
+    if store.version is not None and batch_id < store.version:
+        return False
     v = store.variables[variable_id]
     state = store.read(variable_id)
     keys = batch.withColumnRenamed(key, "key") if key != "key" else batch
