@@ -13,8 +13,8 @@ prefixes; the last pass counts full values. No pass holds more than
   currently largest prefixes (a pilot count), which can only rise.
 
 Defined results: NULL and -1 ids are no values (the caller filters them with
-``keyed_totals.present``-like predicates or passes ``missing``); NULL key columns other
-than the item group as a value of their own; a value counts once for every stored row;
+a predicate); a NULL field is a field of its own, and NULL in another key column is a
+value of its own; a value counts once for every stored row;
 ties at rank k are broken by the key columns in ascending order; an empty table gives no
 rows. Only the named columns are read, so extra columns cannot clash.
 """
@@ -48,7 +48,12 @@ def _small(df: DataFrame) -> DataFrame:
 
 def _below(rows: DataFrame, survivors: DataFrame, field: str, bits: int) -> DataFrame:
     s = survivors.select(F.col(field).alias("__f"), F.col("__p").alias("__sp"))
-    return rows.join(s, (F.col(field) == F.col("__f")) & (_prefix(bits) == F.col("__sp")), "left_semi")
+    return rows.join(s, F.col(field).eqNullSafe(F.col("__f")) & (_prefix(bits) == F.col("__sp")), "left_semi")
+
+
+def _with(left: DataFrame, right: DataFrame, field: str) -> DataFrame:
+    """Columns of a one-row-per-field table beside the rows of that field, a NULL field included."""
+    return left.join(right.withColumnRenamed(field, "__f"), F.col(field).eqNullSafe(F.col("__f"))).drop("__f")
 
 
 def _counts(rows: DataFrame, field: str, bits: int) -> DataFrame:
@@ -58,7 +63,7 @@ def _counts(rows: DataFrame, field: str, bits: int) -> DataFrame:
 def frequent_by_share(df: DataFrame, field: str, keys: list[str], min_share: str, step_bits: int = 14, prefix_bits: int = 28) -> DataFrame:
     """All values with at least ``min_share`` (decimal string) of the rows of their field.
 
-    Returns ``field, *keys, n_rows, field_rows``; the counts are exact. ``field`` must not be NULL.
+    Returns ``field, *keys, n_rows, field_rows``; the counts are exact.
     """
     share = Fraction(min_share)
     rows = _hashed(df, field, keys)
@@ -69,14 +74,14 @@ def frequent_by_share(df: DataFrame, field: str, keys: list[str], min_share: str
             w = Window.partitionBy(field)  # at most 2**step_bits counters per field
             counted = counted.withColumn("__total", F.sum("__n").over(w))
         else:
-            counted = counted.join(totals, field)
+            counted = _with(counted, totals, field)
         kept = counted.where(F.col("__n") * F.lit(share.denominator) >= F.col("__total") * F.lit(share.numerator))
         survivors = _small(kept.select(field, "__p", "__total"))
         totals = F.broadcast(survivors.select(field, "__total").distinct())  # one row a field
         bits += step_bits
     full = _below(rows, survivors, field, bits - step_bits).groupBy(field, *keys).agg(F.count(F.lit(1)).alias("n_rows"))
     return (
-        full.join(totals, field)
+        _with(full, totals, field)
         .where(F.col("n_rows") * F.lit(share.denominator) >= F.col("__total") * F.lit(share.numerator))
         .withColumnRenamed("__total", "field_rows")
     )
@@ -98,8 +103,8 @@ def frequent_by_rank(df: DataFrame, field: str, keys: list[str], k: int, step_bi
             .agg(F.when(F.count(F.lit(1)) == k, F.min("__n")).otherwise(F.lit(1)).alias("__lower"))
         )
         bound = lower if bound is None else _small(bound.unionByName(lower).groupBy(field).agg(F.max("__lower").alias("__lower")))
-        survivors = _small(counted.join(bound, field).where(F.col("__n") >= F.col("__lower")).select(field, "__p"))
+        survivors = _small(_with(counted, bound, field).where(F.col("__n") >= F.col("__lower")).select(field, "__p"))
         bits += step_bits
     full = _below(rows, survivors, field, bits - step_bits).groupBy(field, *keys).agg(F.count(F.lit(1)).alias("n_rows"))
     w = Window.partitionBy(field).orderBy(F.col("n_rows").desc(), *keys)
-    return full.join(bound, field).where(F.col("n_rows") >= F.col("__lower")).drop("__lower").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return _with(full, bound, field).where(F.col("n_rows") >= F.col("__lower")).drop("__lower").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
