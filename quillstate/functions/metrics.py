@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstate.session import cut
+
 
 def sigmoid(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
@@ -24,7 +26,8 @@ def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """
     y = F.col(label).cast("bigint")
     per = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("__s")).agg(F.sum(y).alias("__p"), F.sum(1 - y).alias("__n"))
-    parts = per.repartitionByRange(F.col("__s")).withColumn("__c", F.spark_partition_id())
+    # the bounds of the ranges are sampled: both passes have to read the same ranges
+    parts = cut(per.repartitionByRange(F.col("__s")).withColumn("__c", F.spark_partition_id()))
     before = Window.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
     base = parts.groupBy("__c").agg(F.sum("__n").alias("__t")).select("__c", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__base"))
     inside = Window.partitionBy("__c").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstate.operators.keyed_totals import vector_totals
+from quillstate.operators.sharding import row_numbers
 
 #: Up to this dimension a vector is summed as one column per element.
 FIXED_DIM = 128
@@ -41,13 +42,16 @@ def mean_gradient(reduced: DataFrame) -> DataFrame:
 def unique_inverse(df: DataFrame, pos: str, key: str, groups: list[str] | None = None) -> DataFrame:
     """Every position with the number of its key in first-seen order (``inverse``, from 0).
 
-    First positions are reduced per key before they are numbered, and numbering is done
-    over distinct keys only.
+    First positions are reduced per key before they are numbered, and distinct keys are
+    numbered by ranges. Rows with a NULL key or group have no number and are not returned.
     """
     groups = groups or []
     first = df.groupBy(*groups, key).agg(F.min(pos).alias("__first"))
-    numbered = first.withColumn("inverse", (F.row_number().over(Window.partitionBy(*groups).orderBy("__first")) - 1).cast("bigint"))
-    return df.join(numbered.drop("__first"), [*groups, key])
+    numbered = row_numbers(first, [*groups, "__first"], "inverse").drop("__first")
+    if groups:
+        base = numbered.groupBy(*groups).agg(F.min("inverse").alias("__base"))
+        numbered = numbered.join(base, groups).withColumn("inverse", F.col("inverse") - F.col("__base")).drop("__base")
+    return df.join(numbered.withColumn("inverse", F.col("inverse").cast("bigint")), [*groups, key])
 
 
 def pull_totals(df: DataFrame, variable: str, key: str) -> DataFrame:

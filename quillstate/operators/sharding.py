@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstate.session import cut
+
 
 def shard_of(key: Column, n: int) -> Column:
     return F.pmod(key, F.lit(n).cast("bigint")).cast("int")
@@ -54,9 +56,11 @@ def row_numbers(df: DataFrame, order: list[str], name: str) -> DataFrame:
 
     Rows are range partitioned on the order columns; each partition's size is counted and
     the running total is joined back, so only one row per partition meets in one place.
+    Range bounds come from a sample, so the partitioned rows are written once and both
+    passes read what was written. Rows that tie in all order columns are numbered in any order.
     """
     cols = [F.col(c) for c in order]
-    parts = df.repartitionByRange(*cols).withColumn("__part", F.spark_partition_id())
+    parts = cut(df.repartitionByRange(*cols).withColumn("__part", F.spark_partition_id()))
     sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))

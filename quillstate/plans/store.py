@@ -1,15 +1,18 @@
 """Versioned keyed state on a shared file system.
 
     root/<storage>/v=<version>/variable_id=<id>/shard=<s>/*.parquet
-    root/<storage>/_current        the committed version
+    root/<storage>/_manifests/<version>   the folder version of every variable
+    root/<storage>/_current               the committed version
 
-A version is written whole and becomes visible by renaming the pointer; readers resolve the
-pointer once per query. Versions are immutable, so no locks are needed, a failed or lost
+A version writes the variables it changes and refers to the folders of the others; it
+becomes visible by renaming the pointer, and readers resolve the pointer once per query. Versions are immutable, so no locks are needed, a failed or lost
 task leaves no trace, and a replayed batch is a no-op.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,30 +118,42 @@ class Store:
     def _dir(self, version: int, variable_id: int) -> str:
         return f"{self.files.root}/{self.storage}/v={version}/variable_id={variable_id}"
 
+    def _manifest(self, version: int | None) -> dict[int, int]:
+        if version is None or not self.files.exists(self.storage, "_manifests", version):
+            return {}
+        return {int(k): v for k, v in json.loads(self.files.read(self.storage, "_manifests", version)).items()}
+
     def read(self, variable_id: int, version: int | None = None) -> DataFrame:
         """A variable's rows at a version (the committed one); a late batch also reads the committed version."""
-        version = self.version if version is None else version
-        if version is None or not self.files.exists(self.storage, f"v={version}", f"variable_id={variable_id}"):
+        folder = self._manifest(self.version if version is None else version).get(variable_id)
+        if folder is None:
             return self.spark.createDataFrame([], self._schema(variable_id))
-        return self.spark.read.schema(self._schema(variable_id) + ", shard int").parquet(self._dir(version, variable_id)).drop("shard")
+        return self.spark.read.schema(self._schema(variable_id) + ", shard int").parquet(self._dir(folder, variable_id)).drop("shard")
 
     def _write(self, version: int, variable_id: int, state: DataFrame) -> None:
         sharded = by_shard(state.withColumn("shard", shard_of(F.col("key"), self.shard_num)), self.shard_num)
         sharded.write.mode("overwrite").partitionBy("shard").parquet(self._dir(version, variable_id))
 
-    def _commit(self, version: int) -> None:
+    def _commit(self, version: int, base: int | None, changed: list[int]) -> None:
+        manifest = self._manifest(base) | dict.fromkeys(changed, version)
+        self.files.write(json.dumps(manifest), self.storage, "_manifests", version)
         self.files.write(str(version), self.storage, "_current")
+        used: set[int] = set()
+        for name in self.files.names(self.storage, "_manifests"):
+            if name.isdigit() and int(name) < version - self.retain:
+                self.files.delete(self.storage, "_manifests", name)
+            elif name.isdigit():
+                used |= set(self._manifest(int(name)).values())
         for name in self.files.names(self.storage):
-            if name.startswith("v=") and int(name[2:]) < version - self.retain:
+            if name.startswith("v=") and int(name[2:]) not in used:
                 self.files.delete(self.storage, name)
 
     def _replace(self, changed: int, state: DataFrame) -> None:
-        """A new version in which one variable is replaced and the others are copied."""
+        """A new version in which one variable is replaced."""
         base = self.version
         version = 0 if base is None else base + 1
-        for i in self.variables:
-            self._write(version, i, state if i == changed else self.read(i, base))
-        self._commit(version)
+        self._write(version, changed, state)
+        self._commit(version, base, [changed])
 
     def clear(self, variable_id: int) -> None:
         """No rows, same configuration."""
@@ -162,16 +177,17 @@ class Store:
         if base is not None and batch_id < base:
             return False
         self.check_ahead(batch_id)
-        version = batch_id + 1
+        version, changed = batch_id + 1, []
         for i, v in self.variables.items():
-            state = self.read(i, base)
             grads, keys = reduced.get(i), (pulled or {}).get(i)
-            if grads is None and keys is not None:
+            if grads is None and keys is None:
+                continue
+            if grads is None:
                 grads = self.spark.createDataFrame([], "key bigint, grad array<double>, cnt bigint")
-            if grads is not None:
-                state = apply_gradients(state, grads, v.optimizer, v.initializer, v.meta.embedding_dim, keys)
+            state = apply_gradients(self.read(i, base), grads, v.optimizer, v.initializer, v.meta.embedding_dim, keys)
             self._write(version, i, state)
-        self._commit(version)
+            changed.append(i)
+        self._commit(version, base, changed)
         return True
 
     def drop(self) -> None:

@@ -63,6 +63,8 @@ def test_push_reduce(spark, dim):
 def test_unique_inverse_and_dense(spark):
     df = spark.createDataFrame([(0, 7), (1, 3), (2, 7), (3, 9), (4, 3)], "pos int, key bigint")
     assert [r.inverse for r in gradients.unique_inverse(df, "pos", "key").orderBy("pos").collect()] == [0, 1, 0, 2, 1]
+    two = df.withColumn("v", F.pmod("pos", F.lit(2)))
+    assert [r.inverse for r in gradients.unique_inverse(two, "pos", "key", ["v"]).orderBy("pos").collect()] == [0, 0, 0, 1, 1]
     reduced = spark.createDataFrame([(1, [4.0], 2), (2, [1.0], 0)], "key bigint, grad array<double>, cnt bigint")
     assert [(r.key, r.grad, r.cnt) for r in gradients.dense_gradient(reduced, 3, 1).orderBy("key").collect()] == [(0, [0.0], 0), (1, [4.0], 2), (2, [1.0], 0)]
     assert [r.grad for r in gradients.mean_gradient(reduced).orderBy("key").collect()] == [[2.0], [None]]

@@ -41,7 +41,7 @@ def test_versions_and_limits(spark, tmp_path):
     for b in range(6):
         s.store(b, {}, {0: spark.range(b + 1).withColumnRenamed("id", "key")})
     assert s.version == 6
-    assert s.files.names("storage_0") == ["_current", "v=4", "v=5", "v=6"]
+    assert s.files.names("storage_0") == ["_current", "_manifests", "v=4", "v=5", "v=6"]
     assert s.read(0, 4).count() == 4 and s.read(0).count() == 6
     s.clear(0)
     assert s.read(0).count() == 0
@@ -49,6 +49,18 @@ def test_versions_and_limits(spark, tmp_path):
     assert s.version is None
 
 
+def test_unchanged_variables_are_referred_to(spark, tmp_path):
+    s = make(spark, tmp_path)
+    s.create_variable(Variable(1, "C1", VariableMeta("float64", 2)))
+    ones = spark.range(3).withColumnRenamed("id", "key")
+    s.store(0, {}, {0: ones, 1: ones})
+    for b in range(1, 6):
+        s.store(b, {}, {0: spark.range(3 + b).withColumnRenamed("id", "key")})
+    assert s.read(0).count() == 8 and s.read(1).count() == 3 and s.read(0, 5).count() == 7
+    assert s.files.names("storage_0", "v=1") == ["variable_id=0", "variable_id=1"] and s.files.names("storage_0", "v=6") == ["variable_id=0"]
+    assert s.files.names("storage_0") == ["_current", "_manifests", "v=1", "v=4", "v=5", "v=6"]
+
+
 def test_meta_guard(spark, tmp_path):
     s = make(spark, tmp_path)
     with pytest.raises(StateError, match="does not match"):
