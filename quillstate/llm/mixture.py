@@ -21,7 +21,7 @@ shares are 0. Weights and repeats of a NULL target are 0.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK_TOKENS = 4096
@@ -77,10 +77,19 @@ def schedule(report: DataFrame, n_slots: int, block_tokens: int = BLOCK_TOKENS)
 
     ``report``: rows of ``source_sizes`` (one per listed source).
     """
-    spark = report.sparkSession
-    rows = sorted(report.select("source", "weight", "max_repeats", "source_tokens").limit(MAX_SOURCES + 1).collect())
+    return _schedule(report.sparkSession, _few(report), n_slots, block_tokens)
+
+
+def _few(report: DataFrame) -> list:
+    """The rows of a report, which are as few as the listed sources."""
+    rows = report.limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} listed sources")
+    return rows
+
+
+def _schedule(spark: SparkSession, report: list, n_slots: int, block_tokens: int) -> DataFrame:
+    rows = sorted((r.source, r.weight, r.max_repeats, r.source_tokens) for r in report)
     intervals, upto = [], 0.0
     for source, weight, repeats, size in rows:
         intervals.append(F.struct(F.lit(upto).alias("lo"), F.lit(upto + weight).alias("hi"), F.lit(source).alias("source"), F.lit(-(-size // block_tokens)).cast("bigint").alias("b"), F.lit(repeats).alias("m")))
@@ -101,15 +110,18 @@ def schedule(report: DataFrame, n_slots: int, block_tokens: int = BLOCK_TOKENS)
     return ranked.select("slot", "source", F.when(F.col("__use").isNotNull(), F.pmod("__r", "__b")).alias("block"), F.col("__use").alias("use"))
 
 
-def slot_count(report: DataFrame, block_tokens: int = BLOCK_TOKENS) -> int:
-    total = report.agg(F.max("all_tokens")).first()[0] or 0
-    return int(-(-total // block_tokens))
+def plan_mix(sizes: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
+    """The target report and the slot schedule. The report, one row per listed source, is computed once."""
+    found = source_sizes(sizes, targets)
+    rows = _few(found)
+    report = found.sparkSession.createDataFrame(rows, found.schema).coalesce(1)
+    n_slots = -(-max([r.all_tokens for r in rows], default=0) // block_tokens)
+    return report, _schedule(found.sparkSession, rows, n_slots, block_tokens)
 
 
 def mix(sizes: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The target report, the slot schedule, and the mixed corpus (``slot, use, source, doc_id, n_tokens``)."""
-    report = source_sizes(sizes, targets)
-    plan = schedule(report, slot_count(report, block_tokens), block_tokens)
+    report, plan = plan_mix(sizes, targets, block_tokens)
     docs = doc_blocks(sizes, targets, block_tokens)
     corpus = plan.where(F.col("block").isNotNull()).join(docs, ["source", "block"]).select("slot", "use", "source", "doc_id", "n_tokens")
     return report, plan, corpus

@@ -223,23 +223,22 @@ def _p7_sizes(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of the documents of listed sources, counted once."""
     listed = table(spark, d, "mix_target").select("source").where("source is not null").distinct()
     docs = table(spark, d, "documents").select("doc_id", "source", "text").join(listed, "source", "left_semi")
-    counts = tokens.token_counts(docs)
-    return cut(docs.select("doc_id", "source").join(counts, "doc_id"))
+    return cut(tokens.token_counts(docs, keep=["source"]))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    report, plan, _ = mixture.mix(_p7_sizes(spark, d), table(spark, d, "mix_target"))
+    report, plan = mixture.plan_mix(_p7_sizes(spark, d), table(spark, d, "mix_target"))
     return mixture.short_sources(report, plan).select("source")
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     sizes, targets = _p7_sizes(spark, d), table(spark, d, "mix_target")
-    report, plan, _ = mixture.mix(sizes, targets)
+    report, plan = mixture.plan_mix(sizes, targets)
     return mixture.shares(report, plan, mixture.doc_blocks(sizes, targets))
 
 
 def p7_schedule(spark: SparkSession, d: str) -> DataFrame:
-    return mixture.mix(_p7_sizes(spark, d), table(spark, d, "mix_target"))[1]
+    return mixture.plan_mix(_p7_sizes(spark, d), table(spark, d, "mix_target"))[1]
 
 
 def p7_corpus(spark: SparkSession, d: str) -> DataFrame:

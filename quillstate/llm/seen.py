@@ -110,7 +110,7 @@ def first_occurrences(stream: DataFrame, known: DataFrame | None, keys: list[str
         firsts = firsts.unionByName(
             seeds.select("part", F.lit(-1).alias("batch"), "h", "stream", F.lit(None).cast("bigint").alias("rec"), F.lit(None).cast("int").alias("pos"))
         )
-    placed = firsts.repartition(1 << pbits, "part").sortWithinPartitions("part", "batch", "h", "rec", "pos")
+    placed = firsts.repartitionById(1 << pbits, F.col("part")).sortWithinPartitions("part", "batch", "h", "rec", "pos")
     return placed.mapInPandas(_first_occurrences(universe), "stream string, rec bigint, pos int")
 
 

@@ -1,7 +1,7 @@
 """Token ids of a whole corpus under a public byte-level BPE, by a table of distinct words.
 
 Merges of a byte-level BPE never cross the words its split pattern makes, so a text's ids
-are the ids of its words in a row. Texts are gathered in blocks of about ``BLOCK_BYTES``;
+are the ids of its words in a row. Texts are gathered in blocks of some megabytes;
 words are split in Spark by the vocabulary's own pattern; each block sends its distinct
 words once; each distinct word of the corpus is encoded once; the (block, word, ids) rows
 go back to their blocks, where ids are joined to the words by position. The shuffles carry
@@ -13,7 +13,8 @@ the JVM holds for unassigned are encoded whole by the tokenizer itself, in their
 
 Defined results: a NULL or an empty text has no ids (an empty list); a NULL ``doc_id`` is
 kept; repeated ids stay separate rows; strings of special tokens are ordinary text; an
-empty table gives no rows. Only ``doc_id`` and ``text`` are used, so other columns cannot clash.
+empty table gives no rows. Only ``doc_id``, ``text`` and the columns named by ``keep``, which
+come out beside the result, are used, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -29,7 +30,10 @@ from pyspark.sql import functions as F
 
 from quillstate.session import shuffle_partitions
 
-BLOCK_BYTES = 4_000_000
+#: Blocks grow with the corpus between these sizes: larger blocks repeat fewer words between them.
+BLOCK_BYTES, MAX_BLOCK_BYTES = 1_000_000, 32_000_000
+#: Texts one partition of the gathered blocks should hold at most.
+PARTITION_BYTES = 256_000_000
 #: The split pattern of the vocabulary. ``S`` is Unicode White_Space, which the JVM's \s is not.
 _S = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
@@ -94,7 +98,7 @@ def _gather(words: pa.Array, known: pa.Array, ids: pa.ListArray) -> tuple[np.nda
     return flat[where].astype(np.int32), sizes
 
 
-def _join_block(path: str, counts_only: bool):
+def _join_block(path: str, carried: list[str], out: str):
     def run(docs: pa.Table, table: pa.Table) -> pa.Table:
         doc_words = docs.column("words").combine_chunks()
         words, bounds = doc_words.flatten(), doc_words.offsets.to_numpy() - doc_words.offsets[0].as_py()
@@ -112,63 +116,63 @@ def _join_block(path: str, counts_only: bool):
             for i, x in zip(odd, own):
                 parts[i] = x
             ids, n = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
-        if counts_only:
-            return pa.table({"doc_id": docs.column("doc_id"), "n_tokens": pa.array(n, pa.int64())})
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(ids, pa.int32()))
-        return pa.table({"doc_id": docs.column("doc_id"), "ids": lists})
+        made = {c: docs.column(c) for c in carried}
+        if out == "n_tokens":
+            return pa.table({**made, out: pa.array(n, pa.int64())})
+        return pa.table({**made, out: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(ids, pa.int32()))})
 
     return run
 
 
-def _blocks(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Texts by block: ``block, doc_id, text``, moved once; blocks hold about ``BLOCK_BYTES``."""
+def _blocks(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, int]:
+    """Texts by block: ``block, doc_id, text`` and kept columns, moved once."""
     spark = docs.sparkSession
-    texts = docs.select("doc_id", "text").where(F.octet_length("text") > 0)
+    texts = docs.select("doc_id", "text", *[F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)]).where(F.octet_length("text") > 0)
     size = texts.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
-    n_blocks = max(1, -(-size // BLOCK_BYTES))
-    n_parts = max(1, min(n_blocks, max(shuffle_partitions(spark), n_blocks // 4)))
+    parts = max(shuffle_partitions(spark), -(-size // PARTITION_BYTES))
+    n_blocks = max(1, -(-size // min(MAX_BLOCK_BYTES, max(BLOCK_BYTES, size // (2 * parts)))))
+    n_parts = min(n_blocks, parts)
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks))
-    return texts.select(block.alias("block"), "doc_id", "text").repartition(n_parts, "block"), n_parts
+    return texts.withColumn("block", block).repartition(n_parts, "block"), n_parts
 
 
 def _words() -> Column:
     return F.when(~F.col("text").rlike(r"\p{Cn}"), F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)))
 
 
-def _split(blocks: DataFrame) -> DataFrame:
-    return blocks.select("block", "doc_id", "text", _words().alias("words"))
-
-
-def word_table(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame, int]:
+def word_table(docs: DataFrame, path: str | None = None, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame, int]:
     """The block texts, and ``at`` (the block), ``word, ids`` of each block's distinct words."""
     path = path or default_vocabulary()
-    blocks, n_parts = _blocks(docs)
+    blocks, n_parts = _blocks(docs, keep or [])
     used = blocks.select("block", F.explode(_words()).alias("word")).distinct()
     sorted_ = used.repartition(max(n_parts, shuffle_partitions(docs.sparkSession)), "word").sortWithinPartitions("word")
     return blocks, sorted_.mapInArrow(_encode_words(path), "at bigint, word string, ids array<int>"), n_parts
 
 
-def _encode(docs: DataFrame, path: str | None, counts_only: bool) -> DataFrame:
+def _encode(docs: DataFrame, path: str | None, keep: list[str], counts_only: bool) -> DataFrame:
     path = path or default_vocabulary()
-    blocks, table, n_parts = word_table(docs, path)
-    left = _split(blocks).select("block", "doc_id", F.coalesce("words", F.array().cast("array<string>")).alias("words"), F.when(F.col("words").isNull(), F.col("text")).alias("raw"))
+    blocks, table, n_parts = word_table(docs, path, keep)
+    kept = [f"keep{i}" for i in range(len(keep))]
+    split = blocks.select("block", "doc_id", *kept, "text", _words().alias("words"))
+    left = split.select("block", "doc_id", *kept, F.coalesce("words", F.array().cast("array<string>")).alias("words"), F.when(F.col("words").isNull(), F.col("text")).alias("raw"))
     right = table.repartition(n_parts, "at")
-    run, out = _join_block(path, counts_only), ("n_tokens bigint" if counts_only else "ids array<int>")
-    id_type = dict(docs.dtypes)["doc_id"]
-    some = left.groupBy("block").cogroup(right.groupBy("at")).applyInArrow(lambda a, b: run(a, b), f"doc_id {id_type}, {out}")
+    out = ("n_tokens", "bigint") if counts_only else ("ids", "array<int>")
+    run, types = _join_block(path, ["doc_id", *kept], out[0]), dict(docs.dtypes)
+    schema = ", ".join([f"doc_id {types['doc_id']}", *[f"{k} {types[c]}" for k, c in zip(kept, keep)], " ".join(out)])
+    some = left.groupBy("block").cogroup(right.groupBy("at")).applyInArrow(lambda a, b: run(a, b), schema)
     none = F.lit(0).cast("bigint").alias("n_tokens") if counts_only else F.array().cast("array<int>").alias("ids")
-    empty = docs.where(F.col("text").isNull() | (F.octet_length("text") == 0)).select("doc_id", none)
-    return some.unionByName(empty)
+    empty = docs.where(F.col("text").isNull() | (F.octet_length("text") == 0)).select("doc_id", *keep, none)
+    return some.select("doc_id", *[F.col(k).alias(c) for k, c in zip(kept, keep)], out[0]).unionByName(empty)
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``doc_id, ids`` of every row of ``docs``."""
-    return _encode(docs, path, counts_only=False)
+def encode(docs: DataFrame, path: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """``doc_id, *keep, ids`` of every row of ``docs``."""
+    return _encode(docs, path, keep or [], counts_only=False)
 
 
-def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``doc_id, n_tokens`` of every row of ``docs``."""
-    return _encode(docs, path, counts_only=True)
+def token_counts(docs: DataFrame, path: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """``doc_id, *keep, n_tokens`` of every row of ``docs``."""
+    return _encode(docs, path, keep or [], counts_only=True)
 
 
 def pieces(spark: SparkSession, path: str | None = None) -> DataFrame:

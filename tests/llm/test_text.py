@@ -26,6 +26,8 @@ def test_ids(spark, odd, monkeypatch, block):
     assert sorted(((r.doc_id, list(r.ids)) for r in got), key=key) == want
     counts = sorted(((r.doc_id, r.n_tokens) for r in tokens.token_counts(odd).collect()), key=key)
     assert counts == [(i, len(x)) for i, x in want]
+    kept = tokens.token_counts(odd.withColumn("words", F.col("text")), keep=["block", "words"]).collect()
+    assert len(kept) == len(ODD) and all(r.block == "clash" and r.n_tokens == len(enc.encode_ordinary(r.words or "")) for r in kept)
 
 
 def test_decode_and_empty(spark, odd):
