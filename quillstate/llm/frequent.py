@@ -77,7 +77,7 @@ def frequent_by_share(df: DataFrame, field: str, keys: list[str], min_share: str
             counted = _with(counted, totals, field)
         kept = counted.where(F.col("__n") * F.lit(share.denominator) >= F.col("__total") * F.lit(share.numerator))
         survivors = _small(kept.select(field, "__p", "__total"))
-        totals = F.broadcast(survivors.select(field, "__total").distinct())  # one row a field
+        totals = _small(survivors.select(field, "__total").distinct())  # one row a field
         bits += step_bits
     full = _below(rows, survivors, field, bits - step_bits).groupBy(field, *keys).agg(F.count(F.lit(1)).alias("n_rows"))
     return (

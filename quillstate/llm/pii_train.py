@@ -57,6 +57,7 @@ NEGATIVE = [
     "Subject: [PATCH 1/2] Add {w} {w} support", "Subject: [PATCH v2] Revisit stale {w} defaults", "Move {w} handling out of {w}", "Revert \"Speed up {w} lookup\"", "This moves the {w} check before the {w} is opened.", "No functional change intended.", "static const uint32_t k{W}[] = {{0x{hex}, 0x{hex}}};", "self._{w} = {w}({d4})", "{w}={d4};var {w}=[{d4},{d3}];if({w}){{{w}()}}",
     "Behebe Absturz im {w} bei leerem {w}", "Räume alten {w}-Code auf", "Füge {w} für {w} hinzu", "Ajoute la prise en charge de {w}", "Le {w} gardait un {w} périmé après la première tentative.", "Mejora la gestión de {w}", "Sem mudança funcional.", "Keine Änderung am Verhalten.", "Исправлен {w} при пустом {w}", "Добавлена поддержка {w}", "最初の再試行の後、{w} に古い {w} が残っていました。", "{w} の不具合を修正", "古い {w} を削除", "動作の変更はありません。",
     "-----BEGIN SAMPLE PRIVATE KEY-----", "import {w}.{w}", "if {w} is None:", "Tested on {W} {ver}", "Bump {w} limit to {num}", "{W} {W} handled in {ver}", "Fix crash in {W} when {W} is empty", "See {two} notes, chapter {d2}", "Office hours moved to {town}", "git-svn-id: https://svn.example/{w}/trunk@{num} {uuid}", "Conflicts: src/{w}_{w}.py", "Closes: {num}, {num} and {num}",
+    "Merge commit '{d8}' into stable", "Merge commit '{sha}' into {w}", "This reverts commit {sha}.", "Subject: [PATCH] Merge commit '{d8}' into stable", "(cherry picked from commit {sha})", "Fixes: {sha} ({w} lookup)",
     "Reviewers: the {W} team", "Message-Id: <{ts}.{hex}@{w}.mailer>", "{d2} {W} and {d2} {W} left", "Street Fighter mode {d1} for {W}", "Run {d2} Main Loop iterations", "Lane {d2} stays open", "Drive {d1} of {d2}",
 ]
 
@@ -176,7 +177,7 @@ class Maker:
             "w": lambda: r.choice(NOUNS), "W": lambda: r.choice(NOUNS).capitalize(), "two": lambda: r.choice(TWO_WORDS), "town": lambda: r.choice(TOWNS), "place": self.place, "ver": ver, "num": lambda: str(r.randint(1, 9999)),
             "login": lambda: r.choice(LOGINS), "log": lambda: r.choice(LOGINS) + str(r.randint(1, 99)), "title": lambda: r.choice(["Dr.", "Frau", "Herr", "Mr.", "Ms.", "Prof.", "Mrs.", "Sra."]), "trailer": lambda: r.choice(["Signed-off-by", "Reviewed-by", "Tested-by", "Acked-by", "Reported-by", "Co-authored-by"]),
             "date": lambda: f"2015-0{r.randint(1, 9)}-{r.randint(10, 28)}", "tick": lambda: f"{d(r.choice((3, 4)))}-{d(r.choice((2, 3)))}", "bld": lambda: f"{d(r.choice((4, 5)))}.{d(r.choice((2, 3, 4)))}", "b3": lambda: f"{d(r.choice((3, 4)))}.{d(r.choice((2, 3)))}.{d(r.choice((2, 3)))}",
-            "ts": lambda: r.choice([d(10), d(10) + "." + d(3), d(10) + "000"]), "ord": lambda: f"{d(r.choice((3, 4)))}-{d(r.choice((2, 3)))}-{d(r.choice((5, 6, 7)))}", "uuid": lambda: f"{hexa(8)}-{hexa(4)}-{hexa(4)}-{hexa(4)}-{hexa(12)}", "hex": lambda: hexa(r.choice((8, 12))), "rnd": lambda: rnd,
+            "ts": lambda: r.choice([d(10), d(10) + "." + d(3), d(10) + "000"]), "ord": lambda: f"{d(r.choice((3, 4)))}-{d(r.choice((2, 3)))}-{d(r.choice((5, 6, 7)))}", "uuid": lambda: f"{hexa(8)}-{hexa(4)}-{hexa(4)}-{hexa(4)}-{hexa(12)}", "hex": lambda: hexa(r.choice((8, 12))), "sha": lambda: r.choice([hexa(8), hexa(40), d(8), d(7), hexa(12)]), "rnd": lambda: rnd,
         }
         if slot in made:
             return made[slot]()
