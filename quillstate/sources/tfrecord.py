@@ -3,19 +3,19 @@
 A record is a little-endian length, its masked CRC-32C, the message, and the message's
 masked CRC-32C. Messages hold a map of features: lists of bytes, floats (packed) or 64-bit
 integers (varints). Only flat columns are read and written: integers, floats, strings.
-Files are the unit of work: a file is streamed by one task, record by record.
+Files are the unit of work: a file is streamed by one task, record by record, through the
+file systems that pyarrow knows.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 RECORDS_PER_FILE = 1_000_000
 
@@ -138,121 +138,73 @@ def unframe(stream, verify: bool = True) -> Iterator[bytes]:
 
 
 def _open(path: str):
+    """File system and path of a URI or a plain path, as Python tasks see them."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
 
-class TfRecordSource(DataSource):
-    """Format ``tfrecord``. Options: ``path``, ``recordsPerFile``, ``verify`` (checksums on reading)."""
+def write(df: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> int:
+    """Record files of at most ``records_per_file`` records; returns their number.
 
-    @classmethod
-    def name(cls) -> str:
-        return "tfrecord"
+    Tasks write below ``_temporary``; when all are done the files of successful attempts are
+    moved into place, so a retried task leaves nothing behind.
+    """
+    names, temporary = df.columns, f"{path.rstrip('/')}/_temporary"
 
-    def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _Reader(self.options, schema)
-
-    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options, schema, overwrite)
-
-
-class _Reader(DataSourceReader):
-    """One task per file; records are streamed in batches."""
-
-    def __init__(self, options: dict, schema: T.StructType):
-        self.path, self.schema = options["path"], schema
-        self.verify = str(options.get("verify", "true")).lower() != "false"
-
-    def partitions(self) -> list[InputPartition]:
-        from pyarrow import fs
-
-        system, root = _open(self.path)
-        info = system.get_file_info(root)
-        found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root, recursive=True))
-        names = [f.path for f in found if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")) and "tfrecord" in f.base_name]
-        return [InputPartition(n) for n in sorted(names)]
-
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        system, _ = _open(self.path)
-        kinds = [(f.name, pa.string() if isinstance(f.dataType, T.StringType) else pa.float64() if isinstance(f.dataType, T.DoubleType) else pa.float32() if isinstance(f.dataType, T.FloatType) else pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.int64()) for f in self.schema]
-
-        def batch(rows: list[dict]) -> pa.RecordBatch:
-            cols = [pa.array([v.decode() if isinstance(v := r.get(n), bytes) else v for r in rows], k) for n, k in kinds]
-            return pa.RecordBatch.from_arrays(cols, [n for n, _ in kinds])
-
-        held: list[dict] = []
-        with system.open_input_stream(partition.value) as stream:
-            for message in unframe(stream, self.verify):
-                held.append(decode_example(message))
-                if len(held) == 10_000:
-                    yield batch(held)
-                    held = []
-        if held:
-            yield batch(held)
-
-
-@dataclass
-class _Written(WriterCommitMessage):
-    files: list
-
-
-class _Writer(DataSourceWriter):
-    """Every task writes files of its own; a failed job's files are taken away again."""
-
-    def __init__(self, options: dict, schema: T.StructType, overwrite: bool):
-        self.path, self.names, self.overwrite = options["path"], schema.fieldNames(), overwrite
-        self.limit = int(options.get("recordsPerFile", RECORDS_PER_FILE))
-
-    def write(self, iterator) -> WriterCommitMessage:
-        import uuid
-
-        system, root = _open(self.path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = _open(temporary)
         system.create_dir(root, recursive=True)
-        files, out, n, tag = [], None, 0, uuid.uuid4().hex[:12]
-        try:
-            for row in iterator:
-                if out is None or n == self.limit:
+        tag, files, out, n = uuid.uuid4().hex, [], None, 0
+        for b in batches:
+            for row in b.to_pylist():
+                if out is None or n == records_per_file:
                     if out is not None:
                         out.close()
-                    files.append(f"{root}/part-{tag}-{len(files):05d}.tfrecord")
-                    out, n = system.open_output_stream(files[-1]), 0
-                out.write(frame(encode_example({c: row[i] for i, c in enumerate(self.names)})))
+                    files.append(f"part-{tag}-{len(files):05d}.tfrecord")
+                    out, n = system.open_output_stream(f"{root}/{files[-1]}"), 0
+                out.write(frame(encode_example({c: row[c] for c in names})))
                 n += 1
-        finally:
-            if out is not None:
-                out.close()
-        return _Written(files)
-
-    def commit(self, messages) -> None:
-        from pyarrow import fs
-
-        system, root = _open(self.path)
-        system.create_dir(root, recursive=True)
-        if self.overwrite:
-            kept = {f for m in messages if m for f in m.files}
-            for f in system.get_file_info(fs.FileSelector(root)):
-                if f.type == fs.FileType.File and f.path not in kept:
-                    system.delete_file(f.path)
-        with system.open_output_stream(f"{root}/_SUCCESS"):
-            pass
-
-    def abort(self, messages) -> None:
-        system, _ = _open(self.path)
-        for f in (f for m in messages if m for f in m.files):
-            system.delete_file(f)
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(TfRecordSource)
-
-
-def write(df: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
-    register(df.sparkSession)
-    df.write.format("tfrecord").option("recordsPerFile", records_per_file).mode("append").save(path)
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array(files, pa.string())], ["file"])
+
+    written = [r.file for r in df.mapInArrow(run, "file string").collect()]  # one name per file
+    system, root = _open(path)
+    system.create_dir(root, recursive=True)
+    for f in written:
+        system.move(f"{root}/_temporary/{f}", f"{root}/{f}")
+    if written:
+        system.delete_dir(f"{root}/_temporary")
+    with system.open_output_stream(f"{root}/_SUCCESS"):
+        pass
+    return len(written)
 
 
 def read(spark: SparkSession, path: str, schema: T.StructType, verify: bool = True) -> DataFrame:
-    """Rows of record files; a feature that a record lacks is NULL."""
-    register(spark)
-    return spark.read.format("tfrecord").schema(schema).option("verify", str(verify)).load(path)
+    """Rows of record files; a feature that a record lacks is NULL. One task streams a file record by record."""
+    kinds = [(f.name, pa.string() if isinstance(f.dataType, T.StringType) else pa.float64() if isinstance(f.dataType, T.DoubleType) else pa.float32() if isinstance(f.dataType, T.FloatType) else pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.int64()) for f in schema]
+
+    def batch(rows: list[dict]) -> pa.RecordBatch:
+        cols = [pa.array([v.decode() if isinstance(v := r.get(n), bytes) else v for r in rows], k) for n, k in kinds]
+        return pa.RecordBatch.from_arrays(cols, [n for n, _ in kinds])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                system, at = _open(name)
+                held: list[dict] = []
+                with system.open_input_stream(at) as stream:
+                    for message in unframe(stream, verify):
+                        held.append(decode_example(message))
+                        if len(held) == 10_000:
+                            yield batch(held)
+                            held = []
+                if held:
+                    yield batch(held)
+
+    # only the paths are read here; contents are streamed by the tasks
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tfrecord*").load(path).select("path")
+    return files.mapInArrow(run, schema)
