@@ -272,14 +272,18 @@ def apply_to_arrays(opt: Optimizer, weights: Column, slots: Column, grad: Column
 # ---- ordered folds ---------------------------------------------------------------------------
 
 
-def fold(opt: Optimizer, gradients: Column, w0: Column) -> Column:
-    """struct(w, slots..., scalars...) after updating one weight by an ordered array of gradients."""
+def start(opt: Optimizer, w0: Column) -> Column:
+    """struct(w, slots..., scalars...) of one weight before any update."""
+    return F.struct(w0.cast("double").alias("w"), *[_l(v).alias(s) for s, v in {**opt.slots(), **opt.scalars()}.items()])
+
+
+def fold(opt: Optimizer, gradients: Column, state: Column) -> Column:
+    """The state of one weight, as ``start`` makes it, after an ordered array of gradients."""
     names, scalars = list(opt.slots()), list(opt.scalars())
-    zero = F.struct(w0.cast("double").alias("w"), *[_l(v).alias(s) for s, v in {**opt.slots(), **opt.scalars()}.items()])
 
     def merge(acc: Column, g: Column) -> Column:
         moved = opt.advance({s: acc[s] for s in scalars})
         done = opt.step({"w": acc["w"], "g": g, "count": _l(1), **{s: acc[s] for s in names}, **moved})
         return F.struct(done["w"].alias("w"), *[done[s].alias(s) for s in names], *[moved[s].alias(s) for s in scalars])
 
-    return F.aggregate(gradients, zero, merge)
+    return F.aggregate(gradients, state, merge)

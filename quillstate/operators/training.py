@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstate.operators.initializers import initializer
-from quillstate.operators.optimizers import apply_to_arrays, fold, fresh_slots, optimizer
+from quillstate.operators.optimizers import apply_to_arrays, fold, fresh_slots, optimizer, start
+from quillstate.session import cut
+
+#: Gradients of one key that one task folds at a time.
+CHUNK = 1 << 16
 
 
 def empty_state(spark, opt_config: dict, datatype: str = "double") -> DataFrame:
@@ -37,13 +41,36 @@ def apply_gradients(state: DataFrame, reduced: DataFrame, opt_config: dict, init
     return based.select("key", after.alias("n")).select("key", F.col("n.weights").cast(kind).alias("weights"), F.col("n.slots").alias("slots"))
 
 
-def train_ordered(df: DataFrame, key: str, order: list[str], gradient: Column, opt_config: dict, w0: float = 0.0) -> DataFrame:
-    """Per key, the weight and slots after updating it by its gradients in the given order.
+def train_ordered(df: DataFrame, key: str, order: list[str], gradient: Column, opt_config: dict, w0: float = 0.0, chunk: int = CHUNK) -> DataFrame:
+    """Per key, ``n_steps``, the weight and the slots after updating it by its gradients in order.
 
-    Keys are independent, so the fold is partitioned by key. A key's gradients are folded
-    in one array: this is for keys whose history fits a task; the micro-batch loop is the
-    way for keys that hold a share of all rows.
+    Keys are independent, so the fold is partitioned by key. A key's history is folded in
+    chunks of at most ``chunk`` gradients, each starting from the state after the one before
+    (numbering a history sorts and spills, it holds nothing), so no task ever collects more
+    than a chunk. Only keys with longer histories take further rounds.
     """
+    opt = optimizer(opt_config)
     entry = F.struct(*[F.col(c) for c in order], gradient.cast("double").alias("__g"))
-    lists = df.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("__l"))
-    return lists.select(key, F.size("__l").alias("n_steps"), fold(optimizer(opt_config), F.transform("__l", lambda x: x["__g"]), F.lit(w0)).alias("s")).select(key, "n_steps", "s.*")
+    longest = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    rounds = -(-longest // chunk)
+    begin = start(opt, F.lit(w0))
+
+    def lists(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(key).agg(F.array_sort(F.collect_list("__e")).alias("__l")).select(F.col(key), F.size("__l").cast("bigint").alias("__n"), F.transform("__l", lambda x: x["__g"]).alias("__g"))
+
+    if rounds <= 1:
+        done = lists(df.select(key, entry.alias("__e"))).select(key, F.col("__n").alias("n_steps"), fold(opt, F.col("__g"), begin).alias("s"))
+        return done.select(key, "n_steps", "s.*")
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
+    rows = cut(df.select(key, entry.alias("__e"), F.floor(place / chunk).alias("__c")))
+    state = None
+    for c in range(rounds):
+        part = lists(rows.where(F.col("__c") == c))
+        if state is None:
+            new = part.select(key, F.col("__n").alias("n_steps"), fold(opt, F.col("__g"), begin).alias("s"))
+        else:
+            both = state.join(part.withColumnRenamed(key, "__key"), F.col(key).eqNullSafe(F.col("__key")), "left")
+            more = F.coalesce("__g", F.array().cast("array<double>"))
+            new = both.select(key, (F.col("n_steps") + F.coalesce("__n", F.lit(0))).alias("n_steps"), fold(opt, more, F.col("s")).alias("s"))
+        state = cut(new)
+    return state.select(key, "n_steps", "s.*")

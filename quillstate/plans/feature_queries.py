@@ -179,8 +179,8 @@ def cumulative_cache_hit(spark, d):
 
 def trace_rollup(spark, d):
     e = table(spark, d, "events").select(F.concat(F.lit("op:"), "event_type").alias("name"), F.col("event_id").cast("double").alias("ts"), F.col("value").alias("dur"))
-    # traces come as JSON documents of many events
-    docs = e.groupBy(F.pmod(F.col("ts"), F.lit(20)).alias("f")).agg(F.to_json(F.struct(F.collect_list(F.struct("name", "ts", "dur")).alias("traceEvents"))).alias("value"))
+    # traces come as JSON documents of up to a hundred events
+    docs = e.groupBy(F.floor(F.col("ts") / 100).alias("f")).agg(F.to_json(F.struct(F.collect_list(F.struct("name", "ts", "dur")).alias("traceEvents"))).alias("value"))
     return analysis.trace_rollup(profiling.trace_events(docs, "value"))
 
 

@@ -241,7 +241,7 @@ def _train(name: str):
     def run(spark, d):
         category = "sgd" if name == "momentum" else name
         got = train_ordered(table(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("value") / 100 - 2, {"category": category, **TRAIN[name][0]})
-        return got.select("user_id", F.col("n_steps").cast("bigint").alias("n_steps"), _r("w").alias("w"))
+        return got.select("user_id", "n_steps", _r("w").alias("w"))
 
     return run
 

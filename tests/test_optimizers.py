@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstate.operators.optimizers import apply_to_arrays, fresh_slots, from_layer_config, optimizer
-from quillstate.operators.training import apply_gradients
+from quillstate.operators.training import apply_gradients, train_ordered
 from quillstate.types import StateError
 
 CONFIGS = [{"category": "default"}, {"category": "default", "learning_rate": 0.3}, {"category": "test"}, {"category": "test", "flip": 3, "learning_rate": 1}]
@@ -108,3 +108,14 @@ def test_names_and_options():
         optimizer({"category": "nadam"})
     with pytest.warns(UserWarning):
         optimizer({"category": "sgd", "nonsense": 1})
+
+
+@pytest.mark.parametrize("config", [{"category": "adam"}, {"category": "sgd", "momentum": 0.9}, {"category": "test"}], ids=lambda c: c["category"])
+def test_long_histories_are_folded_in_chunks(spark, config):
+    rng = np.random.default_rng(4)
+    rows = [(k, i, float(g)) for k, n in ((1, 23), (2, 5), (None, 11), (3, 1)) for i, g in enumerate(rng.uniform(-1, 1, n))]
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "key bigint, at int, g double").withColumn("w", F.lit("clash"))
+    once = {r.key: (r.n_steps, r.w) for r in train_ordered(df, "key", ["at"], F.col("g"), config, 1.0).collect()}
+    parts = {r.key: (r.n_steps, r.w) for r in train_ordered(df, "key", ["at"], F.col("g"), config, 1.0, chunk=4).collect()}
+    assert once == parts and {k: n for k, (n, _) in once.items()} == {1: 23, 2: 5, None: 11, 3: 1}
+    assert train_ordered(df.limit(0), "key", ["at"], F.col("g"), config).count() == 0
