@@ -209,10 +209,8 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Texts, tokens, and texts that decoding does not give back (0 where all is well)."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    ids = cut(tokens.encode(docs))
-    back = tokens.decode(ids).select("doc_id", F.col("text").alias("decoded"))
-    both = docs.join(back, "doc_id").join(ids.select("doc_id", F.size("ids").alias("n")), "doc_id")
+    ids = tokens.encode(table(spark, d, "documents"), keep=["text"])
+    both = tokens.decode(ids.withColumn("n", F.size("ids")), keep=["text", "n"], out="decoded")
     return both.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens"), F.count(F.when(F.coalesce("text", F.lit("")) != F.col("decoded"), 1)).alias("n_changed"))
 
 

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstate.session import shuffle_partitions
@@ -175,19 +175,50 @@ def token_counts(docs: DataFrame, path: str | None = None, keep: list[str] | Non
     return _encode(docs, path, keep or [], counts_only=True)
 
 
-def pieces(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """The vocabulary as ``id, piece`` (its bytes in hexadecimal); its size is that of the file."""
-    ranks = load_ranks(path or default_vocabulary())
-    return spark.createDataFrame([(i, b.hex()) for b, i in ranks.items()], "id int, piece string")
+_PIECES: dict = {}
 
 
-def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """``doc_id, text`` from ``doc_id, ids``: an id-to-piece join, pieces put in order per text.
+def pieces(path: str) -> pa.Array:
+    """The bytes of every id of the vocabulary, in order of the ids; its size is that of the file."""
+    if path not in _PIECES:
+        ranks = load_ranks(path)
+        table: list = [None] * (max(ranks.values()) + 1)
+        for piece, i in ranks.items():
+            table[i] = piece
+        _PIECES[path] = pa.array(table, pa.binary())
+    return _PIECES[path]
 
-    An empty list decodes to an empty text, a NULL list to NULL; ``doc_id`` must be unique.
+
+def _join_pieces(ids: pa.ListArray, table: pa.Array) -> pa.Array:
+    """Texts of lists of ids: every id is joined to its piece, a text is the bytes between its first and last."""
+    found = table.take(ids.flatten())
+    if found.null_count:
+        raise ValueError("an id has no piece")
+    sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    bounds = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+    _, offsets, data = found.buffers()
+    starts = np.frombuffer(offsets, np.int32)[found.offset : found.offset + len(found) + 1] if len(found) else np.zeros(1, np.int32)
+    texts = pa.Array.from_buffers(pa.string(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(starts[bounds])), data if data is not None else pa.py_buffer(b"")])
+    texts.validate(full=True)
+    return pc.if_else(ids.is_valid(), texts, pa.scalar(None, pa.string()))
+
+
+def decode(encoded: DataFrame, path: str | None = None, keep: list[str] | None = None, out: str = "text") -> DataFrame:
+    """``doc_id, *keep`` and the text of ``ids``, by a join of ids to pieces.
+
+    The vocabulary is fixed, so the join needs no shuffle: every task holds the pieces in order
+    of their ids. An empty list decodes to an empty text, a NULL list to NULL; an id outside the
+    vocabulary raises.
     """
-    table = F.broadcast(pieces(encoded.sparkSession, path))  # one row per vocabulary entry, whatever the corpus
-    each = encoded.select("doc_id", F.posexplode("ids").alias("pos", "id")).join(table, "id")
-    joined = each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("p"))
-    text = F.decode(F.unhex(F.array_join(F.transform("p", lambda x: x["piece"]), "")), "UTF-8")
-    return encoded.select("doc_id", F.when(F.col("ids").isNotNull(), F.lit("")).alias("__e")).join(joined, "doc_id", "left").select("doc_id", F.coalesce(text, "__e").alias("text"))
+    path, keep = path or default_vocabulary(), keep or []
+    kept = [f"keep{i}" for i in range(len(keep))]
+    types = dict(encoded.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pieces(path)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ["doc_id", *kept]], _join_pieces(b.column("ids"), table)], ["doc_id", *kept, "decoded"])
+
+    schema = ", ".join([f"doc_id {types['doc_id']}", *[f"{k} {types[c]}" for k, c in zip(kept, keep)], "decoded string"])
+    rows = encoded.select("doc_id", *[F.col(c).alias(k) for k, c in zip(kept, keep)], "ids").mapInArrow(run, schema)
+    return rows.select("doc_id", *[F.col(k).alias(c) for k, c in zip(kept, keep)], F.col("decoded").alias(out))

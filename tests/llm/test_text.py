@@ -34,6 +34,10 @@ def test_decode_and_empty(spark, odd):
     single = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
     back = {r.doc_id: r.text for r in tokens.decode(tokens.encode(single)).collect()}
     assert back == {i: t or "" for i, t in ODD if i is not None}
+    some = spark.createDataFrame([(1, [31373], "k"), (1, [], "k"), (None, None, None)], "doc_id bigint, ids array<int>, decoded string")
+    assert [tuple(r) for r in tokens.decode(some, keep=["decoded"]).collect()] == [(1, "k", "hello"), (1, "k", ""), (None, None, None)]
+    with pytest.raises(Exception, match="out of bounds"):
+        tokens.decode(spark.createDataFrame([(1, [60000])], "doc_id int, ids array<int>")).collect()
     assert tokens.encode(odd.limit(0)).count() == 0 and tokens.encode(odd.where("text is null")).collect()[0].ids == []
 
 
