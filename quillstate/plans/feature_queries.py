@@ -218,6 +218,12 @@ def error_rate(spark, d):
     return metrics.error_rate(_scored(spark, d), "y", "p").select(F.round("error_rate", 6).alias("error_rate"))
 
 
+def metric_average(spark, d):
+    """A metric per worker, averaged over workers."""
+    rows = table(spark, d, "events").select(F.pmod("event_id", F.lit(4)).alias("worker"), (F.col("event_type") == "purchase").cast("double").alias("y"))
+    return rows.groupBy("worker").agg(F.avg("y").alias("m")).agg(F.round(F.avg("m"), 6).alias("metric"))
+
+
 def _event_vectors(spark, d):
     emb = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("weights"))
     keys = table(spark, d, "events").select("event_id", "value", F.explode(F.array(F.col("user_id"), F.col("user_id") * 2, F.pmod(F.col("event_id"), F.lit(500)))).alias("key"))
@@ -236,7 +242,7 @@ def lr_forward(spark, d):
 QUERIES = {f.__name__: f for f in (
     fill_missing, column_prefix, minmax_scale, standardise, label_encode_sorted, label_encode_first_seen, hash_bucket_share, mod_bucket, offset_encode, hash_encode, row_replicate, hex_parse,
     batch_assign, train_test_split, column_cardinality, init_uniform, init_normal, csv_roundtrip, tsv_hex_scan, day_files_scan, tfrecord_roundtrip, vocabulary_meta, record_files,
-    batch_locality, cumulative_cache_hit, trace_rollup, log_pivot, epoch_logs, logloss, auc, error_rate, fm_second_order, lr_forward,
+    batch_locality, cumulative_cache_hit, trace_rollup, log_pivot, epoch_logs, logloss, auc, error_rate, metric_average, fm_second_order, lr_forward,
 )}
 
 _NAN0 = "CASE WHEN {0} IS NULL OR isnan({0}) THEN 0 ELSE {0} END"
@@ -306,6 +312,7 @@ SELECT event_type AS "case", MIN(value) FILTER (event_id % 4 = 0) AS np1, MIN(va
 r AS (SELECT y, RANK() OVER (ORDER BY p) + (COUNT(*) OVER (PARTITION BY p) - 1) / 2.0e0 AS k FROM s)
 SELECT ROUND((SUM(k) FILTER (y = 1) - SUM(y) * (SUM(y) + 1) / 2.0e0) / (CAST(SUM(y) AS DOUBLE) * SUM(1 - y)), 6) AS auc FROM r""",
     "error_rate": _SCORED + "SELECT ROUND(AVG(CASE WHEN floor(p + 0.5) <> y THEN 1.0e0 ELSE 0e0 END), 6) AS error_rate FROM s",
+    "metric_average": "SELECT ROUND(AVG(m), 6) AS metric FROM (SELECT event_id % 4 AS w, AVG(CASE WHEN event_type = 'purchase' THEN 1.0e0 ELSE 0e0 END) AS m FROM events GROUP BY 1)",
     "fm_second_order": _VECTORS + """,
 e AS (SELECT event_id, SUM(w[1]) s1, SUM(w[2]) s2, SUM(w[3]) s3, SUM(w[4]) s4, SUM(w[1]*w[1]+w[2]*w[2]+w[3]*w[3]+w[4]*w[4]) q FROM v GROUP BY event_id)
 SELECT event_id, ROUND(0.5e0 * (s1*s1+s2*s2+s3*s3+s4*s4 - q), 6) AS fm FROM e""",

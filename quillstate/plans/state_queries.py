@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstate.functions.features import cardinalities, request_hash
 from quillstate.operators import gradients, lookup, sharding
 from quillstate.operators.training import apply_gradients, train_ordered
 from quillstate.plans import store as st
 from quillstate.plans.catalog import Catalog, save_model
 from quillstate.session import shared_dir, table
+from quillstate.streaming.keyed import adagrad_stream
 from quillstate.streaming.loop import train_stream
 from quillstate.types import Variable, VariableMeta
 
@@ -393,7 +395,46 @@ def stream_train_sgd(spark, d):
     return s.read(0).select("key", _r(F.get("weights", F.lit(0)), 4).alias("w"))
 
 
+def stream_keyed_adagrad(spark, d):
+    """State kept by the stream itself; one micro-batch, so one update per key with its summed gradient."""
+    out = _work(spark, "keyed")
+    events = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    rows = adagrad_stream(events.select(F.col("user_id").alias("key"), (F.col("value") / 100).alias("grad")), 0.5)
+    q = rows.writeStream.outputMode("update").foreachBatch(lambda b, i: b.write.mode("append").parquet(out)).option("checkpointLocation", _work(spark, "keyed-checkpoint")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(out).select("key", _r("weight").alias("w"), _r("accum", 4).alias("a"), "n_updates")
+
+
+def hot_cold_rule(spark, d):
+    """Columns small enough to be replicated instead of looked up by shard."""
+    sizes = cardinalities(table(spark, d, "train100").select("C1", "C2", "C9", "C20"), ["C1", "C2", "C9", "C20"])
+    dense = F.col("cardinality") <= lookup.DENSE_ROWS
+    return sizes.select("column", "cardinality", dense.alias("dense"), (dense | (F.col("cardinality") < 4096)).alias("dense_at_4096"))
+
+
+def prefetch_match(spark, d):
+    """Requests whose list is that of their retry, by the hash of the ordered list."""
+    r = table(spark, d, "embedding_pull_items").where("indices is not null").select("request_id", "variable_id", request_hash(F.col("indices")).alias("h"))
+    per = r.groupBy("request_id", "variable_id", "h").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("n").agg(F.count(F.lit(1)).alias("n_requests"))
+
+
+def late_gradients(spark, d):
+    """Gradients pushed in two rounds of one step count once, in one update."""
+    from quillstate.api import Context
+
+    s = Context(spark, _work(spark, "late")).create_storage(4)
+    v = s.create_variable(-1, 2, "float64", optimizer={"category": "test", "learning_rate": 1.0}, initializer={"category": "constant", "value": 100.0})
+    g = _scalar_gradients(spark, d)
+    v.pull(_keys(spark, d, 7))
+    v.push(g.where("worker < 2"))
+    v.push(g.where("worker >= 2"))
+    s.update_weights()
+    return v.rows().select("key", _r(F.get("weights", F.lit(0))).alias("w0"))
+
+
 QUERIES = {f.__name__: f for f in (
+    stream_keyed_adagrad, hot_cold_rule, prefetch_match, late_gradients,
     pull_missing_default, pull_ordered, pull_new_keys, pull_multi_variable, pull_bounds_check, pull_broadcast, pull_ragged, pull_with_slots, num_items,
     shard_route, shard_balance, shard_roundtrip, shard_filter, worker_stride, worker_part,
     push_reduce, push_two_level, push_vector_reduce, push_vector_exploded, mean_gradient, dense_gradient, unique_inverse, pull_accumulators,
@@ -404,6 +445,15 @@ QUERIES = {f.__name__: f for f in (
 _NEWEST = "WITH s AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY variable_id, key ORDER BY work_id DESC) AS rn FROM checkpoint_rows WHERE work_id <> -1) WHERE rn = 1)"
 
 ORACLE = {
+    "stream_keyed_adagrad": """
+WITH g AS (SELECT user_id AS key, SUM(value / 100) AS g FROM events GROUP BY user_id)
+SELECT key, ROUND(-0.5e0 * g / (sqrt(0.1e0 + g * g) + 1e-7), 6) AS w, ROUND(0.1e0 + g * g, 4) AS a, CAST(1 AS BIGINT) AS n_updates FROM g""",
+    "hot_cold_rule": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", MAX({c}) + 1 AS cardinality, MAX({c}) + 1 <= 64 AS dense, MAX({c}) + 1 < 4096 AS dense_at_4096 FROM train100" for c in ("C1", "C2", "C9", "C20")),
+    "prefetch_match": """
+SELECT n, COUNT(*) AS n_requests FROM (SELECT request_id, variable_id, indices, COUNT(*) AS n FROM embedding_pull_items WHERE indices IS NOT NULL GROUP BY ALL) GROUP BY n""",
+    "late_gradients": """
+WITH g AS (SELECT user_id AS key, SUM(value / 100) AS g, COUNT(*) AS n FROM events GROUP BY user_id), k AS (SELECT DISTINCT user_id * 7 AS key FROM events)
+SELECT COALESCE(g.key, k.key) AS key, ROUND(CASE WHEN g.key IS NULL THEN 100 ELSE 100 + g.g / n + 10000 END, 6) AS w0 FROM g FULL JOIN k ON g.key = k.key""",
     "pull_missing_default": """
 SELECT event_id, user_id * 7 AS key, vec_id IS NULL AS is_new, ROUND(COALESCE(CAST(embedding[1] AS DOUBLE), 0), 6) AS w0, ROUND(COALESCE(CAST(embedding[64] AS DOUBLE), 0), 6) AS w63
 FROM events LEFT JOIN embeddings ON vec_id = user_id * 7""",
