@@ -1,11 +1,11 @@
 """Versioned keyed state on a shared file system.
 
     root/<storage>/v=<version>/variable_id=<id>/shard=<s>/*.parquet
-    root/<storage>/_manifests/<version>   the folder version of every variable
+    root/<storage>/_manifests/<version>   of every variable and shard, the version that wrote it
     root/<storage>/_current               the committed version
 
-A version writes the variables it changes and refers to the folders of the others; it
-becomes visible by renaming the pointer, and readers resolve the pointer once per query. Versions are immutable, so no locks are needed, a failed or lost
+A version writes the shards it touches and refers to the folders of the others; it becomes
+visible by renaming the pointer, and readers resolve the pointer once per query. Versions are immutable, so no locks are needed, a failed or lost
 task leaves no trace, and a replayed batch is a no-op.
 """
 
@@ -20,6 +20,7 @@ from quillstate.operators.lookup import pull
 from quillstate.operators.optimizers import fresh_slots, optimizer, slot_schema
 from quillstate.operators.sharding import by_shard, local_of, shard_of
 from quillstate.operators.training import apply_gradients
+from quillstate.session import cut
 from quillstate.types import StateError, Variable
 
 #: Pulls may run ahead of the committed version by less than this many batches.
@@ -118,24 +119,29 @@ class Store:
     def _dir(self, version: int, variable_id: int) -> str:
         return f"{self.files.root}/{self.storage}/v={version}/variable_id={variable_id}"
 
-    def _manifest(self, version: int | None) -> dict[int, int]:
+    def _manifest(self, version: int | None) -> dict[int, dict[int, int]]:
+        """variable -> shard -> the version that wrote it."""
         if version is None or not self.files.exists(self.storage, "_manifests", version):
             return {}
-        return {int(k): v for k, v in json.loads(self.files.read(self.storage, "_manifests", version)).items()}
+        raw = json.loads(self.files.read(self.storage, "_manifests", version))
+        return {int(i): {int(s): v for s, v in shards.items()} for i, shards in raw.items()}
 
-    def read(self, variable_id: int, version: int | None = None) -> DataFrame:
+    def read(self, variable_id: int, version: int | None = None, shards: list[int] | None = None) -> DataFrame:
         """A variable's rows at a version (the committed one); a late batch also reads the committed version."""
-        folder = self._manifest(self.version if version is None else version).get(variable_id)
-        if folder is None:
+        folders = self._manifest(self.version if version is None else version).get(variable_id, {})
+        paths = [f"{self._dir(v, variable_id)}/shard={s}" for s, v in sorted(folders.items()) if shards is None or s in shards]
+        if not paths:
             return self.spark.createDataFrame([], self._schema(variable_id))
-        return self.spark.read.schema(self._schema(variable_id) + ", shard int").parquet(self._dir(folder, variable_id)).drop("shard")
+        return self.spark.read.schema(self._schema(variable_id)).parquet(*paths)
 
-    def _write(self, version: int, variable_id: int, state: DataFrame) -> None:
+    def _write(self, version: int, variable_id: int, state: DataFrame) -> dict[int, int]:
+        """Writes rows by shard; the shards that have rows."""
         sharded = by_shard(state.withColumn("shard", shard_of(F.col("key"), self.shard_num)), self.shard_num)
         sharded.write.mode("overwrite").partitionBy("shard").parquet(self._dir(version, variable_id))
+        names = self.files.names(self.storage, f"v={version}", f"variable_id={variable_id}")
+        return {int(n.removeprefix("shard=")): version for n in names if n.startswith("shard=")}
 
-    def _commit(self, version: int, base: int | None, changed: list[int]) -> None:
-        manifest = self._manifest(base) | dict.fromkeys(changed, version)
+    def _commit(self, version: int, manifest: dict[int, dict[int, int]]) -> None:
         self.files.write(json.dumps(manifest), self.storage, "_manifests", version)
         self.files.write(str(version), self.storage, "_current")
         used: set[int] = set()
@@ -143,7 +149,7 @@ class Store:
             if name.isdigit() and int(name) < version - self.retain:
                 self.files.delete(self.storage, "_manifests", name)
             elif name.isdigit():
-                used |= set(self._manifest(int(name)).values())
+                used |= {v for shards in self._manifest(int(name)).values() for v in shards.values()}
         for name in self.files.names(self.storage):
             if name.startswith("v=") and int(name[2:]) not in used:
                 self.files.delete(self.storage, name)
@@ -152,8 +158,7 @@ class Store:
         """A new version in which one variable is replaced."""
         base = self.version
         version = 0 if base is None else base + 1
-        self._write(version, changed, state)
-        self._commit(version, base, [changed])
+        self._commit(version, self._manifest(base) | {changed: self._write(version, changed, state)})
 
     def clear(self, variable_id: int) -> None:
         """No rows, same configuration."""
@@ -177,17 +182,21 @@ class Store:
         if base is not None and batch_id < base:
             return False
         self.check_ahead(batch_id)
-        version, changed = batch_id + 1, []
+        version, manifest = batch_id + 1, self._manifest(base)
         for i, v in self.variables.items():
             grads, keys = reduced.get(i), (pulled or {}).get(i)
             if grads is None and keys is None:
                 continue
             if grads is None:
                 grads = self.spark.createDataFrame([], "key bigint, grad array<double>, cnt bigint")
-            state = apply_gradients(self.read(i, base), grads, v.optimizer, v.initializer, v.meta.embedding_dim, keys)
-            self._write(version, i, state)
-            changed.append(i)
-        self._commit(version, base, changed)
+            # both are needed twice: for the shards they touch, and for the update
+            grads, keys = cut(grads), cut(keys.select("key").where("key is not null").distinct()) if keys is not None else None
+            touched = grads.select("key") if keys is None else grads.select("key").unionByName(keys)
+            shards = [r[0] for r in touched.select(shard_of(F.col("key"), self.shard_num)).distinct().collect()]  # at most one per shard
+            state = apply_gradients(self.read(i, base, shards), grads, v.optimizer, v.initializer, v.meta.embedding_dim, keys)
+            kept = {s: w for s, w in manifest.get(i, {}).items() if s not in shards}
+            manifest[i] = kept | self._write(version, i, state)
+        self._commit(version, manifest)
         return True
 
     def drop(self) -> None:

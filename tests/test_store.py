@@ -61,6 +61,19 @@ def test_unchanged_variables_are_referred_to(spark, tmp_path):
     assert s.files.names("storage_0") == ["_current", "_manifests", "v=1", "v=4", "v=5", "v=6"]
 
 
+def test_untouched_shards_are_referred_to(spark, tmp_path):
+    s = make(spark, tmp_path, shards=4, initializer={"category": "constant", "value": 1.0}, optimizer={"category": "sgd", "learning_rate": 1.0})
+    s.upsert(0, spark.createDataFrame([(k, [float(k), 0.0]) for k in range(40)], "key bigint, weights array<double>"))
+    s.store(0, {0: spark.createDataFrame([(5, [1.0, 1.0], 1), (41, [1.0, 1.0], 1)], "key bigint, grad array<double>, cnt bigint")})
+    assert s.files.names("storage_0", "v=1", "variable_id=0") == ["_SUCCESS", "shard=1"]
+    got = weights(s.read(0))
+    assert got[5] == [4.0, -1.0] and got[41] == [0.0, 0.0] and len(got) == 41 and got[6] == [6.0, 0.0]
+    assert s._manifest(1)[0] == {0: 0, 1: 1, 2: 0, 3: 0}
+    with pytest.raises(StateError):
+        s.store(5000, {})
+    assert len(weights(s.read(0, shards=[2]))) == 10
+
+
 def test_meta_guard(spark, tmp_path):
     s = make(spark, tmp_path)
     with pytest.raises(StateError, match="does not match"):
