@@ -17,7 +17,8 @@ table answers every day range.
 Defined results: NULL and -1 identifiers are missing and count nowhere. In a combination
 a group column that is left out (NULL in the request) stands for all rows, those with a
 NULL group included; a requested value never matches a NULL group. A range with no rows
-counts 0. Rows without an event day belong to no range. An empty table counts 0 everywhere.
+counts 0; a range that begins before ``first`` counts from ``first`` on. Rows without an
+event day belong to no range. An empty table counts 0 everywhere.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ def range_counters(pairs: DataFrame, groups: list[str], patterns: list[tuple[boo
     column whether it is kept; ``pattern`` is its number as bits. ``prev`` and ``day`` are
     day numbers from ``first``; ``prev`` is -1 for a first day.
     """
-    n_words = (last - first).days // WORD + 1
+    n_words = max(0, (last - first).days) // WORD + 1
     words = [f"__w{w}" for w in range(n_words)]
     inside = pairs.where(F.col("day").between(F.lit(first), F.lit(last)) & F.col("id").isNotNull() & (F.col("id") != -1))
     # one exchange, on the hash of the identifier: all its pairs share a bucket from here on
@@ -79,7 +80,7 @@ def answer_ranges(counters: DataFrame, requests: DataFrame, key: str, groups: li
     r = requests.select(
         F.col(key).alias("__key"), F.col("field").alias("__field"), pattern.alias("__pattern"),
         *[F.col(g).alias(f"__{g}") for g in groups],
-        F.datediff("day_from", F.lit(first)).alias("__a"), F.datediff("day_to", F.lit(first)).alias("__b"),
+        F.greatest(F.lit(0), F.datediff("day_from", F.lit(first))).alias("__a"), F.datediff("day_to", F.lit(first)).alias("__b"),
     )
     cond = (F.col("__field") == F.col("field")) & (F.col("__pattern") == F.col("pattern"))
     for g in groups:

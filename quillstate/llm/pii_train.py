@@ -3,8 +3,8 @@
     python -m quillstate.llm.pii_train            # writes pii_weights.json
 
 Lines are made from forms with slots; a slot is filled by a generator of its kind, and its
-place is the label. Names, streets and numbers are invented here and differ from those of
-any corpus; in every line a random part of the name words counts as listed, so that the
+place is the label. Streets, numbers and most names are invented here; given names that are
+also words (Rose, Mark) are ordinary ones. In every line a random part of the name words counts as listed, so that the
 model learns to do without the list. The likelihood of the labelled segmentation is
 maximised by AdaGrad over the exact lattice of ``pii.candidates`` (forward and backward
 sums over the same states the decoder uses), with L2 shrinkage.

@@ -111,10 +111,13 @@ def _p3_counts(spark: SparkSession, d: str) -> DataFrame:
         F.to_date("event_ts").alias("day"), F.col("C9").alias("c9"), F.col("C20").alias("c20"), "label",
         F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("id")) for c in P3_FIELDS])).alias("x"),
     ).select("x.field", "x.id", "day", *_P3_GROUPS)
-    if span["a"] is None:
+    seen_days = log.agg(F.min(F.to_date("event_ts")).alias("a"), F.max(F.to_date("event_ts")).alias("b")).first()
+    if span["a"] is None or span["b"] is None or seen_days["a"] is None:
         return meta.withColumn("n_ids", F.lit(0).cast("bigint"))
-    counters = distinct.range_counters(pairs, _P3_GROUPS, sorted(tuple(x) for x in span["p"]), span["a"], span["b"])
-    return meta.join(distinct.answer_ranges(counters, meta, "meta_id", _P3_GROUPS, span["a"]), "meta_id")
+    # days that both a slice and the log have; one impossible date on either side widens nothing
+    first, last = max(span["a"], seen_days["a"]), min(span["b"], seen_days["b"])
+    counters = distinct.range_counters(pairs, _P3_GROUPS, sorted(tuple(x) for x in span["p"]), first, last)
+    return meta.join(distinct.answer_ranges(counters, meta, "meta_id", _P3_GROUPS, first), "meta_id")
 
 
 def p3_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -15,12 +15,13 @@ def test_ranges_and_combinations(spark):
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     rows = [("C1", pick([None, -1, 1, *range(40)]), FIRST + timedelta(int(rng.integers(-3, days + 3))), pick([None, 0, 1, -1]), pick([None, 0, 1])) for _ in range(3000)] + [("C1", 5, None, 0, 0)]
     pairs = spark.createDataFrame(rows, "field string, id bigint, day date, c9 bigint, label int").withColumn("pattern", F.lit(9)).withColumn("n_ids", F.lit(1))
-    asked = [(i, "C1", FIRST + timedelta(a), FIRST + timedelta(b), c9, label) for i, (a, b, c9, label) in enumerate((a, b, c9, label) for a, b in ((0, 0), (0, days - 1), (50, 70), (61, 62), (100, 149)) for c9 in (None, 0, -1, 7) for label in (None, 1))]
+    asked = [(i, "C1", FIRST + timedelta(a), FIRST + timedelta(b), c9, label) for i, (a, b, c9, label) in enumerate((a, b, c9, label) for a, b in ((0, 0), (-9, 30), (0, days - 1), (50, 70), (61, 62), (100, 149)) for c9 in (None, 0, -1, 7) for label in (None, 1))]
     asked.append((99, "C7", FIRST, FIRST, None, None))
     requests = spark.createDataFrame(asked, "meta_id int, field string, day_from date, day_to date, c9 bigint, label int")
     counters = distinct.range_counters(pairs, ["c9", "label"], [(False, False), (True, False), (False, True), (True, True)], FIRST, FIRST + timedelta(days - 1))
     got = {r.meta_id: r.n_ids for r in distinct.answer_ranges(counters, requests, "meta_id", ["c9", "label"], FIRST).collect()}
     for i, field, a, b, c9, label in asked:
+        a = max(a, FIRST)
         want = {r[1] for r in rows if r[0] == field and r[1] not in (None, -1) and r[2] and a <= r[2] <= b and c9 in (None, r[3]) and label in (None, r[4])}
         assert got[i] == len(want), (a, b, c9, label)
     empty = distinct.range_counters(pairs.limit(0), ["c9", "label"], [(False, False)], FIRST, FIRST)
