@@ -9,8 +9,8 @@ and kinds together. Text outside spans scores 0. The same lattice with sums in p
 maxima gives the likelihood by which the weights are trained (``pii_train``); they are
 shipped in ``pii_weights.json``.
 
-Lines without any candidate decode to nothing and are passed over by one pattern per line,
-so whole texts are read, but only the few lines that could hold something are scored.
+Every line is decoded: no pattern narrower than the candidates stands before the model. What
+a line's candidates share (the words before a start, the words after an end) is scored once.
 
 Defined results: a NULL or an empty text holds nothing; every distinct (kind, text) of a
 document is one row, exactly as written; spans never cross a line end; the redacted text
@@ -24,9 +24,9 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +40,9 @@ MAX_NAME_PARTS = 200_000
 #: Spans scored at or below this cannot be part of a best segmentation by the transitions' size.
 HOPELESS = -6.0
 
+#: Words, and lines, whose result a task keeps at most; those of LONG characters are not kept.
+CACHED, LONG = 1 << 15, 400
+
 # ---- fixed word lists -----------------------------------------------------------------
 PARTICLES = {"von", "van", "der", "den", "de", "la", "del", "dos", "da", "di", "du", "bin", "al", "ter", "af", "zu"}
 TITLES = {"dr", "mr", "mrs", "ms", "prof", "herr", "frau", "sr", "sra", "mme", "m", "mlle", "sir", "dr.", "mr.", "mrs.", "ms.", "prof.", "sr.", "sra.", "mme.", "m."}
@@ -57,34 +60,20 @@ _MAILS = [
 ]
 # every repetition below has one way to match, so that no text makes a pattern try twice
 _DIGITS = re.compile(r"(?<![\w.])(?:[+＋]|\(\+?)?(?:[A-Z]{1,2}[ -]?)?\d(?:(?:[ \t]|[ \t]?[-./()][ \t]?)?\d){5,24}(?:-?[A-Z]\b|[ ][A-Z]\b)?(?!\w)")
+_DIGIT = re.compile(r"\d")
 _HOUSE = r"\d{1,5}(?:[ ]?[a-zA-Z]\b)?(?:[ ](?:bis|ter))?"
 _AW = r"(?:[^\W\d_]+\.?(?:['’-][^\W\d_]+)*|C/)"
 _FRONT = re.compile(rf"(?<![\w./:+-])({_HOUSE})(,)?[ ]({_AW}(?:[ ]{_AW}){{0,4}})")
 _BACK = re.compile(rf"(?<![\w./:+@-])({_AW}(?:[ ]{_AW}){{0,4}})(,)?[ ]({_HOUSE})(?![\w:/]|[.,-]\d)")
 _NAME = r"[^\W\d_]+(?:['’][^\W\d_]+)*\.?"
+_NAME_WORD = re.compile(_NAME)
 _RUN = re.compile(rf"{_NAME}(?:(?:[ \u00a0\u3000]|-|,[ ]|[ ]-[ ]){_NAME})*")
 _CJK_NAME = re.compile(r"[\u4e00-\u9fff々]{1,4}[ \u3000]?[\u4e00-\u9fff\u3040-\u309f々]{1,5}")
-#: A line that none of these touches has no candidate worth scoring.
-_STREET_CUE = (
-    rf"\d[a-z]?(?: bis| ter)?,? (?:{_AW} ){{0,3}}(?i:{'|'.join(sorted(w for w in STREET_END if w != 'c/'))})\b"
-    rf"|\d[a-z]?(?: bis| ter)?,? (?i:{'|'.join(sorted(re.escape(w) for w in STREET_START))}) "
-    rf"|(?:^|[^\w])(?i:{'|'.join(sorted(re.escape(w) for w in STREET_START))}) (?:{_AW} ){{0,3}}{_AW},? \d"
-    rf"|(?i:{'|'.join(re.escape(w) for w in STREET_SUFFIX)}),? \d"
-)
-_CAPITAL = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞĢĪĶŁĻĽŃŅŇŌŐŒŘŚŠŞŢŤŪŮŰŹŻŽ\u0410-\u042f"
-#: A line that none of these touches, and that holds no street or listed name, has no candidate worth scoring.
-_TOUCH = [
-    re.compile(r"\w[@＠]\w"),
-    re.compile(r"[\[({]\s?(?:at|AT|@)\s?[\])}]| (?:at|AT) .{1,80} (?:dot|DOT) "),
-    re.compile(r"\d(?:[ ()/-]{0,2}\d){7,}"),
-    re.compile(r"\b\d{2,3}\.\d{2,3}\.\d{2,4}\b"),
-    re.compile(r"[０-９]{2}"),
-    re.compile(r"\b[A-Z]{1,2} ?\d{2} ?\d{2}"),
-    re.compile(rf"(?<![^\W\d_])[{_CAPITAL}][^\W\d_]*(?:[.'’][^\W\d_]*)?(?:,? |-)(?:(?:von|van|der|den|de|la|dos|da|del|di|du|zu) )*[{_CAPITAL}][^\W\d_]"),
-    re.compile(r"-by: [^\W\d_A-Z]{2,} [^\W\d_]"),
-    re.compile(r"[\u4e00-\u9fff]{1,4}[ \u3000]?[\u3040-\u309f]"),
-]
-_STREET = re.compile(_STREET_CUE)
+# what every form of a kind must hold; only lines without it are spared the forms
+_AT = re.compile(r"[@＠]|\b(?:at|AT)\b")
+_CJK = re.compile(r"[\u4e00-\u9fff]")
+_HOUSE_BESIDE = re.compile(r"\d(?: ?[a-zA-Z])?(?: (?:bis|ter))?,? [^\W\d_]|[^\W\d_][./]?,? \d")
+_STREET_WORD = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(sorted(re.escape(w) for w in STREET_END | STREET_START))})(?![^\W\d_])|(?:{'|'.join(re.escape(w) for w in STREET_SUFFIX)})(?![^\W\d_])", re.I)
 #: Whole-line forms of the tools that write these texts; they hold no free text.
 _FIXED = re.compile(r"@@ |diff --|index [0-9a-f]|Date:|commit [0-9a-f]|Merge:|# (?:Date|Node ID|Parent|HG)|From [0-9a-f]{40}|literal \d|(?:---|\+\+\+) [ab]/|z[^ ]{20,}$")
 _SQL = re.compile(r"[ +-]?\s*(?:SELECT|CREATE|ALTER) ")
@@ -94,6 +83,7 @@ _WIDE = str.maketrans("０１２３４５６７８９－＋＠", "0123456789-+@"
 class Gazetteer:
     def __init__(self, given: set[str], family: set[str]):
         self.given, self.family = given, family
+        self.word_class = lru_cache(CACHED)(self._word_class)
 
     @classmethod
     def of(cls, rows: list[tuple[str, str]]) -> Gazetteer:
@@ -103,7 +93,7 @@ class Gazetteer:
                 (given if role == "given" else family).add(part.casefold())
         return cls(given, family)
 
-    def word_class(self, w: str) -> str:
+    def _word_class(self, w: str) -> str:
         """G/F/B known given, family, both; U capital; A capitals; i initial; p particle; t title; c calendar; l other."""
         bare = w.rstrip(".")
         low = bare.casefold()
@@ -132,22 +122,26 @@ def shape(s: str) -> str:
     return re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "d", s)))
 
 
-def _neighbours(line: str, a: int, b: int) -> list[str]:
-    left, right = line[max(0, a - 40) : a], line[b : b + 40]
+def _left(line: str, a: int) -> tuple[str, list[str]]:
+    """The token before ``a`` and the features that only a start decides."""
+    left = line[max(0, a - 40) : a]
     lt = [t for t in _TOKEN.findall(left) if not t.isspace()][-3:]
-    rt = [t for t in _TOKEN.findall(right) if not t.isspace()][:3]
     lt = ["0" if t.isdigit() else t.casefold() for t in lt]
-    rt = ["0" if t.isdigit() else t.casefold() for t in rt]
-    l1, l2, l3 = (["^"] * 3 + lt)[-1], (["^"] * 3 + lt)[-2], (["^"] * 3 + lt)[-3]
-    r1, r2 = (rt + ["$"] * 2)[:2]
-    out = [f"l1={l1}", f"l2={l2} {l1}", f"l3={l3} {l2} {l1}", f"r1={r1}", f"r2={r1} {r2}", f"lr={l1}|{r1}"]
+    l3, l2, l1 = (["^"] * 3 + lt)[-3:]
     words = [t for t in lt if t[0].isalpha()]
-    out.append("lw=" + (words[-1] if words else "^"))
-    rw = [t for t in rt if t[0].isalpha()]
-    out.append("rw=" + (rw[0] if rw else "$"))
+    out = [f"l1={l1}", f"l2={l2} {l1}", f"l3={l3} {l2} {l1}", "lw=" + (words[-1] if words else "^")]
     if left[-1:].isspace():
         out.append("lspace")
-    return out
+    return l1, out
+
+
+def _right(line: str, b: int) -> tuple[str, list[str]]:
+    """The token after ``b`` and the features that only an end decides."""
+    rt = [t for t in _TOKEN.findall(line[b : b + 40]) if not t.isspace()][:3]
+    rt = ["0" if t.isdigit() else t.casefold() for t in rt]
+    r1, r2 = (rt + ["$"] * 2)[:2]
+    words = [t for t in rt if t[0].isalpha()]
+    return r1, [f"r1={r1}", f"r2={r1} {r2}", "rw=" + (words[0] if words else "$")]
 
 
 def _head(line: str) -> str:
@@ -212,21 +206,38 @@ def _address_feats(words: list[str], front: bool, comma: bool, number: str, long
 def candidates(line: str, gaz: Gazetteer, score=None) -> list[tuple]:
     """(start, end, kind, features) of all spans worth scoring, by start.
 
-    With a ``score`` function, scores take the place of features, and hopeless spans are left out.
+    With a ``score`` function of a kind and features, scores take the place of features, and hopeless spans are left out.
     """
     out: list[tuple] = []
     head = "head=" + _head(line)
-    wide = line.translate(_WIDE)
+    plain = line.isascii()
+    wide = line if plain else line.translate(_WIDE)
+    digit = _DIGIT.search(wide)
+
+    lefts: dict[int, tuple[str, list[str]]] = {}
+    rights: dict[int, tuple[str, list[str]]] = {}
+    halves: dict[tuple[str, int, bool], float] = {}
 
     def put(a: int, b: int, kind: str, feats: list[str]) -> None:
-        if feats:
-            named = [f"{kind}:{f}" for f in ["bias", *feats, head, *_neighbours(line, a, b)]]
-            if score is None:
-                out.append((a, b, kind, named))
-            elif (v := score(named)) > HOPELESS:
-                out.append((a, b, kind, v))
-
-    for m in (m for form in _MAILS for m in form.finditer(line)):
+        if not feats:
+            return
+        if a not in lefts:
+            lefts[a] = _left(line, a)
+        if b not in rights:
+            rights[b] = _right(line, b)
+        (l1, left), (r1, right) = lefts[a], rights[b]
+        if score is None:
+            out.append((a, b, kind, [f"{kind}:{f}" for f in ["bias", *feats, head, *left, *right, f"lr={l1}|{r1}"]]))
+            return
+        if (kind, a, False) not in halves:
+            halves[kind, a, False] = score(kind, ["bias", head, *left])
+        if (kind, b, True) not in halves:
+            halves[kind, b, True] = score(kind, right)
+        v = score(kind, [*feats, f"lr={l1}|{r1}"]) + halves[kind, a, False] + halves[kind, b, True]
+        if v > HOPELESS:
+            out.append((a, b, kind, v))
+
+    for m in (m for form in _MAILS for m in form.finditer(line)) if _AT.search(line) else ():
         s = m[1] if m.re is _MAILS[1] else m[0]
         b = m.start() + len(s)
         if m.re is _MAILS[1] and not re.search(r"[ (\[{](?:dot|DOT)[ )\]}]", s):
@@ -235,7 +246,7 @@ def candidates(line: str, gaz: Gazetteer, score=None) -> list[tuple]:
         lead = re.match(r"[.%+-]+", s)
         if lead and lead.end() < len(s):
             put(m.start() + lead.end(), b, "email", ["trimmed", *_email_feats(s[lead.end() :])])
-    for m in _DIGITS.finditer(wide):
+    for m in _DIGITS.finditer(wide) if digit else ():
         a, b = m.span()
         s = m[0]
         feats = _digit_feats(s)
@@ -253,7 +264,7 @@ def candidates(line: str, gaz: Gazetteer, score=None) -> list[tuple]:
         if trail:
             put(a, b - 2, "identity", ["cut", *_digit_feats(s[:-2])])
             put(a, b - 2, "phone", ["cut", *_digit_feats(s[:-2])])
-    if any(c.isdigit() for c in line):
+    if digit and _HOUSE_BESIDE.search(line) and (not plain or _STREET_WORD.search(line)):
         for m in _FRONT.finditer(line):
             words, at = m[3].split(" "), m.start(3)
             for k in range(1, len(words) + 1):
@@ -272,7 +283,9 @@ def candidates(line: str, gaz: Gazetteer, score=None) -> list[tuple]:
 
 def _names(line: str, gaz: Gazetteer, put) -> None:
     for run in _RUN.finditer(line):
-        toks = [(m.start() + run.start(), m.end() + run.start(), m[0]) for m in re.finditer(_NAME, run[0])]
+        if run[0].isalpha() and gaz.word_class(run[0]) not in "GFBgfb":  # one word that no list holds
+            continue
+        toks = [(m.start() + run.start(), m.end() + run.start(), m[0]) for m in _NAME_WORD.finditer(run[0])]
         # a full stop belongs to a word only after an initial or a short title
         toks = [(a, b - 1, w[:-1]) if w.endswith(".") and len(w) > 2 and w.rstrip(".").casefold() not in TITLES else (a, b, w) for a, b, w in toks]
         toks = [(a, b - 2, w[:-2]) if w.endswith(("'s", "’s")) and len(w) > 3 else (a, b, w) for a, b, w in toks]
@@ -309,7 +322,7 @@ def _names(line: str, gaz: Gazetteer, put) -> None:
                     "first=" + classes[i], "last=" + c, f"comma={',' in ''.join(seps)}:{known > 0}",
                 ]
                 put(toks[i][0], toks[j][1], "name", feats)
-    if re.search(r"[\u4e00-\u9fff]", line):
+    if not line.isascii() and _CJK.search(line):
         for m in _CJK_NAME.finditer(line):
             seen = set()
             space = re.search(r"[ \u3000]", m[0])
@@ -329,6 +342,10 @@ def _names(line: str, gaz: Gazetteer, put) -> None:
 class Model:
     def __init__(self, weights: dict[str, float]):
         self.w = weights
+        self.by_kind: dict[str, dict[str, float]] = {k: {} for k in [*KINDS, "trans"]}
+        for f, v in weights.items():
+            kind, _, rest = f.partition(":")
+            self.by_kind[kind][rest] = v
 
     @classmethod
     def load(cls, path: str = WEIGHTS) -> Model:
@@ -339,9 +356,16 @@ class Model:
         w = self.w
         return sum(w[f] for f in feats if f in w)
 
+    def part(self, kind: str, feats: list[str]) -> float:
+        """The score of some of a span's features, named without its kind."""
+        w, v = self.by_kind[kind], 0.0
+        for f in feats:
+            v += w.get(f, 0.0)
+        return v
+
     def decode(self, line: str, gaz: Gazetteer) -> list[tuple[int, int, str]]:
         """The best set of non-overlapping spans of one line."""
-        spans = candidates(line, gaz, self.score)
+        spans = candidates(line, gaz, self.part)
         if not any(s > 0 for *_, s in spans):
             return []
         # state: kind of the last span ("" at the start of the line)
@@ -367,53 +391,21 @@ class Model:
         return found[::-1]
 
 
-class Cues:
-    """Finds the lines that hold a street word beside a number, or a listed name in small letters."""
-
-    def __init__(self, gaz: Gazetteer):
-        self.names = {n for n in gaz.given | gaz.family if len(n) > 2}
-        words = {" " + w.capitalize() for w in STREET_END} | {" " + w.upper() for w in STREET_END} | {" " + w for w in STREET_END if len(w) > 3}
-        words |= {w.capitalize() + " " for w in STREET_START} | {w + " " for w in STREET_START if len(w) > 2} | {w.upper() + " " for w in STREET_START if len(w) > 2} | set(STREET_SUFFIX)
-        self.machine = ahocorasick.Automaton()
-        for w in words:
-            self.machine.add_word(w, False)
-        for n in self.names:
-            self.machine.add_word(n, True)
-        self.machine.make_automaton()
-
-    def lines(self, text: str) -> set[int]:
-        out: set[int] = set()
-        seen: set[tuple[int, bool]] = set()
-        for end, name in self.machine.iter(text):
-            start = text.rfind("\n", 0, end + 1) + 1
-            if (start, name) in seen or start in out:
-                continue
-            if name:
-                # the name must be one of two words in small letters, or it is found as a capital pair anyway
-                a, b = text.rfind(" ", start, end) + 1 or start, end + 1
-                if not text[max(start, a) : b].lstrip("\"'(<,;|").casefold() in self.names or text[b : b + 1].isalnum():
-                    continue
-                out.add(start)
-            else:
-                seen.add((start, name))
-                stop = text.find("\n", end)
-                if _STREET.search(text, start, len(text) if stop < 0 else stop):
-                    out.add(start)
-        return out
+def decoder(model: Model, gaz: Gazetteer) -> Callable[[str], list[tuple[int, int, str]]]:
+    """``model.decode`` with one name list; lines that repeat are decoded once."""
+    whole = lambda line: model.decode(line, gaz)
+    kept = lru_cache(CACHED)(whole)
+    return lambda line: kept(line) if len(line) < LONG else whole(line)
 
 
-def spans_of(text: str, model: Model, gaz: Gazetteer, cues: Cues | None = None) -> list[tuple[int, int, str]]:
+def spans_of(text: str, decode: Callable[[str], list[tuple[int, int, str]]]) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all personal information in a text, in order."""
-    starts = (cues or Cues(gaz)).lines(text)
-    for touch in _TOUCH:
-        for m in touch.finditer(text):
-            starts.add(text.rfind("\n", 0, m.start()) + 1)
-    out = []
-    for at in sorted(starts):
-        stop = text.find("\n", at)
-        line = (text[at:] if stop < 0 else text[at:stop]).rstrip("\r")
-        if not _FIXED.match(line) and not _SQL.match(line):
-            out += [(at + a, at + b, kind) for a, b, kind in model.decode(line, gaz)]
+    out, at = [], 0
+    for raw in text.split("\n"):
+        line = raw.rstrip("\r")
+        if line and not _FIXED.match(line) and not _SQL.match(line):
+            out += [(at + a, at + b, kind) for a, b, kind in decode(line)]
+        at += len(raw) + 1
     return out
 
 
@@ -442,13 +434,12 @@ def find(docs: DataFrame, name_parts: DataFrame, model: Model | None = None) ->
     id_type = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gaz = Gazetteer.of(rows)
-        cues = Cues(gaz)
+        decode = decoder(model, Gazetteer.of(rows))
         for b, texts in _texts(batches):
             at, kinds, found = [], [], []
             for i, text in enumerate(texts):
                 if text:
-                    for kind, s in dict.fromkeys((k, text[x:y]) for x, y, k in spans_of(text, model, gaz, cues)):
+                    for kind, s in dict.fromkeys((k, text[x:y]) for x, y, k in spans_of(text, decode)):
                         at.append(i)
                         kinds.append(kind)
                         found.append(s)
@@ -465,14 +456,13 @@ def redact(docs: DataFrame, name_parts: DataFrame, model: Model | None = None) -
     id_type = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gaz = Gazetteer.of(rows)
-        cues = Cues(gaz)
+        decode = decoder(model, Gazetteer.of(rows))
         for b, texts in _texts(batches):
             out = []
             for text in texts:
                 if text:
                     parts, last = [], 0
-                    for x, y, k in spans_of(text, model, gaz, cues):
+                    for x, y, k in spans_of(text, decode):
                         parts += [text[last:x], PLACEHOLDER[k]]
                         last = y
                     text = "".join([*parts, text[last:]])

@@ -50,7 +50,7 @@ POSITIVE = [
 #: Forms without personal information.
 NEGATIVE = [
     "Related to the {two} milestone; the {w} stays behind a flag.", "We can drop the {w} once {two} ships.", "Gehört zu {two}; {w} bleibt hinter einem Schalter.", "Release train: {two} {ver}", "Part of {two}, see {num}.", "Siehe Ticket {num}, Build {num}.", "Voir le ticket {num}.", "Ver la tarea {num}.", "См. задачу {num}.",
-    "Merge pull request #{num} from {login}/{w}-{w}", "Merge remote-tracking branch 'origin/release/{ver}'", "Merge branch '{w}-{w}' into main", "Author: {log}", "From: {log}", "{trailer}: {log}", "Change-owner: {log}", "# User {log}", "by {log} on {date}", "Tested with version {ver} on 192.0.2.{d3}.",
+    "Merge pull request #{num} from {login}/{w}-{w}", "Merge remote-tracking branch 'origin/release/{ver}'", "Merge branch '{w}-{w}' into main", "Author: {log}", "From: {log}", "{trailer}: {log}", "{trailer}: {bot}", "{trailer}: {bot}", "Author: {bot}", "Change-owner: {log}", "# User {log}", "by {log} on {date}", "Tested with version {ver} on 192.0.2.{d3}.",
     "See ticket {tick} and build {bld}.", "Follow-up to #{num} and PROJ-{d3}.", "Measured on the nightly run: {num} ms before, {num} ms after.", "Automatic nightly sync {ts}", "Update translations ({d3} strings)", "Release {ver} [skip ci]", "std::vector<{W}> {w}s;", "## {W} and {w}", "The {w} is stale by default.", 'serial = "SN-{d10}"', 'order_no = "{ord}"',
     "iban_sample_length = {d3}", "checksum {d5} {d4} {d7}", "checksum {d4} {d3} {d6}", "ping 192.0.2.{d3} port {d3}", "ts={ts}", "remote = git@code.example:{w}/{w}.git", "background: url(/img/{w}@2x.png);", '"{w}-{w}@{ver}": "^{ver}",', "route {d3} -> lane {d1}", "level {d1} drive C: {d4} MB", "{d2}-way {w} set, {d3} lanes", "uuid: {uuid}",
     "DATABASE_URL=postgres://svc_{w}:{hex}@db.{w}.example:5432/{w}", "dsn = amqp://{w}:{rnd}@mq.{w}.invalid/vh", 'API_TOKEN = "tok_{rnd}{rnd}"', "password: {rnd}", "# build {b3}", "@media (min-width: {d4}px) {{", "func (t *{W}) {W}() error {{", "{num},{w},{w},{d3}", "{num};{w};{w};{d3}", "{w}\t{num}\t{ver}", 'return fmt.Errorf("stale {w}: %w", err)', "Mon Sep 17 00:00:00 2001",
@@ -175,7 +175,7 @@ class Maker:
         rnd = "".join(r.choice("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(12))
         made = {
             "w": lambda: r.choice(NOUNS), "W": lambda: r.choice(NOUNS).capitalize(), "two": lambda: r.choice(TWO_WORDS), "town": lambda: r.choice(TOWNS), "place": self.place, "ver": ver, "num": lambda: str(r.randint(1, 9999)),
-            "login": lambda: r.choice(LOGINS), "log": lambda: r.choice(LOGINS) + str(r.randint(1, 99)), "title": lambda: r.choice(["Dr.", "Frau", "Herr", "Mr.", "Ms.", "Prof.", "Mrs.", "Sra."]), "trailer": lambda: r.choice(["Signed-off-by", "Reviewed-by", "Tested-by", "Acked-by", "Reported-by", "Co-authored-by"]),
+            "login": lambda: r.choice(LOGINS), "log": lambda: r.choice(LOGINS) + str(r.randint(1, 99)), "bot": lambda: f"{r.choice(NOUNS)}-{r.choice(['bot', 'runner', 'agent', r.choice(NOUNS)])}", "title": lambda: r.choice(["Dr.", "Frau", "Herr", "Mr.", "Ms.", "Prof.", "Mrs.", "Sra."]), "trailer": lambda: r.choice(["Signed-off-by", "Reviewed-by", "Tested-by", "Acked-by", "Reported-by", "Co-authored-by"]),
             "date": lambda: f"2015-0{r.randint(1, 9)}-{r.randint(10, 28)}", "tick": lambda: f"{d(r.choice((3, 4)))}-{d(r.choice((2, 3)))}", "bld": lambda: f"{d(r.choice((4, 5)))}.{d(r.choice((2, 3, 4)))}", "b3": lambda: f"{d(r.choice((3, 4)))}.{d(r.choice((2, 3)))}.{d(r.choice((2, 3)))}",
             "ts": lambda: r.choice([d(10), d(10) + "." + d(3), d(10) + "000"]), "ord": lambda: f"{d(r.choice((3, 4)))}-{d(r.choice((2, 3)))}-{d(r.choice((5, 6, 7)))}", "uuid": lambda: f"{hexa(8)}-{hexa(4)}-{hexa(4)}-{hexa(4)}-{hexa(12)}", "hex": lambda: hexa(r.choice((8, 12))), "sha": lambda: r.choice([hexa(8), hexa(40), d(8), d(7), hexa(12)]), "rnd": lambda: rnd,
         }
