@@ -18,7 +18,7 @@ import random
 import sys
 from collections import defaultdict
 
-from quillstate.llm.pii import KINDS, WEIGHTS, Gazetteer, Model, candidates
+from quillstate.llm.pii import KINDS, WEIGHTS, Gazetteer, Model, candidates, decoder, spans_of
 
 SYLL = ["bar", "mel", "tor", "vin", "kes", "lan", "dor", "ash", "rid", "wen", "gor", "hal", "nis", "quil", "stra", "mond", "fen", "cas", "ther", "ow", "el", "mar", "jan", "sol", "bri", "ked", "zal", "pri", "und", "yar", "tess", "øl", "mül", "ñez", "szy", "ève"]
 NOUNS = ["cache", "table", "socket", "quota", "layout", "router", "shard", "token", "ledger", "widget", "profile", "report", "handler", "window", "lease", "billing", "parser", "gradient", "import", "export"]
@@ -307,12 +307,12 @@ def train(n_lines: int = 16000, epochs: int = 8, seed: int = 5, rate: float = 0.
 
 
 def held_out(model: Model, n_lines: int = 1500, seed: int = 77) -> dict[str, tuple[float, float]]:
-    """Precision and recall per kind on lines not trained on."""
+    """Precision and recall per kind on lines not trained on, by the path that ``find`` and ``redact`` take."""
     maker = Maker(seed)
     hit, said, true = defaultdict(int), defaultdict(int), defaultdict(int)
     for _ in range(n_lines):
         text, labels, gaz = maker.line()
-        got = set(model.decode(text, gaz))
+        got = set(spans_of(text, decoder(model, gaz)))
         for x in got:
             said[x[2]] += 1
             hit[x[2]] += x in set(labels)
