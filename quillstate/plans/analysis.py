@@ -30,6 +30,19 @@ def cumulative_hit(rows: DataFrame, column: str, batch: str, key: str, at: int)
     return here.groupBy(column).agg(F.count(F.lit(1)).alias("n_distinct"), F.count(F.when(F.col("__first") < at, 1)).alias("n_seen"))
 
 
+def cumulative_hits(rows: DataFrame, column: str, batch: str, key: str) -> DataFrame:
+    """Per column and batch: distinct keys, and those seen in any earlier batch.
+
+    A key is new in its first batch only, so the seen ones are the distinct keys less the
+    keys that begin there; two aggregates, joined on (column, batch).
+    """
+    per = rows.select(column, batch, key).distinct()
+    distinct = per.groupBy(column, batch).agg(F.count(F.lit(1)).alias("n_distinct"))
+    first = rows.groupBy(column, key).agg(F.min(batch).alias(batch)).groupBy(column, batch).agg(F.count(F.lit(1)).alias("__new"))
+    j = distinct.join(first, [column, batch], "left")
+    return j.select(column, batch, "n_distinct", (F.col("n_distinct") - F.coalesce("__new", F.lit(0))).alias("n_seen"))
+
+
 def trace_rollup(events: DataFrame) -> DataFrame:
     """Per operation (the name's part after the last colon): first start, last end, total and count, in thousandths cut to whole numbers."""
     op = F.substring_index("name", ":", -1)

@@ -163,8 +163,8 @@ def record_files(spark, d):
 # ---- analysis ------------------------------------------------------------------------------------------
 
 
-def _batched(spark, d):
-    rows = features.batches(_log(spark, d).select("rec_id", "C1", "C5", "C20"), ["rec_id"], 100)
+def _batched(spark, d, size: int = 100):
+    rows = features.batches(_log(spark, d).select("rec_id", "C1", "C5", "C20"), ["rec_id"], size)
     return rows.select("batch", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("key")) for c in ("C1", "C5", "C20")])).alias("x")).select("batch", "x.*").where("key is not null and key <> -1")
 
 
@@ -177,6 +177,11 @@ def cumulative_cache_hit(spark, d):
     return analysis.cumulative_hit(_batched(spark, d), "column", "batch", "key", 6)
 
 
+def cumulative_cache_hit_all(spark, d):
+    """Every batch of 4096 rows, over all rows."""
+    return analysis.cumulative_hits(_batched(spark, d, 4096), "column", "batch", "key")
+
+
 def trace_rollup(spark, d):
     e = table(spark, d, "events").select(F.concat(F.lit("op:"), "event_type").alias("name"), F.col("event_id").cast("double").alias("ts"), F.col("value").alias("dur"))
     # traces come as JSON documents of up to a hundred events
@@ -242,7 +247,7 @@ def lr_forward(spark, d):
 QUERIES = {f.__name__: f for f in (
     fill_missing, column_prefix, minmax_scale, standardise, label_encode_sorted, label_encode_first_seen, hash_bucket_share, mod_bucket, offset_encode, hash_encode, row_replicate, hex_parse,
     batch_assign, train_test_split, column_cardinality, init_uniform, init_normal, csv_roundtrip, tsv_hex_scan, day_files_scan, tfrecord_roundtrip, vocabulary_meta, record_files,
-    batch_locality, cumulative_cache_hit, trace_rollup, log_pivot, epoch_logs, logloss, auc, error_rate, metric_average, fm_second_order, lr_forward,
+    batch_locality, cumulative_cache_hit, cumulative_cache_hit_all, trace_rollup, log_pivot, epoch_logs, logloss, auc, error_rate, metric_average, fm_second_order, lr_forward,
 )}
 
 _NAN0 = "CASE WHEN {0} IS NULL OR isnan({0}) THEN 0 ELSE {0} END"
@@ -302,6 +307,8 @@ SELECT b."column", CAST(SUM(b.n) AS BIGINT) AS n_rows, COUNT(*) AS n_distinct, C
 FROM b LEFT JOIN b p ON p."column" = b."column" AND p.batch = b.batch - 1 AND p.key = b.key GROUP BY b."column" """,
     "cumulative_cache_hit": _BATCHED + """
 SELECT "column", COUNT(*) AS n_distinct, COUNT(*) FILTER (EXISTS (SELECT 1 FROM b q WHERE q."column" = b."column" AND q.key = b.key AND q.batch < 6)) AS n_seen FROM b WHERE batch = 6 GROUP BY "column" """,
+    "cumulative_cache_hit_all": _BATCHED.replace("// 100 ", "// 4096 ") + """
+SELECT "column", batch, COUNT(*) AS n_distinct, COUNT(*) FILTER (first < batch) AS n_seen FROM (SELECT *, MIN(batch) OVER (PARTITION BY "column", key) AS first FROM b) GROUP BY "column", batch""",
     "trace_rollup": """
 SELECT event_type AS op, CAST(trunc(MIN(event_id) / 1000) AS BIGINT) AS start_ms, CAST(trunc(MAX(event_id + value) / 1000) AS BIGINT) AS end_ms, CAST(trunc(SUM(value) / 1000) AS BIGINT) AS total_ms, COUNT(*) AS n FROM events GROUP BY event_type""",
     "log_pivot": """

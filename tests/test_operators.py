@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quillstate.functions import features, metrics
 from quillstate.operators import gradients, initializers, keyed_totals, lookup, sharding
+from quillstate.plans import analysis
 from quillstate.sources import clicklog, profiling, tfrecord
 from quillstate.types import StateError, VariableMeta
 
@@ -160,3 +161,9 @@ def test_traces_and_logs(spark, tmp_path):
     (tmp_path / "deepfm_9_8.out").write_text("Epoch 1/2\n 12s - loss: 0.5\nx\n9s - loss: 0.4\n")
     got = profiling.read_epoch_logs(spark, f"file://{tmp_path}/*.out").orderBy("seconds").collect()
     assert [tuple(r) for r in got] == [("deepfm_9", 8, 9.0), ("deepfm_9", 8, 12.0)]
+
+
+def test_cumulative_hits_covers_every_batch(spark):
+    rows = spark.createDataFrame([("C1", b, k) for b, ks in enumerate(([1, 2, 2], [2, 3], [4], [1, 3, 5, 5])) for k in ks] + [("C2", 3, 1)], "column string, batch bigint, key bigint")
+    got = sorted(tuple(r) for r in analysis.cumulative_hits(rows, "column", "batch", "key").collect())
+    assert got == [("C1", 0, 2, 0), ("C1", 1, 2, 1), ("C1", 2, 1, 0), ("C1", 3, 3, 2), ("C2", 3, 1, 0)]
