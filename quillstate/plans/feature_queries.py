@@ -131,15 +131,19 @@ def tsv_hex_scan(spark, d):
     return raw.select("label", features.hex_parse(F.col("C1")).alias("C1"), features.hex_parse(F.col("C26")).alias("C26"))
 
 
-def day_files_scan(spark, d):
+def day_files_scan_all(spark, d):
+    """Every day passes through writer and reader."""
     log = _log(spark, d).select("label", *[F.nanvl(F.coalesce(c, F.lit(0.0)), F.lit(0.0)).alias(c) for c in clicklog.DENSE], *clicklog.SPARSE, "day_n")
     path = _work(spark, "days")
-    clicklog.write_days(log.where("day_n = 0").drop("day_n"), path + "/day_0", 400)
-    clicklog.write_days(log.where("day_n = 1").drop("day_n"), path + "/day_1", 400)
+    clicklog.write_all_days(log, path, 400)
     rows = clicklog.read_days(spark, path)
     return rows.groupBy("day_n").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("label").alias("clicks"), F.sum("C9").alias("c9_sum"))
 
 
+def day_files_scan(spark, d):
+    return day_files_scan_all(spark, d).where("day_n in (0, 1)")
+
+
 def tfrecord_roundtrip(spark, d):
     log = _log(spark, d).select("rec_id", "label", "C3", "I2").where("label is not null and C3 is not null and I2 is not null")
     path = _work(spark, "tfrecord")
@@ -246,7 +250,7 @@ def lr_forward(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     fill_missing, column_prefix, minmax_scale, standardise, label_encode_sorted, label_encode_first_seen, hash_bucket_share, mod_bucket, offset_encode, hash_encode, row_replicate, hex_parse,
-    batch_assign, train_test_split, column_cardinality, init_uniform, init_normal, csv_roundtrip, tsv_hex_scan, day_files_scan, tfrecord_roundtrip, vocabulary_meta, record_files,
+    batch_assign, train_test_split, column_cardinality, init_uniform, init_normal, csv_roundtrip, tsv_hex_scan, day_files_scan, day_files_scan_all, tfrecord_roundtrip, vocabulary_meta, record_files,
     batch_locality, cumulative_cache_hit, cumulative_cache_hit_all, trace_rollup, log_pivot, epoch_logs, logloss, auc, error_rate, metric_average, fm_second_order, lr_forward,
 )}
 
@@ -298,6 +302,7 @@ UNION ALL SELECT 'C9', MIN(C9), MAX(C9), MAX(C9) + 1 FROM train100 UNION ALL SEL
     "csv_roundtrip": f"SELECT label, ROUND({_NAN0.format('I2')}, 6) AS I2, ROUND({_NAN0.format('I13')}, 6) AS I13, C3, C26 FROM train100",
     "tsv_hex_scan": "SELECT label, CASE WHEN C1 >= 0 THEN C1 ELSE -1 END AS C1, CASE WHEN C26 >= 0 THEN C26 ELSE -1 END AS C26 FROM train100",
     "day_files_scan": "SELECT CAST(day_n AS INT) AS day_n, COUNT(*) AS n_rows, CAST(SUM(label) AS BIGINT) AS clicks, CAST(SUM(C9) AS BIGINT) AS c9_sum FROM train100 WHERE day_n IN (0, 1) GROUP BY day_n",
+    "day_files_scan_all": "SELECT CAST(day_n AS INT) AS day_n, COUNT(*) AS n_rows, CAST(SUM(label) AS BIGINT) AS clicks, CAST(SUM(C9) AS BIGINT) AS c9_sum FROM train100 GROUP BY day_n",
     "tfrecord_roundtrip": "SELECT rec_id, label, C3, ROUND(CAST(CAST(I2 AS FLOAT) AS DOUBLE), 6) AS I2 FROM train100 WHERE label IS NOT NULL AND C3 IS NOT NULL AND I2 IS NOT NULL",
     "vocabulary_meta": """SELECT 'C1' AS "column", MAX(C1) + 1 AS cardinality FROM train100 UNION ALL SELECT 'C9', MAX(C9) + 1 FROM train100 UNION ALL SELECT 'C20', MAX(C20) + 1 FROM train100""",
     "record_files": "SELECT COUNT(*) AS n_rows, TRUE AS bounded FROM events",

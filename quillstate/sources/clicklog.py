@@ -28,9 +28,9 @@ def read_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_days(spark: SparkSession, path: str, sparse: T.DataType | None = None) -> DataFrame:
-    """A folder of ``day_<n>`` files (or folders of files) with its day number; missing numbers are 0. Files are split by Spark."""
+    """A folder of ``day_<n>`` files (or folders of files, or ``day_n=<n>`` folders) with its day number; missing numbers are 0. Files are split by Spark."""
     rows = spark.read.schema(schema(sparse or T.LongType())).option("sep", "\t").csv(f"{path.rstrip('/')}/day_*")
-    return rows.fillna(0, subset=DENSE).withColumn("day_n", F.regexp_extract(F.input_file_name(), r"day_(\d+)", 1).cast("int"))
+    return rows.fillna(0, subset=DENSE).withColumn("day_n", F.regexp_extract(F.input_file_name(), r"day_(?:n=)?(\d+|__HIVE_DEFAULT_PARTITION__)", 1).try_cast("int"))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
@@ -44,6 +44,11 @@ def write_days(df: DataFrame, path: str, rows_per_file: int, mode: str = "error"
     df.write.mode(mode).option("maxRecordsPerFile", rows_per_file).option("sep", "\t").csv(path)
 
 
+def write_all_days(df: DataFrame, path: str, rows_per_file: int, mode: str = "error") -> None:
+    """One folder ``day_n=<n>`` for every ``day_n`` present, in one write; files of at most ``rows_per_file`` rows."""
+    df.write.mode(mode).partitionBy("day_n").option("maxRecordsPerFile", rows_per_file).option("sep", "\t").csv(path)
+
+
 def write_records(df: DataFrame, path: str, rows_per_file: int = 1_000_000, mode: str = "error") -> None:
     """Columnar example files of a bounded size."""
     df.write.mode(mode).option("maxRecordsPerFile", rows_per_file).parquet(path)

@@ -167,3 +167,11 @@ def test_cumulative_hits_covers_every_batch(spark):
     rows = spark.createDataFrame([("C1", b, k) for b, ks in enumerate(([1, 2, 2], [2, 3], [4], [1, 3, 5, 5])) for k in ks] + [("C2", 3, 1)], "column string, batch bigint, key bigint")
     got = sorted(tuple(r) for r in analysis.cumulative_hits(rows, "column", "batch", "key").collect())
     assert got == [("C1", 0, 2, 0), ("C1", 1, 2, 1), ("C1", 2, 1, 0), ("C1", 3, 3, 2), ("C2", 3, 1, 0)]
+
+
+def test_every_day_is_written_and_read(spark, tmp_path):
+    columns = ["label", *clicklog.DENSE, *clicklog.SPARSE]
+    log = spark.range(60).select(*[F.col("id").cast("double" if c in clicklog.DENSE else "bigint").alias(c) for c in columns], F.when(F.col("id") < 56, F.floor(F.col("id") / 4)).cast("int").alias("day_n"))
+    clicklog.write_all_days(log, f"file://{tmp_path}/days", 3)
+    got = clicklog.read_days(spark, f"file://{tmp_path}/days").groupBy("day_n").agg(F.count(F.lit(1)), F.sum("C26")).collect()
+    assert {tuple(r) for r in got} == {(n, 4, 16 * n + 6) for n in range(14)} | {(None, 4, 56 + 57 + 58 + 59)}
