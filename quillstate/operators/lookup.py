@@ -72,12 +72,12 @@ def new_rows(keys: DataFrame, state: DataFrame, init: dict, dim: int, key: str =
     return fresh.join(state.select("key"), "key", "left_anti").select("key", initializer(init).vector(F.col("key"), dim).alias("weights"))
 
 
-def pull_ragged(rows: DataFrame, state: DataFrame, row_id: str, indices: str, *, init: dict, dim: int) -> DataFrame:
-    """``row_id, vectors``: the vectors of each row's list in its order; empty and NULL lists give an empty list."""
-    flat = rows.select(row_id, F.posexplode_outer(indices).alias("pos", "key"))
-    got = pull(flat, state, init=init, dim=dim)
+def pull_ragged(rows: DataFrame, state: DataFrame, row_id: str, indices: str, *, init: dict, dim: int, on: tuple[str, ...] = ()) -> DataFrame:
+    """``row_id, *on, vectors``: the vectors of each row's list in its order; empty and NULL lists give an empty list."""
+    flat = rows.select(row_id, *on, F.posexplode_outer(indices).alias("pos", "key"))
+    got = pull(flat, state, init=init, dim=dim, on=on)
     piece = F.when(F.col("pos").isNotNull(), F.struct("pos", "weights"))
-    return got.groupBy(row_id).agg(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["weights"]).alias("vectors"))  # as long as its own list
+    return got.groupBy(row_id, *on).agg(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["weights"]).alias("vectors"))  # as long as its own list
 
 
 def is_dense(vocabulary_size: int, batch_size: int | None = None, dense_rows: int = DENSE_ROWS) -> bool:

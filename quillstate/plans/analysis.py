@@ -56,9 +56,9 @@ def log_pivot(epochs: DataFrame, workers: list[int] = [1, 2, 4, 8]) -> DataFrame
     return epochs.groupBy("case").pivot("np", workers).agg(F.min("seconds"))
 
 
-def commit_metrics(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows added, changed and unchanged between two versions of a state."""
-    b = before.select("key", F.xxhash64("weights").alias("h0"))
-    a = after.select("key", F.xxhash64("weights").alias("h1"))
-    j = a.join(b, "key", "left")
-    return j.agg(F.count(F.when(F.col("h0").isNull(), 1)).alias("added"), F.count(F.when(F.col("h0") != F.col("h1"), 1)).alias("changed"), F.count(F.when(F.col("h0") == F.col("h1"), 1)).alias("unchanged"))
+def commit_metrics(before: DataFrame, after: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
+    """Rows added, changed and unchanged between two versions of a state, per ``on``."""
+    b = before.select(*on, "key", F.xxhash64("weights").alias("h0"))
+    a = after.select(*on, "key", F.xxhash64("weights").alias("h1"))
+    j = a.join(b, [*on, "key"], "left")
+    return j.groupBy(*on).agg(F.count(F.when(F.col("h0").isNull(), 1)).alias("added"), F.count(F.when(F.col("h0") != F.col("h1"), 1)).alias("changed"), F.count(F.when(F.col("h0") == F.col("h1"), 1)).alias("unchanged"))

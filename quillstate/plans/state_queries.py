@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +85,13 @@ def pull_ragged(spark, d):
     return got.select("rec_id", F.transform("vectors", lambda v: _r(F.get(v, F.lit(0)))).alias("w0s"))
 
 
+def pull_ragged_all(spark, d):
+    """The requests of every variable, in one lookup."""
+    rows = table(spark, d, "embedding_pull_items").select("rec_id", "variable_id", "indices")
+    got = lookup.pull_ragged(rows, _saved(spark, d).select("variable_id", "key", "weights"), "rec_id", "indices", init={"category": "constant", "value": 0.25}, dim=4, on=("variable_id",))
+    return got.select("rec_id", "variable_id", F.transform("vectors", lambda v: _r(F.get(v, F.lit(0)))).alias("w0s"))
+
+
 def pull_with_slots(spark, d):
     keys = table(spark, d, "train100").select("rec_id", F.col("C5").alias("key")).where("key is not null and key <> -1")
     got = lookup.pull(keys, _saved(spark, d).where("variable_id = 5"), columns=("weights", "slots"))
@@ -317,6 +325,41 @@ def restore_local(spark, d):
     return st.restore_local(spark, _dumped(spark, d), 3, SHARDS, [0, 5]).select("key", _r(F.get("weights", F.lit(0))).alias("w0"))
 
 
+def _each(ids: list[int], rows) -> DataFrame:
+    """``rows(variable_id)`` of every variable, with its id."""
+    return reduce(DataFrame.unionByName, [rows(i).withColumn("variable_id", F.lit(i)) for i in ids])
+
+
+def _saved_ids(spark, d) -> list[int]:
+    return sorted(r[0] for r in _saved(spark, d).select("variable_id").distinct().collect())
+
+
+def _dumped_all(spark, d, shard_num: int = SHARDS) -> dict[int, str]:
+    """A folder for each variable."""
+    path, saved = _work(spark, "dump"), _saved(spark, d)
+    out = {i: f"{path}/{i}" for i in _saved_ids(spark, d)}
+    for i, p in out.items():
+        st.dump(saved.where(F.col("variable_id") == i).select("key", "weights", "slots"), p, i, shard_num)
+    return out
+
+
+def dump_load_roundtrip_all(spark, d):
+    paths = _dumped_all(spark, d)
+    back = _each(list(paths), lambda i: st.load(spark, paths[i], i))
+    return back.select("variable_id", "key", _r(F.get("weights", F.lit(3))).alias("w3"), _r(F.get("slots.accum", F.lit(3))).alias("a3"))
+
+
+def reshard_all(spark, d):
+    paths = _dumped_all(spark, d, 3)
+    again = st.reshard(_each(list(paths), lambda i: st.load(spark, paths[i], i)), 11)
+    return again.select("variable_id", "key", "shard", F.spark_partition_id().alias("partition"))
+
+
+def restore_local_all(spark, d):
+    paths = _dumped_all(spark, d)
+    return _each(list(paths), lambda i: st.restore_local(spark, paths[i], i, SHARDS, [0, 5])).select("variable_id", "key", _r(F.get("weights", F.lit(0))).alias("w0"))
+
+
 def export_dense(spark, d):
     got = st.export_dense(_embeddings(spark, d), 600, {"category": "constant", "value": 0.125}, DIM)
     return got.select("key", _r(F.get("weights", F.lit(0))).alias("w0"))
@@ -357,6 +400,22 @@ def optimizer_change(spark, d):
     return s.read(0).select("key", _r(F.get("weights", F.lit(0))).alias("w0"), F.get("slots.accum", F.lit(0)).alias("a0"))
 
 
+def optimizer_change_all(spark, d):
+    ids, saved = _saved_ids(spark, d), _saved(spark, d)
+    s = _new_store(spark, "change", [_variable(i, 4, optimizer={"category": "adagrad"}) for i in ids])
+    for i in ids:
+        s.upsert(i, saved.where(F.col("variable_id") == i).select("key", "weights", "slots"))
+        s.configure(i, optimizer_config={"category": "adadelta"})
+    return _each(ids, s.read).select("variable_id", "key", _r(F.get("weights", F.lit(0))).alias("w0"), F.get("slots.accum", F.lit(0)).alias("a0"))
+
+
+def commit_metrics_all(spark, d):
+    from quillstate.plans.analysis import commit_metrics as metrics
+
+    a, b = (st.snapshot(table(spark, d, "checkpoint_rows"), ["variable_id", "key"], w).select("variable_id", "key", "weights") for w in (300, 500))
+    return metrics(a, b, on=("variable_id",))
+
+
 def commit_metrics(spark, d):
     from quillstate.plans.analysis import commit_metrics as metrics
 
@@ -435,10 +494,10 @@ def late_gradients(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     stream_keyed_adagrad, hot_cold_rule, prefetch_match, late_gradients,
-    pull_missing_default, pull_ordered, pull_new_keys, pull_multi_variable, pull_bounds_check, pull_broadcast, pull_ragged, pull_with_slots, num_items,
+    pull_missing_default, pull_ordered, pull_new_keys, pull_multi_variable, pull_bounds_check, pull_broadcast, pull_ragged, pull_ragged_all, pull_with_slots, num_items,
     shard_route, shard_balance, shard_roundtrip, shard_filter, worker_stride, worker_part,
     push_reduce, push_two_level, push_vector_reduce, push_vector_exploded, mean_gradient, dense_gradient, unique_inverse, pull_accumulators,
-    upsert_state, clear_state, dump_load_roundtrip, reshard, restore_local, export_dense, delta_snapshot, compact_deltas, model_versions, pull_without_gradient, optimizer_change, commit_metrics,
+    upsert_state, clear_state, dump_load_roundtrip, dump_load_roundtrip_all, reshard, reshard_all, restore_local, restore_local_all, export_dense, delta_snapshot, compact_deltas, model_versions, pull_without_gradient, optimizer_change, optimizer_change_all, commit_metrics, commit_metrics_all,
     catalog_models, serving_pull, stream_train_sgd,
 )} | {f"store_{c}_1step": _one_step(c) for c in ONE_STEP} | {f"train_{c}": _train(c) for c in TRAIN}
 
@@ -475,6 +534,11 @@ x AS (SELECT rec_id, UNNEST(range(len(indices))) AS pos, UNNEST(indices) AS key
 g AS (SELECT rec_id, pos, ROUND(COALESCE(weights[1], 0.25), 6) AS w FROM x LEFT JOIN (SELECT key, weights FROM s WHERE variable_id = 3) USING (key)),
 l AS (SELECT rec_id, list(w ORDER BY pos) AS w0s FROM g GROUP BY rec_id)
 SELECT rec_id, COALESCE(w0s, CAST([] AS DOUBLE[])) AS w0s FROM (SELECT rec_id FROM embedding_pull_items WHERE variable_id = 3) LEFT JOIN l USING (rec_id)""",
+    "pull_ragged_all": _NEWEST + """,
+x AS (SELECT rec_id, variable_id, UNNEST(range(len(indices))) AS pos, UNNEST(indices) AS key FROM embedding_pull_items),
+g AS (SELECT rec_id, variable_id, pos, ROUND(COALESCE(weights[1], 0.25), 6) AS w FROM x LEFT JOIN s USING (variable_id, key)),
+l AS (SELECT rec_id, variable_id, list(w ORDER BY pos) AS w0s FROM g GROUP BY ALL)
+SELECT rec_id, variable_id, COALESCE(w0s, CAST([] AS DOUBLE[])) AS w0s FROM (SELECT rec_id, variable_id FROM embedding_pull_items) LEFT JOIN l USING (rec_id, variable_id)""",
     "pull_with_slots": _NEWEST + "SELECT rec_id, key, ROUND(weights[1], 6) AS w0, ROUND(slots.accum[1], 6) AS a0 FROM train100 JOIN s ON s.key = C5 AND s.variable_id = 5 WHERE C5 <> -1",
     "num_items": _NEWEST + "SELECT variable_id, COUNT(*) AS n_items FROM s GROUP BY variable_id",
     "shard_route": "SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_partkey % 7 AS INT) AS shard, l_partkey // 7 AS local FROM lineitem",
@@ -505,6 +569,9 @@ UNION ALL SELECT vec_id, ROUND(CAST(embedding[1] AS DOUBLE), 6) FROM embeddings
     "dump_load_roundtrip": _NEWEST + "SELECT key, ROUND(weights[4], 6) AS w3, ROUND(slots.accum[4], 6) AS a3 FROM s WHERE variable_id = 3",
     "reshard": _NEWEST + "SELECT key, CAST(key % 11 AS INT) AS shard, CAST(key % 11 AS INT) AS partition FROM s WHERE variable_id = 3",
     "restore_local": _NEWEST + "SELECT key, ROUND(weights[1], 6) AS w0 FROM s WHERE variable_id = 3 AND key % 7 IN (0, 5)",
+    "dump_load_roundtrip_all": _NEWEST + "SELECT variable_id, key, ROUND(weights[4], 6) AS w3, ROUND(slots.accum[4], 6) AS a3 FROM s",
+    "reshard_all": _NEWEST + "SELECT variable_id, key, CAST(key % 11 AS INT) AS shard, CAST(key % 11 AS INT) AS partition FROM s",
+    "restore_local_all": _NEWEST + "SELECT variable_id, key, ROUND(weights[1], 6) AS w0 FROM s WHERE key % 7 IN (0, 5)",
     "export_dense": "SELECT r.range AS key, ROUND(COALESCE(CAST(embedding[1] AS DOUBLE), 0.125), 6) AS w0 FROM range(600) r LEFT JOIN embeddings ON vec_id = r.range",
     "delta_snapshot": """
 SELECT variable_id, key, work_id, ROUND(weights[1], 6) AS w0
@@ -523,6 +590,12 @@ WITH d AS (SELECT * FROM checkpoint_rows WHERE variable_id = 1 AND work_id <> -1
 a AS (SELECT key, arg_max(weights, work_id) AS w FROM d WHERE work_id < 300 GROUP BY key),
 b AS (SELECT key, arg_max(weights, work_id) AS w FROM d WHERE work_id < 500 GROUP BY key)
 SELECT COUNT(*) FILTER (a.key IS NULL) AS added, COUNT(*) FILTER (a.w <> b.w) AS changed, COUNT(*) FILTER (a.w = b.w) AS unchanged FROM b LEFT JOIN a USING (key)""",
+    "optimizer_change_all": _NEWEST + "SELECT variable_id, key, ROUND(weights[1], 6) AS w0, CAST(0 AS DOUBLE) AS a0 FROM s",
+    "commit_metrics_all": """
+WITH d AS (SELECT * FROM checkpoint_rows WHERE work_id <> -1),
+a AS (SELECT variable_id, key, arg_max(weights, work_id) AS w FROM d WHERE work_id < 300 GROUP BY ALL),
+b AS (SELECT variable_id, key, arg_max(weights, work_id) AS w FROM d WHERE work_id < 500 GROUP BY ALL)
+SELECT variable_id, COUNT(*) FILTER (a.w IS NULL) AS added, COUNT(*) FILTER (a.w <> b.w) AS changed, COUNT(*) FILTER (a.w = b.w) AS unchanged FROM b LEFT JOIN a USING (variable_id, key) GROUP BY variable_id""",
     "catalog_models": "SELECT 'NORMAL' AS status, 2 AS n_variables, 3 AS version",
     "serving_pull": "SELECT event_id, vec_id IS NULL AS is_new, ROUND(COALESCE(CAST(embedding[1] AS DOUBLE), 9), 6) AS w0 FROM events LEFT JOIN embeddings ON vec_id = user_id * 7",
     "stream_train_sgd": "SELECT user_id AS key, ROUND(-0.5 * SUM(value), 4) AS w FROM events GROUP BY user_id",

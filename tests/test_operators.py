@@ -175,3 +175,13 @@ def test_every_day_is_written_and_read(spark, tmp_path):
     clicklog.write_all_days(log, f"file://{tmp_path}/days", 3)
     got = clicklog.read_days(spark, f"file://{tmp_path}/days").groupBy("day_n").agg(F.count(F.lit(1)), F.sum("C26")).collect()
     assert {tuple(r) for r in got} == {(n, 4, 16 * n + 6) for n in range(14)} | {(None, 4, 56 + 57 + 58 + 59)}
+
+
+def test_ragged_pull_and_commit_metrics_per_variable(spark):
+    """The same key of two variables is two keys."""
+    state = spark.createDataFrame([(1, 7, [1.0]), (2, 7, [2.0]), (2, (1 << 62) + 1, [3.0])], "variable_id int, key bigint, weights array<double>")
+    rows = spark.createDataFrame([(0, 1, [7, (1 << 62) + 1]), (0, 2, [(1 << 62) + 1, 7]), (1, 2, [])], "rec_id bigint, variable_id int, indices array<bigint>")
+    got = lookup.pull_ragged(rows, state, "rec_id", "indices", init={"category": "constant", "value": 0.5}, dim=1, on=("variable_id",))
+    assert sorted(tuple(r) for r in got.collect()) == [(0, 1, [[1.0], [0.5]]), (0, 2, [[3.0], [2.0]]), (1, 2, [])]
+    before = state.where("variable_id = 1").unionByName(spark.createDataFrame([(2, 7, [9.0])], state.schema))
+    assert sorted(tuple(r) for r in analysis.commit_metrics(before, state, on=("variable_id",)).collect()) == [(1, 0, 0, 1), (2, 1, 1, 0)]
