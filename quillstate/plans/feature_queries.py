@@ -151,6 +151,14 @@ def tfrecord_roundtrip(spark, d):
     return tfrecord.read(spark, path, log.schema).select("rec_id", "label", "C3", F.round("I2", 6).alias("I2"))
 
 
+def tfrecord_roundtrip_all(spark, d):
+    """Rows with missing features too: the writer leaves them out, the reader gives NULL."""
+    log = _log(spark, d).select("rec_id", "label", "C3", "I2")
+    path = _work(spark, "tfrecord")
+    tfrecord.write(log, path)
+    return tfrecord.read(spark, path, log.schema).select("rec_id", "label", "C3", F.round("I2", 6).alias("I2"))
+
+
 def vocabulary_meta(spark, d):
     path = _work(spark, "vocabulary")
     clicklog.write_vocabulary(column_cardinality(spark, d), path)
@@ -250,7 +258,7 @@ def lr_forward(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     fill_missing, column_prefix, minmax_scale, standardise, label_encode_sorted, label_encode_first_seen, hash_bucket_share, mod_bucket, offset_encode, hash_encode, row_replicate, hex_parse,
-    batch_assign, train_test_split, column_cardinality, init_uniform, init_normal, csv_roundtrip, tsv_hex_scan, day_files_scan, day_files_scan_all, tfrecord_roundtrip, vocabulary_meta, record_files,
+    batch_assign, train_test_split, column_cardinality, init_uniform, init_normal, csv_roundtrip, tsv_hex_scan, day_files_scan, day_files_scan_all, tfrecord_roundtrip, tfrecord_roundtrip_all, vocabulary_meta, record_files,
     batch_locality, cumulative_cache_hit, cumulative_cache_hit_all, trace_rollup, log_pivot, epoch_logs, logloss, auc, error_rate, metric_average, fm_second_order, lr_forward,
 )}
 
@@ -304,6 +312,7 @@ UNION ALL SELECT 'C9', MIN(C9), MAX(C9), MAX(C9) + 1 FROM train100 UNION ALL SEL
     "day_files_scan": "SELECT CAST(day_n AS INT) AS day_n, COUNT(*) AS n_rows, CAST(SUM(label) AS BIGINT) AS clicks, CAST(SUM(C9) AS BIGINT) AS c9_sum FROM train100 WHERE day_n IN (0, 1) GROUP BY day_n",
     "day_files_scan_all": "SELECT CAST(day_n AS INT) AS day_n, COUNT(*) AS n_rows, CAST(SUM(label) AS BIGINT) AS clicks, CAST(SUM(C9) AS BIGINT) AS c9_sum FROM train100 GROUP BY day_n",
     "tfrecord_roundtrip": "SELECT rec_id, label, C3, ROUND(CAST(CAST(I2 AS FLOAT) AS DOUBLE), 6) AS I2 FROM train100 WHERE label IS NOT NULL AND C3 IS NOT NULL AND I2 IS NOT NULL",
+    "tfrecord_roundtrip_all": "SELECT rec_id, label, C3, ROUND(CAST(CAST(I2 AS FLOAT) AS DOUBLE), 6) AS I2 FROM train100",
     "vocabulary_meta": """SELECT 'C1' AS "column", MAX(C1) + 1 AS cardinality FROM train100 UNION ALL SELECT 'C9', MAX(C9) + 1 FROM train100 UNION ALL SELECT 'C20', MAX(C20) + 1 FROM train100""",
     "record_files": "SELECT COUNT(*) AS n_rows, TRUE AS bounded FROM events",
     "batch_locality": _BATCHED + """

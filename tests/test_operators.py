@@ -185,3 +185,11 @@ def test_ragged_pull_and_commit_metrics_per_variable(spark):
     assert sorted(tuple(r) for r in got.collect()) == [(0, 1, [[1.0], [0.5]]), (0, 2, [[3.0], [2.0]]), (1, 2, [])]
     before = state.where("variable_id = 1").unionByName(spark.createDataFrame([(2, 7, [9.0])], state.schema))
     assert sorted(tuple(r) for r in analysis.commit_metrics(before, state, on=("variable_id",)).collect()) == [(1, 0, 0, 1), (2, 1, 1, 0)]
+
+
+def test_records_with_missing_features_come_back(spark):
+    from quillstate.plans import registry
+
+    got = registry.queries()["tfrecord_roundtrip_all"](spark, "/root/testdata/sf0.001")
+    log = spark.read.parquet("/root/testdata/sf0.001/train100.parquet")
+    assert got.count() == log.count() and got.where("I2 is null or C3 is null or label is null").count() == log.where("I2 is null or C3 is null or label is null").count() > 0
