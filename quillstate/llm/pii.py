@@ -9,8 +9,10 @@ and kinds together. Text outside spans scores 0. The same lattice with sums in p
 maxima gives the likelihood by which the weights are trained (``pii_train``); they are
 shipped in ``pii_weights.json``.
 
-Every line is decoded: no pattern narrower than the candidates stands before the model. What
-a line's candidates share (the words before a start, the words after an end) is scored once.
+Every line is decoded, whatever it looks like: no pattern stands before the model. What
+candidates share (the inside of a span by its shape, the words before a start, the words after
+an end) is scored once and kept; a candidate is left out only where the weights prove that no
+best segmentation holds it (``Model``).
 
 Defined results: a NULL or an empty text holds nothing; every distinct (kind, text) of a
 document is one row, exactly as written; spans never cross a line end; the redacted text
@@ -26,6 +28,9 @@ import os
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate
+from math import inf
+from string import ascii_lowercase, ascii_uppercase
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,11 +39,8 @@ from pyspark.sql import functions as F
 KINDS = ["email", "phone", "identity", "address", "name"]
 PLACEHOLDER = {"email": "<EMAIL>", "phone": "<PHONE>", "identity": "<ID>", "address": "<ADDRESS>", "name": "<NAME>"}
 WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.json")
-#: Entries of the name list that are shipped to the workers at most; a longer list raises.
-MAX_NAME_PARTS = 200_000
-
-#: Spans scored at or below this cannot be part of a best segmentation by the transitions' size.
-HOPELESS = -6.0
+#: Characters before and after a span that its features see.
+NEAR = 40
 
 #: Words, and lines, whose result a task keeps at most; those of LONG characters are not kept.
 CACHED, LONG = 1 << 15, 400
@@ -51,8 +53,17 @@ STREET_START = {"rue", "avenue", "boulevard", "place", "chemin", "impasse", "all
 STREET_SUFFIX = ("straße", "strasse", "str.", "gasse", "weg", "platz", "ring", "allee", "damm", "ufer", "gata", "gatan", "vägen", "straat", "laan", "gade", "vej")
 CALENDAR = {"mon", "tue", "wed", "thu", "fri", "sat", "sun", "jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"}
 
+#: Words, in several languages, that announce a kind.
+_CUE_WORDS = {
+    "phone": "tel phone telephone telefon telefono teléfono téléphone telefone mobile mobil handy cell call dial ring fax sms whatsapp hotline pager appeler appelez llamar llame ligar ligue anrufen rufnummer durchwahl звонить позвонить телефон тел 電話 電話番号",
+    "identity": "ssn social security passport pasaporte passeport passaporte reisepass pass ausweis personalausweis nino ni national identity identification tax steuer taxid tin nif nie dni cpf insee nir sécurité sociale documento identidad identidade id ids паспорт паспорта снилс инн 旅券 旅券番号 番号 マイナンバー personnummer insurance licence license",
+    "address": "street address addresses adresse anschrift dirección morada endereço адрес адресу 住所 ship shipping deliver delivered delivery parcel courier lives resident billing lieferung livraison",
+    "person": "name names author authors owner owned contact maintainer customer client user person reviewer reporter patient employee colleague manager sir madam thanks thank merci danke gracias obrigado спасибо",
+}
+CUES = {w: kind for kind, words in _CUE_WORDS.items() for w in words.split()}
+
 # ---- candidates -------------------------------------------------------------------------
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+|[^\w\s]|_|\s+")
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+|[^\w\s]|_")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _MAILS = [
     re.compile(r"(?<![\w.+%-])[\w.+%-]+(?:[@＠]|[ ]?[(\[{<][ ]?(?:at|AT|@)[ ]?[)\]}>][ ]?)[\w-]+(?:(?:\.|[ ]?[(\[{][ ]?(?:dot|DOT)[ ]?[)\]}][ ]?|[ ](?:dot|DOT)[ ])[\w-]+)+"),
@@ -65,25 +76,44 @@ _HOUSE = r"\d{1,5}(?:[ ]?[a-zA-Z]\b)?(?:[ ](?:bis|ter))?"
 _AW = r"(?:[^\W\d_]+\.?(?:['’-][^\W\d_]+)*|C/)"
 _FRONT = re.compile(rf"(?<![\w./:+-])({_HOUSE})(,)?[ ]({_AW}(?:[ ]{_AW}){{0,4}})")
 _BACK = re.compile(rf"(?<![\w./:+@-])({_AW}(?:[ ]{_AW}){{0,4}})(,)?[ ]({_HOUSE})(?![\w:/]|[.,-]\d)")
-_NAME = r"[^\W\d_]+(?:['’][^\W\d_]+)*\.?"
+_LETTERS = re.compile(r"[^\W\d_]+")
+_NAME = r"[^\W\d_]++(?:['’][^\W\d_]++)*+\.?"
 _NAME_WORD = re.compile(_NAME)
-_RUN = re.compile(rf"{_NAME}(?:(?:[ \u00a0\u3000]|-|,[ ]|[ ]-[ ]){_NAME})*")
+_NEXT = rf"(?:(?:[ \u00a0\u3000]|-|,[ ]|[ ]-[ ]){_NAME})"
+_RUN, _LONG_RUN = re.compile(rf"(?<![^\W\d_]){_NAME}{_NEXT}*+"), re.compile(rf"(?<![^\W\d_]){_NAME}{_NEXT}++")
+#: Runs of words with single spaces between them, and nothing else.
+_PLAIN_RUN = re.compile(r"[^\W\d_]+(?: [^\W\d_]+)+")
 _CJK_NAME = re.compile(r"[\u4e00-\u9fff々]{1,4}[ \u3000]?[\u4e00-\u9fff\u3040-\u309f々]{1,5}")
 # what every form of a kind must hold; only lines without it are spared the forms
-_AT = re.compile(r"[@＠]|\b(?:at|AT)\b")
 _CJK = re.compile(r"[\u4e00-\u9fff]")
 _HOUSE_BESIDE = re.compile(r"\d(?: ?[a-zA-Z])?(?: (?:bis|ter))?,? [^\W\d_]|[^\W\d_][./]?,? \d")
-_STREET_WORD = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(sorted(re.escape(w) for w in STREET_END | STREET_START))})(?![^\W\d_])|(?:{'|'.join(re.escape(w) for w in STREET_SUFFIX)})(?![^\W\d_])", re.I)
-#: Whole-line forms of the tools that write these texts; they hold no free text.
-_FIXED = re.compile(r"@@ |diff --|index [0-9a-f]|Date:|commit [0-9a-f]|Merge:|# (?:Date|Node ID|Parent|HG)|From [0-9a-f]{40}|literal \d|(?:---|\+\+\+) [ab]/|z[^ ]{20,}$")
-_SQL = re.compile(r"[ +-]?\s*(?:SELECT|CREATE|ALTER) ")
+#: The letters of street words: a line in plain ASCII without any of them holds no address.
+_STREETS = {x for w in STREET_END | STREET_START for x in re.findall(r"[^\W\d_]+", w)}
+_STREET_TAILS = tuple(w.rstrip(".") for w in STREET_SUFFIX)
 _WIDE = str.maketrans("０１２３４５６７８９－＋＠", "0123456789-+@")
+_ALIKE = str.maketrans("3456789３４５６７８９", "2222222２２２２２２２")
+_SHAPE = str.maketrans("0123456789０１２３４５６７８９－＋＠" + ascii_lowercase + ascii_uppercase, "d" * 20 + "-+@" + "a" * 26 + "A" * 26)
+
+
+class _Kept(dict):
+    """Values of a function of one word, the latest of them kept."""
+
+    def __init__(self, f: Callable):
+        self.f = f
+
+    def __missing__(self, w: str):
+        if len(self) >= CACHED:
+            self.clear()
+        v = self[w] = self.f(w)
+        return v
 
 
 class Gazetteer:
     def __init__(self, given: set[str], family: set[str]):
         self.given, self.family = given, family
-        self.word_class = lru_cache(CACHED)(self._word_class)
+        # a single word can be a name only if one of its parts is listed
+        self.parts = frozenset(w for x in given | family for w in _LETTERS.findall(x))
+        self.classes = _Kept(self._word_class)
 
     @classmethod
     def of(cls, rows: list[tuple[str, str]]) -> Gazetteer:
@@ -118,40 +148,49 @@ class Gazetteer:
 
 
 def shape(s: str) -> str:
-    s = s.translate(_WIDE)
-    return re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "d", s)))
+    return s.translate(_SHAPE)
+
+
+def _edge(c: str) -> str:
+    """The class of the character beside a span."""
+    return "^" if not c else "s" if c in " \t\u3000" else "0" if c.isdigit() else "w" if c.isalpha() else "q" if c in "\"'`<>()[]{}|（）「」" else c if c in ",;:/.=-@" else "x"
 
 
-def _left(line: str, a: int) -> tuple[str, list[str]]:
-    """The token before ``a`` and the features that only a start decides."""
-    left = line[max(0, a - 40) : a]
-    lt = [t for t in _TOKEN.findall(left) if not t.isspace()][-3:]
-    lt = ["0" if t.isdigit() else t.casefold() for t in lt]
+def _left(left: str) -> tuple[str, list[str]]:
+    """The token at the end of the ``NEAR`` characters before a span, and the features that only a start decides."""
+    lt = _TOKEN.findall(left.casefold())
+    cues = () if CUES.keys().isdisjoint(lt) else sorted({CUES[t] for t in lt if t in CUES})
+    lt = ["0" if t.isdigit() else t for t in lt[-3:]]
     l3, l2, l1 = (["^"] * 3 + lt)[-3:]
     words = [t for t in lt if t[0].isalpha()]
-    out = [f"l1={l1}", f"l2={l2} {l1}", f"l3={l3} {l2} {l1}", "lw=" + (words[-1] if words else "^")]
+    out = [f"l1={l1}", f"l2={l2} {l1}", f"l3={l3} {l2} {l1}", "lw=" + (words[-1] if words else "^"), "le=" + _edge(left[-1:])]
+    out += [f"lb={w}" for w in sorted({*words[:-1]})] + [f"lcue={c}" for c in cues]
     if left[-1:].isspace():
         out.append("lspace")
     return l1, out
 
 
-def _right(line: str, b: int) -> tuple[str, list[str]]:
-    """The token after ``b`` and the features that only an end decides."""
-    rt = [t for t in _TOKEN.findall(line[b : b + 40]) if not t.isspace()][:3]
-    rt = ["0" if t.isdigit() else t.casefold() for t in rt]
+def _right(right: str) -> tuple[str, list[str]]:
+    """The token at the start of the ``NEAR`` characters after a span, and the features that only an end decides."""
+    rt = _TOKEN.findall(right.casefold())
+    cues = () if CUES.keys().isdisjoint(rt) else sorted({CUES[t] for t in rt if t in CUES})
+    rt = ["0" if t.isdigit() else t for t in rt[:3]]
     r1, r2 = (rt + ["$"] * 2)[:2]
     words = [t for t in rt if t[0].isalpha()]
-    return r1, [f"r1={r1}", f"r2={r1} {r2}", "rw=" + (words[0] if words else "$")]
+    return r1, [f"r1={r1}", f"r2={r1} {r2}", "rw=" + (words[0] if words else "$"), "re=" + _edge(right[:1]), *[f"rcue={c}" for c in cues]]
 
 
-def _head(line: str) -> str:
-    m = _WORD.search(line)
-    return m[0].casefold() if m else ""
+def _line(words: list[str]) -> list[str]:
+    """The features that all spans of a line share: its first word, and whether a cue word stands anywhere in it."""
+    cues = () if CUES.keys().isdisjoint(words) else sorted({CUES[w] for w in words if w in CUES})
+    return ["bias", "head=" + (words[0] if words else ""), *[f"cue={c}" for c in cues]]
 
 
-def _email_feats(s: str) -> list[str]:
+def _email_feats(s: str, trimmed: bool) -> list[str]:
     out = ["at=" + ("@" if "@" in s or "＠" in s else "word")]
     local, _, host = s.replace("＠", "@").partition("@")
+    if trimmed:
+        out.append("trimmed")
     if host:
         out.append("tld=" + ("num" if host.rsplit(".", 1)[-1].isdigit() else "alpha"))
         out.append("media" if re.search(r"\.(?:png|jpe?g|gif|svg|css)$", host, re.I) or re.match(r"\d+x\.", host) else "host")
@@ -165,24 +204,28 @@ def _email_feats(s: str) -> list[str]:
     return out
 
 
-def _digit_feats(s: str) -> list[str]:
-    sh = shape(s)
-    n = sh.count("d")
-    seps = "".join(sorted(set(re.sub(r"[dAa]", "", sh))))
-    out = ["shape=" + sh, f"n={n}", "seps=" + seps, "start=" + sh[:2], "end=" + sh[-2:], f"groups={len(re.findall('d+', sh))}", "lens=" + "-".join(str(len(x)) for x in re.findall("d+", sh))]
-    t = s.translate(_WIDE)
-    out.append("lead=" + ("+" if t[0] == "+" else "(" if t[0] == "(" else "00" if t[:2] == "00" else t[0] if t[0] in "01" else "A" if t[0].isalpha() else "d"))
-    out.append("lead+n=" + out[-1] + str(n))
-    if re.fullmatch(r"\d{1,3}(?:\.\d{1,3}){3}", t):
+def _digit_feats(sh: str, first: str, cut: bool) -> list[str]:
+    """Features of a run of digits by its shape and its first two characters (``00``, or a leading 0 or 1)."""
+    groups = re.findall("d+", sh)
+    n, seps = sh.count("d"), "".join(sorted(set(re.sub(r"[dAa]", "", sh))))
+    out = ["cut"] if cut else []
+    out += ["shape=" + sh, f"n={n}", "seps=" + seps, "start=" + sh[:2], "end=" + sh[-2:], f"groups={len(groups)}", "lens=" + "-".join(str(len(x)) for x in groups)]
+    lead = "+" if sh[0] == "+" else "(" if sh[0] == "(" else "A" if sh[0].isalpha() else first
+    out += ["lead=" + lead, f"lead+n=lead={lead}{n}"]
+    if re.fullmatch(r"d{1,3}(?:\.d{1,3}){3}", sh):
         out.append("ipv4")
-    if re.fullmatch(r"\d{4}-\d\d-\d\d", t):
+    if sh == "dddd-dd-dd":
         out.append("isodate")
-    if re.fullmatch(r"\d+(?:\.\d+)+", t) and not re.fullmatch(r"\d\d(?:\.\d\d){4}|\d{3}\.\d{3}\.\d{4}", t):
+    if re.fullmatch(r"d+(?:\.d+)+", sh) and not re.fullmatch(r"dd(?:\.dd){4}|ddd\.ddd\.dddd", sh):
         out.append("dotted")
     return out
 
 
-def _address_feats(words: list[str], front: bool, comma: bool, number: str, longer_left: str, longer_right: str) -> list[str]:
+def _digit_key(s: str, cut: bool) -> tuple[str, str, bool]:
+    return shape(s), "00" if s[:2] == "00" else s[0] if s[0] in "01" else "d", cut
+
+
+def _address_feats(words: tuple[str, ...], front: bool, comma: bool, number: str, longer_left: str, longer_right: str) -> list[str]:
     low = [w.casefold() for w in words]
     end, start = low[-1] in STREET_END, low[0] in STREET_START
     suffix = any(w.endswith(STREET_SUFFIX) and len(w) > 5 for w in low[-1:])
@@ -203,155 +246,195 @@ def _address_feats(words: list[str], front: bool, comma: bool, number: str, long
     return out
 
 
-def candidates(line: str, gaz: Gazetteer, score=None) -> list[tuple]:
-    """(start, end, kind, features) of all spans worth scoring, by start.
+def _cjk_feats(sh: str, from_start: bool, to_end: bool, space: bool, n: int) -> list[str]:
+    return ["cjk", "cjk=" + re.sub(r"(.)\1+", r"\1", sh), f"cjkfull={from_start}{to_end}", f"cjkspace={space}:{' ' in sh}", f"cjkn={n}"]
+
 
-    With a ``score`` function of a kind and features, scores take the place of features, and hopeless spans are left out.
+def _run_spans(classes: str, seps: tuple[str, ...], short: bool) -> list[tuple[int, int, list[str]]]:
+    """First word, last word and features of the name spans of a run of words, by their classes and separators.
+
+    ``short``: one of the first two words has fewer than three letters.
+    """
+    out, size = [], len(classes)
+    if size == 1 and classes not in "GFBgfb":
+        return out
+    for i in range(size):
+        reverse = classes[i] == "p" and any("," in s for s in seps[i : i + 4])
+        lower = classes[i] == "l" and i + 1 < size and classes[i + 1] in "gf"
+        plain = i == 0 and classes[:2] == "ll" and not short  # unlisted, in small letters
+        if classes[i] not in "GFBUAigfb" and not reverse and not lower and not plain:
+            continue
+        for j in range(i, min(i + 6, size)):
+            c = classes[j]
+            if c not in "GFBUAigfbp" and not (c == "l" and (j == i or plain and j == 1 or any(x in "gfb" for x in classes[i:j]))):
+                break
+            if c in "pi" and j > i:
+                continue
+            between = seps[i:j]
+            if sum("," in s for s in between) > 1 or any(s not in (" ", "-", ", ", "\u00a0", "\u3000") for s in between):
+                break
+            if j == i and c not in "GFBgfb":
+                continue
+            pat = classes[i] + "".join({" ": " ", "-": "-", ", ": ","}.get(s, "_") + x for s, x in zip(between, classes[i + 1 : j + 1]))
+            known = sum(x in "GFBgfb" for x in classes[i : j + 1])
+            lc, rc = classes[i - 1] if i else "^", classes[j + 1] if j + 1 < size else "$"
+            ls, rs = seps[i - 1] if i else "", seps[j] if j + 1 < size else ""
+            coarse = re.sub("[GFB]", "K", pat)
+            out.append((i, j, [
+                "pat=" + pat, "coarse=" + re.sub("[KUA]", "N", coarse), f"known={min(known, 3)}", f"known={min(known, 3)}/{j - i + 1}",
+                "lc=" + lc, "rc=" + rc, f"lcs={lc}{ls}", f"rcs={rs}{rc}", f"n={j - i + 1}",
+                "first=" + classes[i], "last=" + c, f"comma={',' in ''.join(between)}:{known > 0}",
+            ]))
+    return out
+
+
+def _spans(line: str, words: list[str], gaz: Gazetteer, inner: Callable, run_spans: Callable) -> Iterator[tuple]:
+    """(start, end, kind, inside, first word, last word) of all spans worth scoring.
+
+    ``words`` are the line's runs of letters, case folded. ``inner(kind, feats, *key)`` values the features of a span's inside, ``run_spans`` those of a
+    run of words. The words are named for names only, where they are in no list.
     """
-    out: list[tuple] = []
-    head = "head=" + _head(line)
     plain = line.isascii()
     wide = line if plain else line.translate(_WIDE)
     digit = _DIGIT.search(wide)
-
-    lefts: dict[int, tuple[str, list[str]]] = {}
-    rights: dict[int, tuple[str, list[str]]] = {}
-    halves: dict[tuple[str, int, bool], float] = {}
-
-    def put(a: int, b: int, kind: str, feats: list[str]) -> None:
-        if not feats:
-            return
-        if a not in lefts:
-            lefts[a] = _left(line, a)
-        if b not in rights:
-            rights[b] = _right(line, b)
-        (l1, left), (r1, right) = lefts[a], rights[b]
-        if score is None:
-            out.append((a, b, kind, [f"{kind}:{f}" for f in ["bias", *feats, head, *left, *right, f"lr={l1}|{r1}"]]))
-            return
-        if (kind, a, False) not in halves:
-            halves[kind, a, False] = score(kind, ["bias", head, *left])
-        if (kind, b, True) not in halves:
-            halves[kind, b, True] = score(kind, right)
-        v = score(kind, [*feats, f"lr={l1}|{r1}"]) + halves[kind, a, False] + halves[kind, b, True]
-        if v > HOPELESS:
-            out.append((a, b, kind, v))
-
-    for m in (m for form in _MAILS for m in form.finditer(line)) if _AT.search(line) else ():
+    for m in (m for form in _MAILS for m in form.finditer(line)) if "@" in line or "at" in words or "＠" in line else ():
         s = m[1] if m.re is _MAILS[1] else m[0]
         b = m.start() + len(s)
         if m.re is _MAILS[1] and not re.search(r"[ (\[{](?:dot|DOT)[ )\]}]", s):
             continue
-        put(m.start(), b, "email", _email_feats(s))
+        yield m.start(), b, "email", inner("email", _email_feats, s, False), "", ""
         lead = re.match(r"[.%+-]+", s)
         if lead and lead.end() < len(s):
-            put(m.start() + lead.end(), b, "email", ["trimmed", *_email_feats(s[lead.end() :])])
+            yield m.start() + lead.end(), b, "email", inner("email", _email_feats, s[lead.end() :], True), "", ""
     for m in _DIGITS.finditer(wide) if digit else ():
         a, b = m.span()
         s = m[0]
-        feats = _digit_feats(s)
-        put(a, b, "phone", feats)
-        put(a, b, "identity", feats)
+        pieces = [(a, b, s, False)]
         if s[0] == "(" and ")" not in s or s[0] == "+" and a == 0:  # an opening bracket of the text, a mark of the line
             a, s = a + 1, s[1:]
-            put(a, b, "phone", ["cut", *_digit_feats(s)])
-            put(a, b, "identity", ["cut", *_digit_feats(s)])
+            pieces.append((a, b, s, True))
         lead = re.match(r"[A-Z]{1,2}[ -]?", s)
         trail = re.search(r"[ ][A-Z]$", s)
         if lead:
-            put(a + lead.end(), b, "phone", ["cut", *_digit_feats(s[lead.end() :])])
-            put(a + lead.end(), b, "identity", ["cut", *_digit_feats(s[lead.end() :])])
+            pieces.append((a + lead.end(), b, s[lead.end() :], True))
         if trail:
-            put(a, b - 2, "identity", ["cut", *_digit_feats(s[:-2])])
-            put(a, b - 2, "phone", ["cut", *_digit_feats(s[:-2])])
-    if digit and _HOUSE_BESIDE.search(line) and (not plain or _STREET_WORD.search(line)):
+            pieces.append((a, b - 2, s[:-2], True))
+        for x, y, t, cut in pieces:
+            key = _digit_key(t, cut)
+            yield x, y, "phone", inner("phone", _digit_feats, *key), "", ""
+            yield x, y, "identity", inner("identity", _digit_feats, *key), "", ""
+    if digit and (not plain or not _STREETS.isdisjoint(words) or any([w.endswith(_STREET_TAILS) for w in words])) and _HOUSE_BESIDE.search(line):
         for m in _FRONT.finditer(line):
-            words, at = m[3].split(" "), m.start(3)
-            for k in range(1, len(words) + 1):
-                end = at + sum(map(len, words[:k])) + k - 1
-                stop = words[k - 1].endswith(".")  # a full stop ends the text, not the street
-                put(m.start(), end - stop, "address", _address_feats([*words[: k - 1], words[k - 1].rstrip(".")], True, bool(m[2]), m[1], "", words[k] if k < len(words) else ""))
+            near, at = m[3].split(" "), m.start(3)
+            for k in range(1, len(near) + 1):
+                end = at + sum(map(len, near[:k])) + k - 1
+                stop = near[k - 1].endswith(".")  # a full stop ends the text, not the street
+                yield m.start(), end - stop, "address", inner("address", _address_feats, (*near[: k - 1], near[k - 1].rstrip(".")), True, bool(m[2]), m[1], "", near[k] if k < len(near) else ""), "", ""
         for m in _BACK.finditer(line):
-            words, at = m[1].split(" "), m.start(1)
-            for k in range(len(words)):
-                start = at + sum(map(len, words[:k])) + k
-                put(start, m.end(), "address", _address_feats(words[k:], False, bool(m[2]), m[3], words[k - 1] if k else "", ""))
-    _names(line, gaz, put)
-    out.sort(key=lambda c: (c[0], c[1]))
-    return out
-
-
-def _names(line: str, gaz: Gazetteer, put) -> None:
-    for run in _RUN.finditer(line):
-        if run[0].isalpha() and gaz.word_class(run[0]) not in "GFBgfb":  # one word that no list holds
+            near, at = m[1].split(" "), m.start(1)
+            for k in range(len(near)):
+                yield at + sum(map(len, near[:k])) + k, m.end(), "address", inner("address", _address_feats, tuple(near[k:]), False, bool(m[2]), m[3], near[k - 1] if k else "", ""), "", ""
+    class_of = gaz.classes.__getitem__
+    for run in (_LONG_RUN if gaz.parts.isdisjoint(words) else _RUN).finditer(line):
+        text, at = run[0], run.start()
+        if text.isalpha():  # one word
+            k = class_of(text)
+            if k in "GFBgfb":
+                for *_, x in run_spans(k, (), False):
+                    yield at, run.end(), "name", x, "", ""
             continue
-        toks = [(m.start() + run.start(), m.end() + run.start(), m[0]) for m in _NAME_WORD.finditer(run[0])]
-        # a full stop belongs to a word only after an initial or a short title
-        toks = [(a, b - 1, w[:-1]) if w.endswith(".") and len(w) > 2 and w.rstrip(".").casefold() not in TITLES else (a, b, w) for a, b, w in toks]
-        toks = [(a, b - 2, w[:-2]) if w.endswith(("'s", "’s")) and len(w) > 3 else (a, b, w) for a, b, w in toks]
-        classes = [gaz.word_class(w) for _, _, w in toks]
-        if len(toks) == 1 and classes[0] not in "GFBgfb":
-            continue
-        for i in range(len(toks)):
-            reverse = classes[i] == "p" and any("," in line[toks[k][1] : toks[k + 1][0]] for k in range(i, min(i + 4, len(toks) - 1)))
-            lower = classes[i] == "l" and i + 1 < len(toks) and classes[i + 1] in "gf"
-            plain = i == 0 and [c for c in classes[:2]] == ["l", "l"] and min(len(toks[0][2]), len(toks[1][2])) > 2  # unlisted, in small letters
-            if classes[i] not in "GFBUAigfb" and not reverse and not lower and not plain:
-                continue
-            for j in range(i, min(i + 6, len(toks))):
-                c = classes[j]
-                if c not in "GFBUAigfbp" and not (c == "l" and (j == i or plain and j == 1 or any(x in "gfb" for x in classes[i:j]))):
-                    break
-                if c in "pi" and j > i:
-                    continue
-                seps = [line[toks[k][1] : toks[k + 1][0]] for k in range(i, j)]
-                if sum("," in s for s in seps) > 1 or any(s not in (" ", "-", ", ", "\u00a0", "\u3000") for s in seps):
-                    break
-                if j == i and c not in "GFBgfb":
-                    continue
-                pat = classes[i] + "".join({" ": " ", "-": "-", ", ": ","}.get(s, "_") + x for s, x in zip(seps, classes[i + 1 : j + 1]))
-                known = sum(x in "GFBgfb" for x in classes[i : j + 1])
-                lc = classes[i - 1] if i else "^"
-                rc = classes[j + 1] if j + 1 < len(toks) else "$"
-                ls = line[toks[i - 1][1] : toks[i][0]] if i else ""
-                rs = line[toks[j][1] : toks[j + 1][0]] if j + 1 < len(toks) else ""
-                coarse = re.sub("[GFB]", "K", pat)
-                feats = [
-                    "pat=" + pat, "coarse=" + re.sub("[KUA]", "N", coarse), f"known={min(known, 3)}", f"known={min(known, 3)}/{j - i + 1}",
-                    "lc=" + lc, "rc=" + rc, f"lcs={lc}{ls}", f"rcs={rs}{rc}", f"n={j - i + 1}",
-                    "first=" + classes[i], "last=" + c, f"comma={',' in ''.join(seps)}:{known > 0}",
-                ]
-                put(toks[i][0], toks[j][1], "name", feats)
-    if not line.isascii() and _CJK.search(line):
+        toks = None
+        if _PLAIN_RUN.fullmatch(text):
+            names = text.split(" ")
+            seps = (" ",) * (len(names) - 1)
+        else:
+            toks = []
+            for m in _NAME_WORD.finditer(text):
+                a, b, w = m.start() + at, m.end() + at, m[0]
+                # a full stop belongs to a word only after an initial or a short title
+                if w[-1] == "." and len(w) > 2 and w[:-1].casefold() not in TITLES:
+                    b, w = b - 1, w[:-1]
+                if len(w) > 3 and w[-1] == "s" and w[-2] in "'’":
+                    b, w = b - 2, w[:-2]
+                toks.append((a, b))
+            names = [line[a:b] for a, b in toks]
+            seps = tuple([line[x[1] : y[0]] for x, y in zip(toks, toks[1:])])
+        classes = "".join(map(class_of, names))
+        for i, j, x in run_spans(classes, seps, len(names) > 1 and min(len(names[0]), len(names[1])) < 3):
+            if toks is None:
+                ends = list(accumulate(len(w) + 1 for w in names))
+                toks = [(at + e - len(w) - 1, at + e - 1) for e, w in zip(ends, names)]
+            yield toks[i][0], toks[j][1], "name", x, names[i].casefold() if classes[i] in "UAl" else "", names[j].casefold() if classes[j] in "UAl" and j > i else ""
+    if not plain and _CJK.search(line):
         for m in _CJK_NAME.finditer(line):
-            seen = set()
-            space = re.search(r"[ \u3000]", m[0])
+            space = " " in m[0] or "\u3000" in m[0]
             for a in range(m.start(), m.end() - 1):
-                for b in range(a + 2, m.end() + 1):
+                for b in range(a + 2, min(m.end(), a + 9) + 1):
                     s = line[a:b]
-                    if b - a > 9 or (a, b) in seen or s[0].isspace() or s[-1].isspace() or not "\u4e00" <= s[0] <= "\u9fff":
+                    if s[0].isspace() or s[-1].isspace() or not "\u4e00" <= s[0] <= "\u9fff":
                         continue
-                    seen.add((a, b))
                     sh = "".join(" " if x.isspace() else "k" if "\u4e00" <= x <= "\u9fff" or x == "々" else "h" for x in s)
-                    put(a, b, "name", ["cjk", "cjk=" + re.sub(r"(.)\1+", r"\1", sh), f"cjkfull={a == m.start()}{b == m.end()}", f"cjkspace={bool(space)}:{' ' in sh}", f"cjkn={b - a}"])
+                    yield a, b, "name", inner("name", _cjk_feats, sh, a == m.start(), b == m.end(), space, b - a), "", ""
+
+
+def candidates(line: str, gaz: Gazetteer) -> list[tuple[int, int, str, list[str]]]:
+    """(start, end, kind, features) of all spans worth scoring, by start."""
+    out, words = [], _LETTERS.findall(line.casefold())
+    shared = _line(words)
+    for a, b, kind, inside, first, last in _spans(line, words, gaz, lambda kind, feats, *key: feats(*key), _run_spans):
+        if inside:
+            (l1, left), (r1, right) = _left(line[max(0, a - NEAR) : a]), _right(line[b : b + NEAR])
+            ends = [f"w0={first}"] * bool(first) + [f"wn={last}"] * bool(last)
+            out.append((a, b, kind, [f"{kind}:{f}" for f in [*shared, *inside, *ends, *left, *right, f"lr={l1}|{r1}"]]))
+    out.sort(key=lambda c: (c[0], c[1]))
+    return out
 
 
 # ---- the model ----------------------------------------------------------------------------
 
 
 class Model:
+    """Weights by feature, and the scores of what lines share, kept for the lines to come.
+
+    A span scored below ``floor[kind]`` is in no best segmentation: taking it out costs its
+    score and changes at most the transitions around it, whose largest gain is ``-floor``. A
+    span is left unscored on the right where even the largest right side could not lift it
+    to the floor, so decoding gives what scoring every candidate gives.
+    """
+
     def __init__(self, weights: dict[str, float]):
         self.w = weights
         self.by_kind: dict[str, dict[str, float]] = {k: {} for k in [*KINDS, "trans"]}
         for f, v in weights.items():
             kind, _, rest = f.partition(":")
             self.by_kind[kind][rest] = v
+        self.trans = {p: {k: weights.get(f"trans:{p}>{k}", 0.0) for k in KINDS} | {"$": 0.0} for p in ["", *KINDS]}
+        self.floor = {k: -max(self.trans[p][k] + self.trans[k][n] - self.trans[p][n] for p in self.trans for n in [*KINDS, "$"]) - 1e-9 for k in KINDS}
+        self.most_right = {k: self._most(k, "r1", "r2", "rw", "re", "rcue", "lr", "wn") for k in KINDS}
+        self.most_beside = {k: self.most_right[k] + self._most(k, "l1", "l2", "l3", "lw", "le", "lb", "lcue", "lspace", "w0") for k in KINDS}
+        self.most_around = {k: self.most_beside[k] + self._most(k, "bias", "head", "cue") for k in KINDS}
+        self.inner = lru_cache(CACHED)(self._inner)
+        self.left = lru_cache(CACHED)(self._left)
+        self.right = lru_cache(CACHED)(self._right)
+        self.run_spans = lru_cache(CACHED)(self._run_spans)
+
+    def _most(self, kind: str, *templates: str) -> float:
+        """The largest score that features of some templates can have together."""
+        sums, best = {"cue", "lcue", "rcue", "lb"}, dict.fromkeys(templates, 0.0)  # several of these can hold at once
+        for f, v in self.by_kind[kind].items():
+            t = f.split("=")[0]
+            if t in best and v > 0:
+                best[t] = max(best[t], 2 * v if t == "lb" else v) if t not in sums or t == "lb" else best[t] + v
+        return sum(best.values())
 
     @classmethod
     def load(cls, path: str = WEIGHTS) -> Model:
         with open(path, encoding="utf-8") as f:
             return cls(json.load(f))
 
+    def __reduce__(self):
+        return Model, (self.w,)
+
     def score(self, feats: list[str]) -> float:
         w = self.w
         return sum(w[f] for f in feats if f in w)
@@ -363,10 +446,60 @@ class Model:
             v += w.get(f, 0.0)
         return v
 
+    def _inner(self, kind: str, feats: Callable, *key) -> float | None:
+        made = feats(*key)
+        v = self.part(kind, made) if made else -inf
+        return v if v + self.most_around[kind] >= self.floor[kind] else None
+
+    def _left(self, kind: str, left: str) -> tuple[str, float]:
+        l1, feats = _left(left)
+        return l1, self.part(kind, feats)
+
+    def _right(self, kind: str, right: str) -> tuple[str, float]:
+        r1, feats = _right(right)
+        return r1, self.part(kind, feats)
+
+    def _run_spans(self, classes: str, seps: tuple[str, ...], short: bool) -> list[tuple[int, int, float]]:
+        scored = [(i, j, self.part("name", feats)) for i, j, feats in _run_spans(classes, seps, short)]
+        return [(i, j, v) for i, j, v in scored if v + self.most_around["name"] >= self.floor["name"]]
+
+    def _cached_run(self, classes: str, seps: tuple[str, ...], short: bool) -> list[tuple[int, int, float]]:
+        return (self.run_spans if len(classes) < NEAR else self._run_spans)(classes, seps, short)
+
+    def spans(self, line: str, gaz: Gazetteer) -> list[tuple[int, int, str, float]]:
+        """(start, end, kind, score) of the candidates that a best segmentation can hold, by start."""
+        out, shared, lines, words = [], {}, None, _LETTERS.findall(line.casefold())
+        for a, b, kind, v, first, last in _spans(line, words, gaz, self.inner, self._cached_run):
+            if v is None:
+                continue
+            w = self.by_kind[kind]
+            if kind not in shared:
+                lines = lines or _line(words)
+                shared[kind] = self.part(kind, lines)
+            v += shared[kind]
+            if v + self.most_beside[kind] < self.floor[kind]:
+                continue
+            l1, left = self.left(kind, line[max(0, a - NEAR) : a])
+            v += left
+            if first:
+                v += w.get("w0=" + first, 0.0)
+            if v + self.most_right[kind] < self.floor[kind]:
+                continue
+            r1, right = self.right(kind, line[b : b + NEAR])
+            v += right + w.get(f"lr={l1}|{r1}", 0.0)
+            if last:
+                v += w.get("wn=" + last, 0.0)
+            if v >= self.floor[kind]:
+                out.append((a, b, kind, v))
+        out.sort(key=lambda c: (c[0], c[1]))
+        return out
+
     def decode(self, line: str, gaz: Gazetteer) -> list[tuple[int, int, str]]:
         """The best set of non-overlapping spans of one line."""
-        spans = candidates(line, gaz, self.part)
-        if not any(s > 0 for *_, s in spans):
+        return self.best(self.spans(line, gaz))
+
+    def best(self, spans: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str]]:
+        if not spans:
             return []
         # state: kind of the last span ("" at the start of the line)
         ends: dict[int, list] = {}
@@ -379,7 +512,7 @@ class Model:
             here = dict(best[prev]) if prev is not None else {"": (0.0, None)}
             for a, b, k, s in ends.get(p, ()):
                 for last, (v, back) in best[a].items():
-                    t = v + s + self.w.get(f"trans:{last}>{k}", 0.0)
+                    t = v + s + self.trans[last][k]
                     if k not in here or t > here[k][0]:
                         here[k] = (t, ((a, b, k), back))
             best[p] = here
@@ -392,10 +525,13 @@ class Model:
 
 
 def decoder(model: Model, gaz: Gazetteer) -> Callable[[str], list[tuple[int, int, str]]]:
-    """``model.decode`` with one name list; lines that repeat are decoded once."""
+    """``model.decode`` with one name list; lines that repeat but for their digits are decoded once.
+
+    No feature tells the digits 2 to 9 apart.
+    """
     whole = lambda line: model.decode(line, gaz)
     kept = lru_cache(CACHED)(whole)
-    return lambda line: kept(line) if len(line) < LONG else whole(line)
+    return lambda line: kept(line.translate(_ALIKE)) if len(line) < LONG else whole(line)
 
 
 def spans_of(text: str, decode: Callable[[str], list[tuple[int, int, str]]]) -> list[tuple[int, int, str]]:
@@ -403,17 +539,16 @@ def spans_of(text: str, decode: Callable[[str], list[tuple[int, int, str]]]) ->
     out, at = [], 0
     for raw in text.split("\n"):
         line = raw.rstrip("\r")
-        if line and not _FIXED.match(line) and not _SQL.match(line):
+        if line:
             out += [(at + a, at + b, kind) for a, b, kind in decode(line)]
         at += len(raw) + 1
     return out
 
 
 def name_rows(name_parts: DataFrame) -> list[tuple[str, str]]:
-    rows = name_parts.select("name_part", "role").where(F.col("name_part").isNotNull()).distinct().limit(MAX_NAME_PARTS + 1).collect()
-    if len(rows) > MAX_NAME_PARTS:
-        raise ValueError(f"the name list has more than {MAX_NAME_PARTS} entries")
-    return sorted((r[0], r[1]) for r in rows)
+    """The list of name parts, a table of people's names and not of the corpus; it goes to the workers by one broadcast."""
+    rows = name_parts.select("name_part", "role").where(F.col("name_part").isNotNull()).distinct().collect()
+    return sorted((r[0], r[1] or "") for r in rows)
 
 
 def _spread(docs: DataFrame) -> DataFrame:
@@ -430,11 +565,12 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 def find(docs: DataFrame, name_parts: DataFrame, model: Model | None = None) -> DataFrame:
     """``doc_id, kind, pii``: each distinct piece of personal information per document."""
-    model, rows = model or Model.load(), name_rows(name_parts)
+    shared = docs.sparkSession.sparkContext.broadcast(((model or Model.load()).w, name_rows(name_parts)))
     id_type = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = decoder(model, Gazetteer.of(rows))
+        weights, rows = shared.value
+        decode = decoder(Model(weights), Gazetteer.of(rows))
         for b, texts in _texts(batches):
             at, kinds, found = [], [], []
             for i, text in enumerate(texts):
@@ -452,11 +588,12 @@ def find(docs: DataFrame, name_parts: DataFrame, model: Model | None = None) ->
 
 def redact(docs: DataFrame, name_parts: DataFrame, model: Model | None = None) -> DataFrame:
     """``doc_id, text`` with every span replaced by the placeholder of its kind."""
-    model, rows = model or Model.load(), name_rows(name_parts)
+    shared = docs.sparkSession.sparkContext.broadcast(((model or Model.load()).w, name_rows(name_parts)))
     id_type = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = decoder(model, Gazetteer.of(rows))
+        weights, rows = shared.value
+        decode = decoder(Model(weights), Gazetteer.of(rows))
         for b, texts in _texts(batches):
             out = []
             for text in texts:

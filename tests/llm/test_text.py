@@ -117,27 +117,38 @@ def test_long_texts(spark, parts):
     assert ("email", "a@mill.test") in {(r.kind, r.pii) for r in pii.find(docs, parts).collect()}
 
 
-def test_held_out_accuracy():
-    scores = pii_train.held_out(pii.Model.load(), 800, seed=4242)
+def test_accuracy_on_other_lines_of_the_forms():
+    scores = pii_train.held_out(pii.Model.load(), 800, seed=4242, held=False)
     assert all(p > 0.97 and r > 0.97 for p, r in scores.values()), scores
 
 
+def test_accuracy_on_forms_never_trained_on():
+    (positive, negative), (kept, kept_negative) = pii_train.split_forms()
+    assert not set(kept) & set(positive) and not set(kept_negative) & set(negative) and len(kept) > 60 and len(kept_negative) > 60
+    scores = pii_train.held_out(pii.Model.load(), 1500, seed=4242)
+    assert all(p > 0.85 and r > 0.85 for p, r in scores.values()), scores
+
+
 def test_held_out_takes_the_path_of_find(monkeypatch):
     monkeypatch.setattr(pii_train, "spans_of", lambda text, decode: [])
     assert set(pii_train.held_out(pii.Model.load(), 50).values()) == {(0.0, 0.0)}
 
 
 def test_training_learns():
-    scores = pii_train.held_out(pii_train.train(n_lines=1500, epochs=3, verbose=False), 400, seed=11)
-    assert all(p > 0.85 and r > 0.85 for p, r in scores.values()), scores
+    scores = pii_train.held_out(pii_train.train(n_lines=1500, epochs=3, verbose=False), 400, seed=11, held=False)
+    assert all(p > 0.8 and r > 0.8 for p, r in scores.values()), scores
+
+
+def every_span(model, line, gaz):
+    """All candidates with the score of all their features: no bound, no cache."""
+    return [(a, b, k, model.score(f)) for a, b, k, f in pii.candidates(line, gaz)]
 
 
 def test_decoder_is_the_best_segmentation():
     """The dynamic program against all sets of non-overlapping spans, on short lines."""
     model, gaz = pii.Model.load(), pii.Gazetteer({"rosa"}, {"lindqvist"})
     for line in ("Rosa Lindqvist, 020 7946 0123", "ask Rosa, 5 Elm Road", "a@b.test 912-34-5678"):
-        spans = [(a, b, k, model.score(f)) for a, b, k, f in pii.candidates(line, gaz)]
-        spans = [s for s in spans if s[3] > pii.HOPELESS]
+        spans = every_span(model, line, gaz)
         best, stack = (0.0, []), [(0, "", 0.0, [])]
         while stack:
             at, last, v, path = stack.pop()
@@ -156,8 +167,50 @@ def test_no_line_is_passed_over():
         text = "first line\n" + line.format(name) + "\nlast line"
         assert [(k, text[a:b]) for a, b, k in pii.spans_of(text, decode)] == [("name", name)]
     assert pii.spans_of("Signed-off-by: format-daemon", decode) == []  # a login, not a name in small letters
-    maker = pii_train.Maker(77)
-    for _ in range(1500):
-        line, _, gaz = maker.line()
-        if not pii._FIXED.match(line) and not pii._SQL.match(line):
-            assert pii.spans_of(line, pii.decoder(model, gaz)) == model.decode(line, gaz), line
+    for held in (False, True):
+        maker = pii_train.Maker(77, held)
+        for _ in range(1500):
+            line, _, gaz = maker.line()
+            assert pii.spans_of(line, pii.decoder(model, gaz)) == model.best(every_span(model, line, gaz)), line
+
+
+def test_the_operator_is_the_model_on_every_line(spark):
+    """All documents of the test tables: bounds, caches and like digits change no result."""
+    d = "/root/testdata/sf0.01"
+    model, gaz = pii.Model.load(), pii.Gazetteer.of(pii.name_rows(spark.read.parquet(f"{d}/name_parts.parquet")))
+    decode, lines = pii.decoder(model, gaz), set()
+    for r in spark.read.parquet(f"{d}/documents.parquet").select("text").where("text is not null").toLocalIterator():
+        lines |= {x.rstrip("\r") for x in r.text.split("\n")}
+    for line in lines:
+        assert pii.spans_of(line, decode) == model.best(every_span(model, line, gaz)), line
+
+
+def test_lines_that_tools_write_are_read(spark, parts):
+    """Queries, headers and hunks hold cases like any other line."""
+    lines = {
+        "SELECT id FROM users WHERE email = 'jane.roe@mill.test' AND tel = '+44 1632 960123'": [("email", "jane.roe@mill.test"), ("phone", "+44 1632 960123")],
+        "CREATE USER for ops@mill.test": [("email", "ops@mill.test")],
+        "+++ b/AUTHORS Rose Wentor <rose@x.test>": [("name", "Rose Wentor"), ("email", "rose@x.test")],
+        "commit by Rose Wentor <rose@mill.test>": [("name", "Rose Wentor"), ("email", "rose@mill.test")],
+        "@@ -1,2 +1,2 @@ mail jane@x.test": [("email", "jane@x.test")],
+        "Call 555-0123 before rolling this back.": [("phone", "555-0123")],
+        "My SSN is 123-45-6789": [("identity", "123-45-6789")],
+        "Mein Name ist Peter Müller": [("name", "Peter Müller")],
+        "Please send it to Kevin Larsson by Friday": [("name", "Kevin Larsson")],
+        "Call John Smith at +44 1632 960123": [("name", "John Smith"), ("phone", "+44 1632 960123")],
+        "index 0988449..1234567 100644": [],
+        "Date:   Sun Mar 08 11:43:47 2015 +0100": [],
+    }
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    found = {}
+    for r in pii.find(docs, parts).collect():
+        found.setdefault(r.doc_id, []).append((r.kind, r.pii))
+    for i, (line, want) in enumerate(lines.items()):
+        assert sorted(found.get(i, [])) == sorted(want), line
+
+
+def test_every_street_word_passes_the_filter():
+    """Lines with a span of an address are never taken for lines without one."""
+    for w in [*pii.STREET_END, *pii.STREET_START, *("Alt" + x for x in pii.STREET_SUFFIX)]:
+        words = pii._LETTERS.findall(w.casefold())
+        assert not pii._STREETS.isdisjoint(words) or any(x.endswith(pii._STREET_TAILS) for x in words), w
