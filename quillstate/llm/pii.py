@@ -43,7 +43,7 @@ WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.json")
 NEAR = 40
 
 #: Words, and lines, whose result a task keeps at most; those of LONG characters are not kept.
-CACHED, LONG = 1 << 15, 400
+CACHED, LONG = 1 << 16, 400
 
 # ---- fixed word lists -----------------------------------------------------------------
 PARTICLES = {"von", "van", "der", "den", "de", "la", "del", "dos", "da", "di", "du", "bin", "al", "ter", "af", "zu"}
@@ -61,6 +61,7 @@ _CUE_WORDS = {
     "person": "name names author authors owner owned contact maintainer customer client user person reviewer reporter patient employee colleague manager sir madam thanks thank merci danke gracias obrigado спасибо",
 }
 CUES = {w: kind for kind, words in _CUE_WORDS.items() for w in words.split()}
+_CUES = frozenset(CUES)
 
 # ---- candidates -------------------------------------------------------------------------
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+|[^\w\s]|_")
@@ -71,7 +72,6 @@ _MAILS = [
 ]
 # every repetition below has one way to match, so that no text makes a pattern try twice
 _DIGITS = re.compile(r"(?<![\w.])(?:[+＋]|\(\+?)?(?:[A-Z]{1,2}[ -]?)?\d(?:(?:[ \t]|[ \t]?[-./()][ \t]?)?\d){5,24}(?:-?[A-Z]\b|[ ][A-Z]\b)?(?!\w)")
-_DIGIT = re.compile(r"\d")
 _HOUSE = r"\d{1,5}(?:[ ]?[a-zA-Z]\b)?(?:[ ](?:bis|ter))?"
 _AW = r"(?:[^\W\d_]+\.?(?:['’-][^\W\d_]+)*|C/)"
 _FRONT = re.compile(rf"(?<![\w./:+-])({_HOUSE})(,)?[ ]({_AW}(?:[ ]{_AW}){{0,4}})")
@@ -81,16 +81,15 @@ _NAME = r"[^\W\d_]++(?:['’][^\W\d_]++)*+\.?"
 _NAME_WORD = re.compile(_NAME)
 _NEXT = rf"(?:(?:[ \u00a0\u3000]|-|,[ ]|[ ]-[ ]){_NAME})"
 _RUN, _LONG_RUN = re.compile(rf"(?<![^\W\d_]){_NAME}{_NEXT}*+"), re.compile(rf"(?<![^\W\d_]){_NAME}{_NEXT}++")
-#: Runs of words with single spaces between them, and nothing else.
-_PLAIN_RUN = re.compile(r"[^\W\d_]+(?: [^\W\d_]+)+")
 _CJK_NAME = re.compile(r"[\u4e00-\u9fff々]{1,4}[ \u3000]?[\u4e00-\u9fff\u3040-\u309f々]{1,5}")
 # what every form of a kind must hold; only lines without it are spared the forms
 _CJK = re.compile(r"[\u4e00-\u9fff]")
 _HOUSE_BESIDE = re.compile(r"\d(?: ?[a-zA-Z])?(?: (?:bis|ter))?,? [^\W\d_]|[^\W\d_][./]?,? \d")
 #: The letters of street words: a line in plain ASCII without any of them holds no address.
 _STREETS = {x for w in STREET_END | STREET_START for x in re.findall(r"[^\W\d_]+", w)}
-_STREET_TAILS = tuple(w.rstrip(".") for w in STREET_SUFFIX)
+_TAILS = {w.rstrip(".")[-3:] for w in STREET_SUFFIX}
 _WIDE = str.maketrans("０１２３４５６７８９－＋＠", "0123456789-+@")
+_FOLDED = bytes(ord(chr(i).lower()) if i < 128 and chr(i).isalpha() else 32 for i in range(256))
 _ALIKE = str.maketrans("3456789３４５６７８９", "2222222２２２２２２２")
 _SHAPE = str.maketrans("0123456789０１２３４５６７８９－＋＠" + ascii_lowercase + ascii_uppercase, "d" * 20 + "-+@" + "a" * 26 + "A" * 26)
 
@@ -159,7 +158,7 @@ def _edge(c: str) -> str:
 def _left(left: str) -> tuple[str, list[str]]:
     """The token at the end of the ``NEAR`` characters before a span, and the features that only a start decides."""
     lt = _TOKEN.findall(left.casefold())
-    cues = () if CUES.keys().isdisjoint(lt) else sorted({CUES[t] for t in lt if t in CUES})
+    cues = () if _CUES.isdisjoint(lt) else sorted({CUES[t] for t in lt if t in CUES})
     lt = ["0" if t.isdigit() else t for t in lt[-3:]]
     l3, l2, l1 = (["^"] * 3 + lt)[-3:]
     words = [t for t in lt if t[0].isalpha()]
@@ -173,17 +172,24 @@ def _left(left: str) -> tuple[str, list[str]]:
 def _right(right: str) -> tuple[str, list[str]]:
     """The token at the start of the ``NEAR`` characters after a span, and the features that only an end decides."""
     rt = _TOKEN.findall(right.casefold())
-    cues = () if CUES.keys().isdisjoint(rt) else sorted({CUES[t] for t in rt if t in CUES})
+    cues = () if _CUES.isdisjoint(rt) else sorted({CUES[t] for t in rt if t in CUES})
     rt = ["0" if t.isdigit() else t for t in rt[:3]]
     r1, r2 = (rt + ["$"] * 2)[:2]
     words = [t for t in rt if t[0].isalpha()]
     return r1, [f"r1={r1}", f"r2={r1} {r2}", "rw=" + (words[0] if words else "$"), "re=" + _edge(right[:1]), *[f"rcue={c}" for c in cues]]
 
 
-def _line(words: list[str]) -> list[str]:
+def _words(line: str) -> list[str]:
+    """The runs of letters of a line, case folded."""
+    return line.encode().translate(_FOLDED).decode().split() if line.isascii() else _LETTERS.findall(line.casefold())
+
+
+def _line(words: list[str]) -> tuple[str, ...]:
     """The features that all spans of a line share: its first word, and whether a cue word stands anywhere in it."""
-    cues = () if CUES.keys().isdisjoint(words) else sorted({CUES[w] for w in words if w in CUES})
-    return ["bias", "head=" + (words[0] if words else ""), *[f"cue={c}" for c in cues]]
+    head = "head=" + (words[0] if words else "")
+    if _CUES.isdisjoint(words):
+        return "bias", head
+    return "bias", head, *[f"cue={c}" for c in sorted({CUES[w] for w in words if w in CUES})]
 
 
 def _email_feats(s: str, trimmed: bool) -> list[str]:
@@ -296,7 +302,8 @@ def _spans(line: str, words: list[str], gaz: Gazetteer, inner: Callable, run_spa
     """
     plain = line.isascii()
     wide = line if plain else line.translate(_WIDE)
-    digit = _DIGIT.search(wide)
+    coded = wide.encode()
+    digits = len(coded) - len(coded.translate(None, b"0123456789"))
     for m in (m for form in _MAILS for m in form.finditer(line)) if "@" in line or "at" in words or "＠" in line else ():
         s = m[1] if m.re is _MAILS[1] else m[0]
         b = m.start() + len(s)
@@ -306,7 +313,7 @@ def _spans(line: str, words: list[str], gaz: Gazetteer, inner: Callable, run_spa
         lead = re.match(r"[.%+-]+", s)
         if lead and lead.end() < len(s):
             yield m.start() + lead.end(), b, "email", inner("email", _email_feats, s[lead.end() :], True), "", ""
-    for m in _DIGITS.finditer(wide) if digit else ():
+    for m in _DIGITS.finditer(wide) if digits > 5 else ():
         a, b = m.span()
         s = m[0]
         pieces = [(a, b, s, False)]
@@ -323,7 +330,7 @@ def _spans(line: str, words: list[str], gaz: Gazetteer, inner: Callable, run_spa
             key = _digit_key(t, cut)
             yield x, y, "phone", inner("phone", _digit_feats, *key), "", ""
             yield x, y, "identity", inner("identity", _digit_feats, *key), "", ""
-    if digit and (not plain or not _STREETS.isdisjoint(words) or any([w.endswith(_STREET_TAILS) for w in words])) and _HOUSE_BESIDE.search(line):
+    if digits and (not plain or not _STREETS.isdisjoint(words) or not _TAILS.isdisjoint([w[-3:] for w in words])) and _HOUSE_BESIDE.search(line):
         for m in _FRONT.finditer(line):
             near, at = m[3].split(" "), m.start(3)
             for k in range(1, len(near) + 1):
@@ -344,7 +351,7 @@ def _spans(line: str, words: list[str], gaz: Gazetteer, inner: Callable, run_spa
                     yield at, run.end(), "name", x, "", ""
             continue
         toks = None
-        if _PLAIN_RUN.fullmatch(text):
+        if text.replace(" ", "").isalpha():  # single spaces, and nothing else
             names = text.split(" ")
             seps = (" ",) * (len(names) - 1)
         else:
@@ -379,7 +386,7 @@ def _spans(line: str, words: list[str], gaz: Gazetteer, inner: Callable, run_spa
 
 def candidates(line: str, gaz: Gazetteer) -> list[tuple[int, int, str, list[str]]]:
     """(start, end, kind, features) of all spans worth scoring, by start."""
-    out, words = [], _LETTERS.findall(line.casefold())
+    out, words = [], _words(line)
     shared = _line(words)
     for a, b, kind, inside, first, last in _spans(line, words, gaz, lambda kind, feats, *key: feats(*key), _run_spans):
         if inside:
@@ -392,6 +399,9 @@ def candidates(line: str, gaz: Gazetteer) -> list[tuple[int, int, str, list[str]
 
 # ---- the model ----------------------------------------------------------------------------
 
+# kinds that share a place ask for its features one after another
+_left_of, _right_of = lru_cache(64)(_left), lru_cache(64)(_right)
+
 
 class Model:
     """Weights by feature, and the scores of what lines share, kept for the lines to come.
@@ -410,6 +420,7 @@ class Model:
             self.by_kind[kind][rest] = v
         self.trans = {p: {k: weights.get(f"trans:{p}>{k}", 0.0) for k in KINDS} | {"$": 0.0} for p in ["", *KINDS]}
         self.floor = {k: -max(self.trans[p][k] + self.trans[k][n] - self.trans[p][n] for p in self.trans for n in [*KINDS, "$"]) - 1e-9 for k in KINDS}
+        self.most_in = {k: max(self.trans[p][k] for p in self.trans) for k in KINDS}
         self.most_right = {k: self._most(k, "r1", "r2", "rw", "re", "rcue", "lr", "wn") for k in KINDS}
         self.most_beside = {k: self.most_right[k] + self._most(k, "l1", "l2", "l3", "lw", "le", "lb", "lcue", "lspace", "w0") for k in KINDS}
         self.most_around = {k: self.most_beside[k] + self._most(k, "bias", "head", "cue") for k in KINDS}
@@ -417,6 +428,7 @@ class Model:
         self.left = lru_cache(CACHED)(self._left)
         self.right = lru_cache(CACHED)(self._right)
         self.run_spans = lru_cache(CACHED)(self._run_spans)
+        self.shared = lru_cache(CACHED)(self.part)
 
     def _most(self, kind: str, *templates: str) -> float:
         """The largest score that features of some templates can have together."""
@@ -452,11 +464,11 @@ class Model:
         return v if v + self.most_around[kind] >= self.floor[kind] else None
 
     def _left(self, kind: str, left: str) -> tuple[str, float]:
-        l1, feats = _left(left)
+        l1, feats = _left_of(left)
         return l1, self.part(kind, feats)
 
     def _right(self, kind: str, right: str) -> tuple[str, float]:
-        r1, feats = _right(right)
+        r1, feats = _right_of(right)
         return r1, self.part(kind, feats)
 
     def _run_spans(self, classes: str, seps: tuple[str, ...], short: bool) -> list[tuple[int, int, float]]:
@@ -468,14 +480,14 @@ class Model:
 
     def spans(self, line: str, gaz: Gazetteer) -> list[tuple[int, int, str, float]]:
         """(start, end, kind, score) of the candidates that a best segmentation can hold, by start."""
-        out, shared, lines, words = [], {}, None, _LETTERS.findall(line.casefold())
+        out, shared, lines, words = [], {}, None, _words(line)
         for a, b, kind, v, first, last in _spans(line, words, gaz, self.inner, self._cached_run):
             if v is None:
                 continue
             w = self.by_kind[kind]
             if kind not in shared:
                 lines = lines or _line(words)
-                shared[kind] = self.part(kind, lines)
+                shared[kind] = self.shared(kind, lines)
             v += shared[kind]
             if v + self.most_beside[kind] < self.floor[kind]:
                 continue
@@ -499,7 +511,7 @@ class Model:
         return self.best(self.spans(line, gaz))
 
     def best(self, spans: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str]]:
-        if not spans:
+        if all(v + self.most_in[k] <= 0 for *_, k, v in spans):  # no span can add anything
             return []
         # state: kind of the last span ("" at the start of the line)
         ends: dict[int, list] = {}
@@ -530,7 +542,7 @@ def decoder(model: Model, gaz: Gazetteer) -> Callable[[str], list[tuple[int, int
     No feature tells the digits 2 to 9 apart.
     """
     whole = lambda line: model.decode(line, gaz)
-    kept = lru_cache(CACHED)(whole)
+    kept = lru_cache(2 * CACHED)(whole)
     return lambda line: kept(line.translate(_ALIKE)) if len(line) < LONG else whole(line)
 
 

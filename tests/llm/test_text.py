@@ -45,6 +45,25 @@ def sizes(spark, rows):
     return spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
 
 
+def test_texts_are_read_and_shuffled_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = tokens.encode(docs)._jdf.queryExecution().executedPlan()
+    seen = tokens.encode(docs)
+    seen.write.format("noop").mode("overwrite").save()
+    text = plan.toString()
+    assert text.count("FileScan") == 2 and text.count("text#") > 0  # AQE reuses the exchange when it runs
+    ran = tokens.encode(docs)
+    ran.collect()
+    final = ran._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 1 and "ReusedExchange" in final
+
+
+def test_equal_rows_are_told_apart_by_their_task(spark):
+    same = spark.createDataFrame([(1, "a b")] * 400, "doc_id bigint, text string").repartition(8)
+    assert tokens._blocks(same, [])[0].select("block").distinct().count() >= 1
+    assert [len(r.ids) for r in tokens.encode(same).collect()] == [2] * 400
+
+
 def test_mixing_keeps_weights_and_caps(spark, monkeypatch):
     monkeypatch.setattr(mixture, "CHUNK", 64)
     rows = [(i, "big", 10) for i in range(6000)] + [(10_000 + i, "small", 7) for i in range(100)] + [(20_000 + i, "poor", 5) for i in range(40)] + [(1, None, 5), (2, "other", 50), (30_000, "big", 0), (30_001, "small", None)]
@@ -58,22 +77,51 @@ def test_mixing_keeps_weights_and_caps(spark, monkeypatch):
         assert abs(by[s] - w * n) <= 12
         prefix = collections.Counter(r.source for r in slots if r.slot < n // 3)
         assert abs(prefix[s] - w * (n // 3)) <= 12  # any stretch is close to the weights
-    uses = collections.Counter((r.source, r.doc_id) for r in corpus.collect())
+        of = [r.wanted for r in slots if r.source == s]
+        assert max(of) - min(of) <= 1 and sum(of) == {"big": 30450, "small": 12180, "poor": 15225, "absent": 3045}[s]
+    total, length = 60900, {(r[1], r[0]): r[2] for r in rows}
+    made = corpus.collect()
     caps = {"big": 1, "small": 30, "poor": 2}
-    assert all(u <= caps[s] for (s, _), u in uses.items()) and max(u for (s, _), u in uses.items() if s == "poor") == 2
-    assert {d for (s, d) in uses if s == "poor"} == set(range(20_000, 20_040))
-    shares = {r.source: r for r in mixture.shares(report, plan, mixture.doc_blocks(df, targets, 50)).collect()}
+    used, uses, filled = collections.Counter(), collections.defaultdict(set), collections.Counter()
+    for r in made:
+        used[r.source, r.doc_id] += r.n_tokens
+        uses[r.source, r.doc_id].add(r.use)
+        filled[r.slot] += r.n_tokens
+        assert 0 <= r.doc_from and r.doc_from + r.n_tokens <= length[r.source, r.doc_id] and r.n_tokens > 0
+    assert all(len(u) <= caps[s] for (s, _), u in uses.items()) and all(t <= caps[s] * length[s, d] for (s, d), t in used.items())
+    assert all(used["poor", d] == 10 for d in range(20_000, 20_040)) and len({d for s, d in used if s == "small"}) == 100
+    assert dict(filled) == {r.slot: r.filled for r in slots if r.filled}  # slots are filled to the token
+    shares = {r.source: r for r in mixture.shares(report, plan).collect()}
     assert shares["poor"].filled < shares["poor"].slots and shares["absent"].tokens == 0 and abs(sum(r.share for r in shares.values()) - 1) < 1e-9
-    assert {r.source for r in mixture.short_sources(report, plan, 50).collect()} == {"poor", "absent"}
-    totals = mixture.doc_blocks(df, targets, 50).where("n_tokens > 0").groupBy("source", "block").agg(F.sum("n_tokens").alias("t")).collect()
-    assert max(r.t for r in totals) < 60 and {r.source for r in totals} == {"big", "small", "poor"}
+    assert shares["big"].tokens == 30450 and shares["small"].tokens == 12180 and shares["poor"].tokens == 400
+    assert {r.source for r in mixture.short_sources(plan).collect()} == {"poor", "absent"} and total == sum(r.wanted for r in slots)
+
+
+def test_mixing_at_the_limit(spark):
+    """A share equal to what a source has is met; one part in a thousand more is not."""
+    df = sizes(spark, [(i, "a", 100) for i in range(10)] + [(100, "b", 1_000_000)])
+    for weight, short in (("0.001998001", False), ("0.001998003", True)):
+        targets = spark.createDataFrame([("a", float(weight), 2), ("b", 1 - float(weight), 1)], "source string, weight double, max_repeats int")
+        assert ("a" in {r.source for r in mixture.short_sources(mixture.plan_mix(df, targets, 5000)[1]).collect()}) == short
+
+
+def test_mixing_splits_long_documents_and_many_sources(spark):
+    """Documents longer than blocks, sources lighter than a slot, rows that are equal, ids that are NULL."""
+    rows = [(None, "s0", 1000)] * 3 + [(7, "s0", 10)] * 5 + [(i, f"s{i}", 3) for i in range(1, 300)]
+    df = sizes(spark, rows).withColumn("text_hash", F.lit(5).cast("bigint"))
+    targets = spark.createDataFrame([(f"s{i}", 0.7 if i == 0 else 0.3 / 299, 40) for i in range(300)], "source string, weight double, max_repeats int")
+    report, plan, corpus = mixture.mix(df, targets, 64)
+    got = {r.source: r for r in plan.groupBy("source").agg(F.sum("wanted").alias("w"), F.sum("filled").alias("f"), F.count("slot").alias("n")).collect()}
+    assert len(got) == 300 and all(r.f == r.w for r in got.values()) and plan.select("slot").distinct().count() == plan.count()
+    placed = {r.slot: r.t for r in corpus.groupBy("slot").agg(F.sum("n_tokens").alias("t")).collect()}
+    assert placed == {r.slot: r.filled for r in plan.collect() if r.filled}
 
 
 def test_mixing_nothing(spark):
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, weight double, max_repeats int")
     report, plan, corpus = mixture.mix(sizes(spark, []), targets)
     assert plan.count() == 0 and corpus.count() == 0
-    assert mixture.shares(report, plan, mixture.doc_blocks(sizes(spark, []), targets)).first().share == 0.0
+    assert mixture.shares(report, plan).first().share == 0.0
     none, plan, _ = mixture.mix(sizes(spark, [(1, "a", 5)]), targets.limit(0))
     assert none.count() == 0 and plan.count() == 0
 
@@ -212,5 +260,5 @@ def test_lines_that_tools_write_are_read(spark, parts):
 def test_every_street_word_passes_the_filter():
     """Lines with a span of an address are never taken for lines without one."""
     for w in [*pii.STREET_END, *pii.STREET_START, *("Alt" + x for x in pii.STREET_SUFFIX)]:
-        words = pii._LETTERS.findall(w.casefold())
-        assert not pii._STREETS.isdisjoint(words) or any(x.endswith(pii._STREET_TAILS) for x in words), w
+        words = pii._words(w)
+        assert not pii._STREETS.isdisjoint(words) or not pii._TAILS.isdisjoint([x[-3:] for x in words]), w
