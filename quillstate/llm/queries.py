@@ -223,19 +223,16 @@ def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
 def _p7_sizes(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of the documents of listed sources, counted once."""
     listed = table(spark, d, "mix_target").select("source").where("source is not null").distinct()
-    docs = table(spark, d, "documents").select("doc_id", "source", "text").join(listed, "source", "left_semi")
-    return cut(tokens.token_counts(docs, keep=["source"]))
+    docs = table(spark, d, "documents").select("doc_id", "source", "text", F.xxhash64("text").alias("text_hash")).join(listed, "source", "left_semi")
+    return cut(tokens.token_counts(docs, keep=["source", "text_hash"]))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    report, plan = mixture.plan_mix(_p7_sizes(spark, d), table(spark, d, "mix_target"))
-    return mixture.short_sources(report, plan).select("source")
+    return mixture.short_sources(mixture.plan_mix(_p7_sizes(spark, d), table(spark, d, "mix_target"))[1])
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    sizes, targets = _p7_sizes(spark, d), table(spark, d, "mix_target")
-    report, plan = mixture.plan_mix(sizes, targets)
-    return mixture.shares(report, plan, mixture.doc_blocks(sizes, targets))
+    return mixture.shares(*mixture.plan_mix(_p7_sizes(spark, d), table(spark, d, "mix_target")))
 
 
 def p7_schedule(spark: SparkSession, d: str) -> DataFrame:

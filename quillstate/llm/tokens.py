@@ -4,15 +4,16 @@ Merges of a byte-level BPE never cross the words its split pattern makes, so a t
 are the ids of its words in a row. Texts are gathered in blocks of some megabytes;
 words are split in Spark by the vocabulary's own pattern; each block sends its distinct
 words once; each distinct word of the corpus is encoded once; the (block, word, ids) rows
-go back to their blocks, where ids are joined to the words by position. The shuffles carry
-the texts once and each block's vocabulary once, never one row per word occurrence, and
-the most frequent word is one row per block.
+go back to their blocks, where ids are joined to the words by position. The texts are read
+once and shuffled once: both the words and the join take them from one exchange. Beside it
+the shuffles carry each block's vocabulary, never one row per word occurrence, and the most
+frequent word is one row per block. Block sizes are planned from the sizes of the files read.
 
 The JVM knows the letters of an older Unicode than the tokenizer. Texts with a character
 the JVM holds for unassigned are encoded whole by the tokenizer itself, in their block.
 
 Defined results: a NULL or an empty text has no ids (an empty list); a NULL ``doc_id`` is
-kept; repeated ids stay separate rows; strings of special tokens are ordinary text; an
+kept; repeated ids and repeated rows stay separate rows; strings of special tokens are ordinary text; an
 empty table gives no rows. Only ``doc_id``, ``text`` and the columns named by ``keep``, which
 come out beside the result, are used, so other columns cannot clash.
 """
@@ -34,6 +35,10 @@ from quillstate.session import shuffle_partitions
 BLOCK_BYTES, MAX_BLOCK_BYTES = 1_000_000, 32_000_000
 #: Texts one partition of the gathered blocks should hold at most.
 PARTITION_BYTES = 256_000_000
+#: Bytes of text that a byte of a compressed file may hold, for planning.
+EXPANSION = 2
+#: Sizes from here on are Catalyst's way to say that it knows none.
+UNKNOWN = 1 << 60
 #: The split pattern of the vocabulary. ``S`` is Unicode White_Space, which the JVM's \s is not.
 _S = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
@@ -124,45 +129,56 @@ def _join_block(path: str, carried: list[str], out: str):
     return run
 
 
+def _text_bytes(docs: DataFrame) -> int:
+    """About how many bytes of text there are: by the file sizes Catalyst knows of, or by counting where it knows none."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size < UNKNOWN:
+        return size * EXPANSION
+    return docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+
+
 def _blocks(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, int]:
-    """Texts by block: ``block, doc_id, text`` and kept columns, moved once."""
-    spark = docs.sparkSession
-    texts = docs.select("doc_id", "text", *[F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)]).where(F.octet_length("text") > 0)
-    size = texts.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
-    parts = max(shuffle_partitions(spark), -(-size // PARTITION_BYTES))
+    """All rows by block, moved once: ``block, doc_id, keep0.., text``; NULL texts are empty.
+
+    Rows equal in id and text go to a block for each task that reads them, so no block holds
+    more of them than one task has read.
+    """
+    size = _text_bytes(docs)
+    parts = max(shuffle_partitions(docs.sparkSession), -(-size // PARTITION_BYTES))
     n_blocks = max(1, -(-size // min(MAX_BLOCK_BYTES, max(BLOCK_BYTES, size // (2 * parts)))))
     n_parts = min(n_blocks, parts)
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks))
-    return texts.withColumn("block", block).repartition(n_parts, "block"), n_parts
+    block = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n_blocks))
+    texts = docs.select(block.alias("block"), "doc_id", *[F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)], F.coalesce("text", F.lit("")).alias("text"))
+    return texts.repartition(n_parts, "block"), n_parts
 
 
 def _words() -> Column:
     return F.when(~F.col("text").rlike(r"\p{Cn}"), F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)))
 
 
-def word_table(docs: DataFrame, path: str | None = None, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame, int]:
-    """The block texts, and ``at`` (the block), ``word, ids`` of each block's distinct words."""
-    path = path or default_vocabulary()
-    blocks, n_parts = _blocks(docs, keep or [])
-    used = blocks.select("block", F.explode(_words()).alias("word")).distinct()
-    sorted_ = used.repartition(max(n_parts, shuffle_partitions(docs.sparkSession)), "word").sortWithinPartitions("word")
-    return blocks, sorted_.mapInArrow(_encode_words(path), "at bigint, word string, ids array<int>"), n_parts
+def word_table(blocks: DataFrame, n_parts: int, path: str) -> DataFrame:
+    """``at`` (the block), ``word, ids`` of each block's distinct words."""
+    # 0 in every row; naming all columns, it keeps the exchange equal to that of the texts, so that one serves both
+    every = F.xxhash64(*[c for c in blocks.columns if c not in ("block", "text")]).bitwiseAND(F.lit(0).cast("bigint"))
+    words = blocks.select("block", every.alias("zero"), F.explode(_words()).alias("word"))
+    used = words.groupBy("block", "word").agg(F.max("zero").alias("zero"))
+    sorted_ = used.repartition(max(n_parts, shuffle_partitions(blocks.sparkSession)), "word").sortWithinPartitions("word")
+    return sorted_.mapInArrow(_encode_words(path), "at bigint, word string, ids array<int>")
 
 
 def _encode(docs: DataFrame, path: str | None, keep: list[str], counts_only: bool) -> DataFrame:
     path = path or default_vocabulary()
-    blocks, table, n_parts = word_table(docs, path, keep)
+    blocks, n_parts = _blocks(docs, keep)
     kept = [f"keep{i}" for i in range(len(keep))]
     split = blocks.select("block", "doc_id", *kept, "text", _words().alias("words"))
     left = split.select("block", "doc_id", *kept, F.coalesce("words", F.array().cast("array<string>")).alias("words"), F.when(F.col("words").isNull(), F.col("text")).alias("raw"))
-    right = table.repartition(n_parts, "at")
+    right = word_table(blocks, n_parts, path).repartition(n_parts, "at")
     out = ("n_tokens", "bigint") if counts_only else ("ids", "array<int>")
     run, types = _join_block(path, ["doc_id", *kept], out[0]), dict(docs.dtypes)
     schema = ", ".join([f"doc_id {types['doc_id']}", *[f"{k} {types[c]}" for k, c in zip(kept, keep)], " ".join(out)])
-    some = left.groupBy("block").cogroup(right.groupBy("at")).applyInArrow(lambda a, b: run(a, b), schema)
-    none = F.lit(0).cast("bigint").alias("n_tokens") if counts_only else F.array().cast("array<int>").alias("ids")
-    empty = docs.where(F.col("text").isNull() | (F.octet_length("text") == 0)).select("doc_id", *keep, none)
-    return some.select("doc_id", *[F.col(k).alias(c) for k, c in zip(kept, keep)], out[0]).unionByName(empty)
+    done = left.groupBy("block").cogroup(right.groupBy("at")).applyInArrow(lambda a, b: run(a, b), schema)
+    return done.select("doc_id", *[F.col(k).alias(c) for k, c in zip(kept, keep)], out[0])
 
 
 def encode(docs: DataFrame, path: str | None = None, keep: list[str] | None = None) -> DataFrame:
