@@ -50,10 +50,16 @@ class VariableHandle:
     def rows(self, version: int | None = None) -> DataFrame:
         return self.storage.store.read(self.variable_id, version)
 
-    def pull(self, keys: DataFrame, key: str = "key", *, train: bool = True, batch_id: int | None = None) -> DataFrame:
-        """``keys`` with their weights at the committed version; a version too far ahead is refused."""
+    def pull(self, keys: DataFrame, key: str = "key", *, train: bool = True, batch_id: int | None = None, wait_seconds: float | None = None) -> DataFrame:
+        """``keys`` with their weights at the committed version; a batch too far ahead is refused.
+
+        With ``wait_seconds`` a pull for ``batch_id`` waits that long for the batches before it; late pulls
+        read the committed version.
+        """
         if batch_id is not None:
             self.storage.store.check_ahead(batch_id)
+            if wait_seconds is not None:
+                self.storage.store.wait_for(batch_id, seconds=wait_seconds)
         dense = self.meta.bounded and lookup.is_dense(self.meta.vocabulary_size)
         got = lookup.pull(keys, self.rows().select("key", "weights"), key, init=self.variable.initializer, meta=self.meta, broadcast_rows=lookup.DENSE_ROWS if dense else None)
         if train:
@@ -110,7 +116,8 @@ class Storage:
 
     @property
     def batch_id(self) -> int:
-        return self.store.version or 0
+        """The batch that the next update will be."""
+        return self.store.last_batch() + 1
 
     def update_weights(self, batch_id: int | None = None) -> bool:
         """One optimizer step with everything pushed since the last one; False for a replayed batch."""

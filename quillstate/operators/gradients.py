@@ -5,28 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstate.operators.keyed_totals import vector_totals
 from quillstate.operators.sharding import row_numbers
 
-#: Up to this dimension a vector is summed as one column per element.
-FIXED_DIM = 128
+#: Elements that one aggregate sums side by side; longer vectors are summed slice by slice.
+WIDTH = 128
 
 
 def push_reduce(df: DataFrame, keys: list[str], grad: str, dim: int | None = None, count: str | None = None) -> DataFrame:
-    """``*keys, grad ARRAY<DOUBLE>, cnt``: summed vectors and counts, combined map-side.
+    """``*keys, grad ARRAY<DOUBLE>, cnt``: summed vectors and counts, combined map-side, in one pass over the rows.
 
-    With a known ``dim`` every element is a sum of its own, so no row is multiplied; without
-    one the vectors are exploded to (key, element) states. ``count`` names a column of
-    counts; every row counts 1 without it. NULL gradients add zeros and still count.
+    Every element is a sum of its own, so a vector of up to ``WIDTH`` elements is one row
+    of sums; a longer one is cut into slices that are put together again per key. ``count`` names
+    a column of counts; every row counts 1 without it. NULL gradients add zeros and still count;
+    NULL keys are keys of their own, alike for every dimension. Without ``dim`` a sum is as long
+    as the longest vector of its key, which may be none.
     """
     one = F.coalesce(F.col(count), F.lit(0)).cast("bigint") if count else F.lit(1).cast("bigint")
-    if dim is not None and dim <= FIXED_DIM:
+    if dim is not None and dim <= WIDTH:
         sums = [F.coalesce(F.sum(F.get(grad, F.lit(i)).cast("double")), F.lit(0.0)).alias(f"__g{i}") for i in range(dim)]
         out = df.groupBy(*keys).agg(*sums, F.sum(one).alias("cnt"))
         return out.select(*keys, F.array(*[f"__g{i}" for i in range(dim)]).alias("grad"), "cnt")
-    elements = vector_totals(df, keys, grad, "__i", "__g")
-    vectors = elements.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", F.coalesce("__g", F.lit(0.0)).alias("__g")))), lambda x: x["__g"]).alias("grad"))  # one entry per element
-    return df.groupBy(*keys).agg(F.sum(one).alias("cnt")).join(vectors, keys, "left").select(*keys, "grad", "cnt")
+    size = F.lit(dim) if dim is not None else F.greatest(F.size(grad), F.lit(0))
+    slices = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((size - 1) / WIDTH).cast("int"))), lambda c: F.struct(c.alias("c"), F.slice(F.col(grad), c * WIDTH + 1, F.lit(WIDTH)).alias("v")))
+    rows = df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], one.alias("__one"), size.alias("__size"), F.explode(slices).alias("__s"))
+    first = F.col("__s.c") == 0
+    names = [f"__k{i}" for i in range(len(keys))]
+    summed = rows.groupBy(*names, F.col("__s.c").alias("__c")).agg(
+        *[F.coalesce(F.sum(F.get("__s.v", F.lit(i)).cast("double")), F.lit(0.0)).alias(f"__g{i}") for i in range(WIDTH)],
+        F.sum(F.when(first, F.col("__one"))).alias("__n"), F.max(F.when(first, F.col("__size"))).alias("__size"),
+    )
+    part = F.struct("__c", F.array(*[f"__g{i}" for i in range(WIDTH)]).alias("v"))
+    whole = summed.groupBy(*names).agg(F.array_sort(F.collect_list(part)).alias("__p"), F.sum("__n").alias("cnt"), F.max("__size").alias("__size"))  # one entry per slice
+    vector = F.slice(F.flatten(F.transform("__p", lambda p: p["v"])), F.lit(1), F.col("__size"))
+    return whole.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], vector.alias("grad"), "cnt")
 
 
 def push_two_level(df: DataFrame, worker: str, keys: list[str], grad: str, dim: int) -> DataFrame:

@@ -9,6 +9,7 @@ slots do not decay.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -32,8 +33,28 @@ def register(category: str) -> Callable[[type], type]:
     return add
 
 
-def _l(v: float) -> Column:
-    return F.lit(float(v))
+class Columns:
+    """The few functions of an update, on columns."""
+
+    sqrt, abs, greatest, least = staticmethod(F.sqrt), staticmethod(F.abs), staticmethod(F.greatest), staticmethod(F.least)
+
+    @staticmethod
+    def lit(v: float) -> Column:
+        return F.lit(float(v))
+
+    @staticmethod
+    def pow(a: Column, b: Column) -> Column:
+        return F.pow(a, b)
+
+
+class Floats:
+    """The same on plain numbers, for tasks that carry a state along their rows."""
+
+    lit, abs, greatest, least, pow = float, abs, max, min, math.pow
+
+    @staticmethod
+    def sqrt(v: float) -> float:
+        return math.sqrt(v) if v >= 0 else math.nan
 
 
 class Optimizer:
@@ -47,11 +68,11 @@ class Optimizer:
         """Row scalars and their initial values."""
         return {}
 
-    def advance(self, s: dict[str, Column]) -> dict[str, Column]:
+    def advance(self, s: dict, x=Columns) -> dict:
         """Row scalars of the next update; they move once per update, not per element."""
         return s
 
-    def step(self, e: dict[str, Column]) -> dict[str, Column]:
+    def step(self, e: dict, x=Columns) -> dict:
         """New ``w`` and slots of an element from ``w``, ``g``, ``count``, slots and advanced scalars."""
         raise NotImplementedError
 
@@ -60,8 +81,8 @@ class Optimizer:
 class Default(Optimizer):
     learning_rate: float = 0.0
 
-    def step(self, e):
-        return {"w": e["w"] - _l(self.learning_rate) * e["g"] if self.learning_rate else e["w"]}
+    def step(self, e, x=Columns):
+        return {"w": e["w"] - x.lit(self.learning_rate) * e["g"] if self.learning_rate else e["w"]}
 
 
 @register("sgd")
@@ -73,9 +94,9 @@ class Sgd(Optimizer):
     def slots(self):
         return {"moment": 0.0}
 
-    def step(self, e):
-        m = _l(self.momentum) * e["moment"] + _l(self.learning_rate) * e["g"]
-        move = _l(self.momentum) * m + _l(self.learning_rate) * e["g"] if self.nesterov else m
+    def step(self, e, x=Columns):
+        m = x.lit(self.momentum) * e["moment"] + x.lit(self.learning_rate) * e["g"]
+        move = x.lit(self.momentum) * m + x.lit(self.learning_rate) * e["g"] if self.nesterov else m
         return {"w": e["w"] - move, "moment": m}
 
 
@@ -88,9 +109,9 @@ class Adagrad(Optimizer):
     def slots(self):
         return {"accum": self.initial_accumulator_value}
 
-    def step(self, e):
+    def step(self, e, x=Columns):
         a = e["accum"] + e["g"] * e["g"]
-        return {"w": e["w"] - _l(self.learning_rate) * e["g"] / (F.sqrt(a) + _l(self.epsilon)), "accum": a}
+        return {"w": e["w"] - x.lit(self.learning_rate) * e["g"] / (x.sqrt(a) + x.lit(self.epsilon)), "accum": a}
 
 
 @register("adadelta")
@@ -102,11 +123,11 @@ class Adadelta(Optimizer):
     def slots(self):
         return {"accum": 0.0, "accum_update": 0.0}
 
-    def step(self, e):
-        keep, take, eps = _l(self.rho), _l(1 - self.rho), _l(self.epsilon)
+    def step(self, e, x=Columns):
+        keep, take, eps = x.lit(self.rho), x.lit(1 - self.rho), x.lit(self.epsilon)
         a = keep * e["accum"] + take * e["g"] * e["g"]
-        u = e["g"] * F.sqrt(e["accum_update"] + eps) / F.sqrt(a + eps)
-        return {"w": e["w"] - _l(self.learning_rate) * u, "accum": a, "accum_update": keep * e["accum_update"] + take * u * u}
+        u = e["g"] * x.sqrt(e["accum_update"] + eps) / x.sqrt(a + eps)
+        return {"w": e["w"] - x.lit(self.learning_rate) * u, "accum": a, "accum_update": keep * e["accum_update"] + take * u * u}
 
 
 @register("adam")
@@ -122,14 +143,14 @@ class Adam(Optimizer):
     def scalars(self):
         return {"beta_1_t": 1.0, "beta_2_t": 1.0}
 
-    def advance(self, s):
-        return {"beta_1_t": s["beta_1_t"] * _l(self.beta_1), "beta_2_t": s["beta_2_t"] * _l(self.beta_2)}
+    def advance(self, s, x=Columns):
+        return {"beta_1_t": s["beta_1_t"] * x.lit(self.beta_1), "beta_2_t": s["beta_2_t"] * x.lit(self.beta_2)}
 
-    def step(self, e):
-        lr = _l(self.learning_rate) * F.sqrt(_l(1) - e["beta_2_t"]) / (_l(1) - e["beta_1_t"])
-        m = _l(self.beta_1) * e["m"] + _l(1 - self.beta_1) * e["g"]
-        v = _l(self.beta_2) * e["v"] + _l(1 - self.beta_2) * e["g"] * e["g"]
-        return {"w": e["w"] - lr * m / (F.sqrt(v) + _l(self.epsilon)), "m": m, "v": v}
+    def step(self, e, x=Columns):
+        lr = x.lit(self.learning_rate) * x.sqrt(x.lit(1) - e["beta_2_t"]) / (x.lit(1) - e["beta_1_t"])
+        m = x.lit(self.beta_1) * e["m"] + x.lit(1 - self.beta_1) * e["g"]
+        v = x.lit(self.beta_2) * e["v"] + x.lit(1 - self.beta_2) * e["g"] * e["g"]
+        return {"w": e["w"] - lr * m / (x.sqrt(v) + x.lit(self.epsilon)), "m": m, "v": v}
 
 
 @register("adamax")
@@ -145,13 +166,13 @@ class Adamax(Optimizer):
     def scalars(self):
         return {"beta_1_t": 1.0}
 
-    def advance(self, s):
-        return {"beta_1_t": s["beta_1_t"] * _l(self.beta_1)}
+    def advance(self, s, x=Columns):
+        return {"beta_1_t": s["beta_1_t"] * x.lit(self.beta_1)}
 
-    def step(self, e):
-        m = _l(self.beta_1) * e["m"] + _l(1 - self.beta_1) * e["g"]
-        v = F.greatest(F.abs(e["g"]), _l(self.beta_2) * e["v"])
-        return {"w": e["w"] - _l(self.learning_rate) / (_l(1) - e["beta_1_t"]) * m / (v + _l(self.epsilon)), "m": m, "v": v}
+    def step(self, e, x=Columns):
+        m = x.lit(self.beta_1) * e["m"] + x.lit(1 - self.beta_1) * e["g"]
+        v = x.greatest(x.abs(e["g"]), x.lit(self.beta_2) * e["v"])
+        return {"w": e["w"] - x.lit(self.learning_rate) / (x.lit(1) - e["beta_1_t"]) * m / (v + x.lit(self.epsilon)), "m": m, "v": v}
 
 
 @register("ftrl")
@@ -167,18 +188,18 @@ class Ftrl(Optimizer):
     def slots(self):
         return {"accum": self.initial_accumulator_value, "linear": 0.0}
 
-    def _power(self, a: Column) -> Column:
-        return F.sqrt(a) if self.learning_rate_power == -0.5 else F.pow(a, _l(-self.learning_rate_power))
+    def _power(self, a, x):
+        return x.sqrt(a) if self.learning_rate_power == -0.5 else x.pow(a, x.lit(-self.learning_rate_power))
 
-    def step(self, e):
-        l1 = _l(self.l1_regularization_strength)
-        l2 = _l(self.l2_regularization_strength + self.beta / (2 * self.learning_rate))
-        shrunk = e["g"] + _l(2 * self.l2_shrinkage_regularization_strength) * e["w"]
+    def step(self, e, x=Columns):
+        l1 = x.lit(self.l1_regularization_strength)
+        l2 = x.lit(self.l2_regularization_strength + self.beta / (2 * self.learning_rate))
+        shrunk = e["g"] + x.lit(2 * self.l2_shrinkage_regularization_strength) * e["w"]
         a = e["accum"] + e["g"] * e["g"]
-        sigma = (self._power(a) - self._power(e["accum"])) / _l(self.learning_rate)
+        sigma = (self._power(a, x) - self._power(e["accum"], x)) / x.lit(self.learning_rate)
         z = e["linear"] + shrunk - sigma * e["w"]
-        clipped = F.least(F.greatest(z, -l1), l1)
-        return {"w": (clipped - z) / (self._power(a) / _l(self.learning_rate) + _l(2) * l2), "accum": a, "linear": z}
+        clipped = x.least(x.greatest(z, -l1), l1)
+        return {"w": (clipped - z) / (self._power(a, x) / x.lit(self.learning_rate) + x.lit(2) * l2), "accum": a, "linear": z}
 
 
 @register("rmsprop")
@@ -191,9 +212,9 @@ class Rmsprop(Optimizer):
     def slots(self):
         return {"accum": 0.0, "moment": 0.0}
 
-    def step(self, e):
-        a = _l(self.rho) * e["accum"] + _l(1 - self.rho) * e["g"] * e["g"]
-        m = _l(self.momentum) * e["moment"] + _l(self.learning_rate) * e["g"] / F.sqrt(a + _l(self.epsilon))
+    def step(self, e, x=Columns):
+        a = x.lit(self.rho) * e["accum"] + x.lit(1 - self.rho) * e["g"] * e["g"]
+        m = x.lit(self.momentum) * e["moment"] + x.lit(self.learning_rate) * e["g"] / x.sqrt(a + x.lit(self.epsilon))
         return {"w": e["w"] - m, "accum": a, "moment": m}
 
 
@@ -209,11 +230,11 @@ class Test(Optimizer):
     def scalars(self):
         return {"state": self.init}
 
-    def advance(self, s):
-        return {"state": _l(self.flip) - s["state"]}
+    def advance(self, s, x=Columns):
+        return {"state": x.lit(self.flip) - s["state"]}
 
-    def step(self, e):
-        return {"w": e["w"] + _l(self.learning_rate) * e["g"] / e["count"] + e["state"]}
+    def step(self, e, x=Columns):
+        return {"w": e["w"] + x.lit(self.learning_rate) * e["g"] / e["count"] + e["state"]}
 
 
 def optimizer(config: dict) -> Optimizer:
@@ -247,7 +268,7 @@ def slot_schema(opt: Optimizer) -> str:
 
 
 def fresh_slots(opt: Optimizer, dim: int) -> Column:
-    parts = [F.array_repeat(_l(v), dim).alias(s) for s, v in opt.slots().items()] + [_l(v).alias(s) for s, v in opt.scalars().items()]
+    parts = [F.array_repeat(Columns.lit(v), dim).alias(s) for s, v in opt.slots().items()] + [Columns.lit(v).alias(s) for s, v in opt.scalars().items()]
     return F.struct(*(parts or [F.lit(None).cast("boolean").alias("none")]))
 
 
@@ -272,18 +293,17 @@ def apply_to_arrays(opt: Optimizer, weights: Column, slots: Column, grad: Column
 # ---- ordered folds ---------------------------------------------------------------------------
 
 
-def start(opt: Optimizer, w0: Column) -> Column:
-    """struct(w, slots..., scalars...) of one weight before any update."""
-    return F.struct(w0.cast("double").alias("w"), *[_l(v).alias(s) for s, v in {**opt.slots(), **opt.scalars()}.items()])
+def start(opt: Optimizer, w0: float) -> dict[str, float]:
+    """One weight with its slots and scalars before any update."""
+    return {"w": float(w0), **opt.slots(), **opt.scalars()}
 
 
-def fold(opt: Optimizer, gradients: Column, state: Column) -> Column:
-    """The state of one weight, as ``start`` makes it, after an ordered array of gradients."""
+def one_step(opt: Optimizer) -> Callable[[dict[str, float], float], dict[str, float]]:
+    """The state of one weight, as ``start`` makes it, after one gradient."""
     names, scalars = list(opt.slots()), list(opt.scalars())
 
-    def merge(acc: Column, g: Column) -> Column:
-        moved = opt.advance({s: acc[s] for s in scalars})
-        done = opt.step({"w": acc["w"], "g": g, "count": _l(1), **{s: acc[s] for s in names}, **moved})
-        return F.struct(done["w"].alias("w"), *[done[s].alias(s) for s in names], *[moved[s].alias(s) for s in scalars])
+    def step(state: dict[str, float], g: float) -> dict[str, float]:
+        moved = opt.advance({s: state[s] for s in scalars}, Floats) if scalars else {}
+        return {**opt.step({"w": state["w"], "g": g, "count": 1.0, **{s: state[s] for s in names}, **moved}, Floats), **moved}
 
-    return F.aggregate(gradients, state, merge)
+    return step

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstate.operators.initializers import initializer
-from quillstate.operators.optimizers import apply_to_arrays, fold, fresh_slots, optimizer, start
-from quillstate.session import cut
-
-#: Gradients of one key that one task folds at a time.
-CHUNK = 1 << 16
-
+from quillstate.operators.optimizers import apply_to_arrays, fresh_slots, one_step, optimizer, start
 
 def empty_state(spark, opt_config: dict, datatype: str = "double") -> DataFrame:
     from quillstate.operators.optimizers import slot_schema
@@ -19,12 +17,12 @@ def empty_state(spark, opt_config: dict, datatype: str = "double") -> DataFrame:
     return spark.createDataFrame([], f"key bigint, weights array<{datatype}>, slots {slot_schema(optimizer(opt_config))}")
 
 
-def apply_gradients(state: DataFrame, reduced: DataFrame, opt_config: dict, init_config: dict, dim: int, pulled: DataFrame | None = None) -> DataFrame:
+def apply_gradients(state: DataFrame, reduced: DataFrame, opt_config: dict, init_config: dict, dim: int, pulled: DataFrame | None = None, touched_only: bool = False) -> DataFrame:
     """The next state: one update per key with a gradient, new rows for pulled keys without one.
 
-    One full outer join on the key; both sides hold a key once, so no key can be hot.
-    Keys with neither gradient nor pull pass through. Weights are computed in double and
-    cast to the state's element type once.
+    One outer join on the key; both sides hold a key once, so no key can be hot. Keys with
+    neither gradient nor pull pass through, or are left out with ``touched_only``. Weights are
+    computed in double and cast to the state's element type once.
     """
     opt = optimizer(opt_config)
     touched = reduced.select("key", "grad", "cnt")
@@ -32,7 +30,7 @@ def apply_gradients(state: DataFrame, reduced: DataFrame, opt_config: dict, init
         keys = pulled.select("key").where("key is not null").distinct()
         touched = keys.join(touched, "key", "full_outer").select("key", "grad", "cnt")
     t = touched.select(F.col("key").alias("__key"), "grad", "cnt")
-    joined = state.join(t, F.col("key") == F.col("__key"), "full_outer").withColumn("key", F.coalesce("key", "__key"))
+    joined = state.join(t, F.col("key") == F.col("__key"), "right_outer" if touched_only else "full_outer").withColumn("key", F.coalesce("key", "__key"))
     w = F.coalesce(F.col("weights").cast("array<double>"), initializer(init_config).vector(F.col("key"), dim))
     s = F.coalesce("slots", fresh_slots(opt, dim))
     based = joined.select("key", w.alias("w"), s.alias("s"), "grad", "cnt")
@@ -41,36 +39,44 @@ def apply_gradients(state: DataFrame, reduced: DataFrame, opt_config: dict, init
     return based.select("key", after.alias("n")).select("key", F.col("n.weights").cast(kind).alias("weights"), F.col("n.slots").alias("slots"))
 
 
-def train_ordered(df: DataFrame, key: str, order: list[str], gradient: Column, opt_config: dict, w0: float = 0.0, chunk: int = CHUNK) -> DataFrame:
+def train_ordered(df: DataFrame, key: str, order: list[str], gradient: Column, opt_config: dict, w0: float = 0.0) -> DataFrame:
     """Per key, ``n_steps``, the weight and the slots after updating it by its gradients in order.
 
-    Keys are independent, so the fold is partitioned by key. A key's history is folded in
-    chunks of at most ``chunk`` gradients, each starting from the state after the one before
-    (numbering a history sorts and spills, it holds nothing), so no task ever collects more
-    than a chunk. Only keys with longer histories take further rounds.
+    Keys are independent, so rows are sorted by key and order inside hash partitions of the key
+    (a sort that spills), and one pass over them carries the state of one key along: no
+    history is collected, whatever its length, and no round reads a row twice. The steps of one
+    key follow each other, as its order demands; ``streaming.loop`` is the way to spread a key's
+    gradients. A NULL gradient makes the weight and slots of its key NULL from there on; NULL
+    keys are one key.
     """
     opt = optimizer(opt_config)
-    entry = F.struct(*[F.col(c) for c in order], gradient.cast("double").alias("__g"))
-    longest = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    rounds = -(-longest // chunk)
-    begin = start(opt, F.lit(w0))
+    step, begin = one_step(opt), start(opt, w0)
+    names = list(begin)
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], gradient.cast("double").alias("__g"))
+    placed = rows.repartition("__key").sortWithinPartitions("__key", *[f"__o{i}" for i in range(len(order))]).select("__key", "__g")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, n, state = None, 0, begin
+        for b in batches:
+            done: list[tuple] = []
+            for k, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if n and k != current:
+                    done.append((current, n, *[state and state[c] for c in names]))
+                    n = 0
+                if not n:
+                    current, state = k, begin
+                n += 1
+                state = step(state, g) if state is not None and g is not None else None
+            yield table(done, b.schema.field(0).type)
+        if n:
+            yield table([(current, n, *[state and state[c] for c in names])], b.schema.field(0).type)
 
-    def lists(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(key).agg(F.array_sort(F.collect_list("__e")).alias("__l")).select(F.col(key), F.size("__l").cast("bigint").alias("__n"), F.transform("__l", lambda x: x["__g"]).alias("__g"))
+    def table(done: list[tuple], key_type: pa.DataType) -> pa.RecordBatch:
+        columns = list(zip(*done)) if done else [()] * (len(names) + 2)
+        types = [key_type, pa.int64(), *[pa.float64()] * len(names)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["__key", "__n", *[f"__s{i}" for i in range(len(names))]])
 
-    if rounds <= 1:
-        done = lists(df.select(key, entry.alias("__e"))).select(key, F.col("__n").alias("n_steps"), fold(opt, F.col("__g"), begin).alias("s"))
-        return done.select(key, "n_steps", "s.*")
-    place = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
-    rows = cut(df.select(key, entry.alias("__e"), F.floor(place / chunk).alias("__c")))
-    state = None
-    for c in range(rounds):
-        part = lists(rows.where(F.col("__c") == c))
-        if state is None:
-            new = part.select(key, F.col("__n").alias("n_steps"), fold(opt, F.col("__g"), begin).alias("s"))
-        else:
-            both = state.join(part.withColumnRenamed(key, "__key"), F.col(key).eqNullSafe(F.col("__key")), "left")
-            more = F.coalesce("__g", F.array().cast("array<double>"))
-            new = both.select(key, (F.col("n_steps") + F.coalesce("__n", F.lit(0))).alias("n_steps"), fold(opt, more, F.col("s")).alias("s"))
-        state = cut(new)
-    return state.select(key, "n_steps", "s.*")
+    schema = ", ".join([f"__key {kind}", "__n bigint", *[f"__s{i} double" for i in range(len(names))]])
+    out = placed.mapInArrow(run, schema)
+    return out.select(F.col("__key").alias(key), F.col("__n").alias("n_steps"), *[F.col(f"__s{i}").alias(c) for i, c in enumerate(names)])

@@ -60,8 +60,8 @@ def load_beside(stores: list[Store], path: str) -> str:
 class Catalog:
     """Serving models below a root folder, one JSON entry each."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.files = spark, Files(spark, root)
+    def __init__(self, spark: SparkSession, root: str, stale_seconds: float = 3600):
+        self.spark, self.files, self.stale_seconds = spark, Files(spark, root), stale_seconds
 
     # -- entries ----------------------------------------------------------------------
     def _entry(self, sign: str) -> dict | None:
@@ -71,31 +71,63 @@ class Catalog:
         self.files.write(json.dumps(entry), "models", entry["model_sign"], "entry")
 
     def create_model(self, model_uri: str, replica_num: int = 3, shard_num: int = -1) -> str:
-        """Registers a saved model for reading. An interrupted creation is resumed; replicas are the file system's."""
+        """Registers a saved model for reading. An interrupted creation is taken up again.
+
+        A positive ``shard_num`` makes a copy with so many shards, kept ``replica_num`` times by file systems that
+        replicate; otherwise the saved rows are read where they are. The lock of a creation is given back
+        on every way out; one whose holder is gone is taken over after ``stale_seconds``.
+        """
         sign, variables = parse_model_meta(Files(self.spark, model_uri).read("model_meta"))
         entry = self._entry(sign)
         if entry and entry["status"] == NORMAL:
             raise StateError(f"model {sign} exists")
-        if entry is None and not self.files.create_exclusive("models", sign, "lock"):
+        if entry and entry["status"] == DELETING:
+            raise StateError(f"model {sign} is being deleted")
+        if not self._lock(sign):
             raise StateError(f"model {sign} is being created")
-        storages = {name: i for i, name in enumerate(dict.fromkeys(v.storage_name for v in variables))}
-        entry = {
-            "model_sign": sign, "model_uri": model_uri, "status": CREATING, "error": "", "replica_num": replica_num, "shard_num": shard_num, "storages": storages,
-            "variables": [{"variable_id": v.variable_id, "name": v.name, "datatype": v.meta.datatype, "embedding_dim": v.meta.embedding_dim, "vocabulary_size": v.meta.vocabulary_size, "storage_name": v.storage_name, "initializer": v.initializer} for v in variables],
-        }
-        self._put(entry)
-        for v in variables:  # a version that cannot be read must not become NORMAL
-            load(self.spark, f"{model_uri}/{v.storage_name}", v.variable_id).limit(1).count()
-        self._put(entry | {"status": NORMAL})
+        try:
+            storages = {name: i for i, name in enumerate(dict.fromkeys(v.storage_name for v in variables))}
+            entry = {
+                "model_sign": sign, "model_uri": model_uri, "status": CREATING, "error": "", "replica_num": replica_num, "shard_num": shard_num, "storages": storages,
+                "variables": [{"variable_id": v.variable_id, "name": v.name, "datatype": v.meta.datatype, "embedding_dim": v.meta.embedding_dim, "vocabulary_size": v.meta.vocabulary_size, "storage_name": v.storage_name, "initializer": v.initializer} for v in variables],
+            }
+            self._put(entry)
+            try:
+                for v in variables:  # a version that cannot be read must not become NORMAL
+                    rows = load(self.spark, f"{model_uri}/{v.storage_name}", v.variable_id)
+                    if shard_num > 0:
+                        dump(rows, self._copy(entry, v.storage_name, v.variable_id), v.variable_id, shard_num)
+                        self.files.replicate(max(1, replica_num), "models", sign, "rows")
+                    else:
+                        rows.limit(1).count()
+            except Exception as e:
+                self._put(entry | {"error": str(e)[:1000]})
+                raise
+            self._put(entry | {"status": NORMAL})
+        finally:
+            self.files.delete("models", sign, "lock")
         return sign
 
+    def _lock(self, sign: str) -> bool:
+        if self.files.create_exclusive("models", sign, "lock"):
+            return True
+        if self.files.age("models", sign, "lock") < self.stale_seconds:
+            return False
+        self.files.delete("models", sign, "lock")
+        return self.files.create_exclusive("models", sign, "lock")
+
+    def _copy(self, entry: dict, storage: str, variable_id: int) -> str:
+        return f"{self.files.root}/models/{entry['model_sign']}/rows/{storage}/{variable_id}"
+
     def delete_model(self, sign: str) -> None:
+        """Deletes a model, or what an interrupted creation left of it."""
         entry = self._entry(sign)
-        if entry is None:
+        if entry is None and not self.files.exists("models", sign):
             raise KeyError(sign)
-        if entry["status"] not in (NORMAL, DELETING):
-            raise StateError(f"model {sign} is {entry['status']}")
-        self._put(entry | {"status": DELETING})
+        if self.files.exists("models", sign, "lock") and self.files.age("models", sign, "lock") < self.stale_seconds:
+            raise StateError(f"model {sign} is being created")
+        if entry is not None:
+            self._put(entry | {"status": DELETING})
         self.files.delete("models", sign)
 
     def show_model(self, sign: str) -> dict:
@@ -116,7 +148,8 @@ class Catalog:
             raise StateError(f"model {sign} is {entry['status']}")
         v = entry["variables"][variable_id]
         meta = VariableMeta(v["datatype"], v["embedding_dim"], v["vocabulary_size"])
-        return Variable(variable_id, v["name"], meta, v["storage_name"], v["initializer"]), load(self.spark, f"{entry['model_uri']}/{v['storage_name']}", variable_id)
+        at = self._copy(entry, v["storage_name"], variable_id) if entry["shard_num"] > 0 else f"{entry['model_uri']}/{v['storage_name']}"
+        return Variable(variable_id, v["name"], meta, v["storage_name"], v["initializer"]), load(self.spark, at, variable_id)
 
     def read_only_pull(self, sign: str, variable_id: int, keys: DataFrame, key: str = "key") -> DataFrame:
         v, state = self.find_variable(sign, variable_id)

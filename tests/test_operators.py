@@ -53,14 +53,24 @@ def test_push_reduce(spark, dim):
     df = spark.createDataFrame([(1, [1.0, 2.0], 9), (1, [0.5, None], 9), (2, None, 9), (None, [1.0, 1.0], 9)], "key bigint, grad array<double>, cnt int")
     got = {r.key: (r.grad, r.cnt) for r in gradients.push_reduce(df, ["key"], "grad", dim).collect()}
     assert got[1] == ([1.5, 2.0], 2)
-    assert got[2] == (([0.0, 0.0] if dim else None), 1)
-    if dim:
-        assert got[None] == ([1.0, 1.0], 1)
+    assert got[2] == (([0.0, 0.0] if dim else []), 1)
+    assert got[None] == ([1.0, 1.0], 1)
     split = gradients.push_two_level(df.withColumn("w", F.lit(1)), "w", ["key"], "grad", 2)
     assert {r.key: r.cnt for r in split.collect()} == {1: 2, 2: 1, None: 1}
     assert gradients.push_reduce(df.limit(0), ["key"], "grad", dim).count() == 0
 
 
+@pytest.mark.parametrize("dim", [1, 127, 128, 129, 256, 300])
+def test_push_reduce_is_alike_for_every_dimension(spark, dim):
+    """NULL keys, NULL gradients and counts below, at and above the width of a slice; known and unknown lengths."""
+    v = [float(i) for i in range(dim)]
+    rows = [(1, v, 2), (1, v, 3), (2, None, 4), (None, v, 1), (None, None, 1), (3, [None] * dim, None)]
+    df = spark.createDataFrame(rows, "__s bigint, grad array<double>, cnt int")
+    for known in (dim, None):
+        got = {r[0]: (r.grad, r.cnt) for r in gradients.push_reduce(df, ["__s"], "grad", known, "cnt").collect()}
+        assert got == {1: ([2 * x for x in v], 5), 2: ([0.0] * dim if known else [], 4), None: (v, 2), 3: ([0.0] * dim, 0)}
+
+
 def test_unique_inverse_and_dense(spark):
     df = spark.createDataFrame([(0, 7), (1, 3), (2, 7), (3, 9), (4, 3)], "pos int, key bigint")
     assert [r.inverse for r in gradients.unique_inverse(df, "pos", "key").orderBy("pos").collect()] == [0, 1, 0, 2, 1]

@@ -111,11 +111,18 @@ def test_names_and_options():
 
 
 @pytest.mark.parametrize("config", [{"category": "adam"}, {"category": "sgd", "momentum": 0.9}, {"category": "test"}], ids=lambda c: c["category"])
-def test_long_histories_are_folded_in_chunks(spark, config):
+def test_long_histories_are_carried_from_batch_to_batch(spark, config):
     rng = np.random.default_rng(4)
     rows = [(k, i, float(g)) for k, n in ((1, 23), (2, 5), (None, 11), (3, 1)) for i, g in enumerate(rng.uniform(-1, 1, n))]
     df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "key bigint, at int, g double").withColumn("w", F.lit("clash"))
     once = {r.key: (r.n_steps, r.w) for r in train_ordered(df, "key", ["at"], F.col("g"), config, 1.0).collect()}
-    parts = {r.key: (r.n_steps, r.w) for r in train_ordered(df, "key", ["at"], F.col("g"), config, 1.0, chunk=4).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        parts = {r.key: (r.n_steps, r.w) for r in train_ordered(df, "key", ["at"], F.col("g"), config, 1.0).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert once == parts and {k: n for k, (n, _) in once.items()} == {1: 23, 2: 5, None: 11, 3: 1}
     assert train_ordered(df.limit(0), "key", ["at"], F.col("g"), config).count() == 0
+    some = spark.createDataFrame([("a", 1, 1.0), ("a", 2, None), ("a", 3, 1.0), ("b", 1, 1.0)], "key string, at int, g double")
+    got = {r.key: (r.n_steps, r.w) for r in train_ordered(some, "key", ["at"], F.col("g"), config, 1.0).collect()}
+    assert got["a"] == (3, None) and got["b"][1] is not None

@@ -33,6 +33,15 @@ def test_golden_pull_push(spark, tmp_path):
     assert weights(s.read(0)) == before and s.version == 2
 
 
+def folders(s):
+    return [n for n in s.files.names("storage_0") if n.startswith("v=")]
+
+
+def rows_written(s, version):
+    """Rows in the folders that one version wrote."""
+    return sum(s.spark.read.parquet(f"{s.files.root}/storage_0/{n}").count() for n in folders(s) if st.version_of(n) == version)
+
+
 def test_versions_and_limits(spark, tmp_path):
     s = make(spark, tmp_path)
     assert s.version is None and s.read(0).count() == 0
@@ -40,38 +49,131 @@ def test_versions_and_limits(spark, tmp_path):
         s.store(1025, {})
     for b in range(6):
         s.store(b, {}, {0: spark.range(b + 1).withColumnRenamed("id", "key")})
-    assert s.version == 6
-    assert s.files.names("storage_0") == ["_current", "_manifests", "v=4", "v=5", "v=6"]
+    assert s.version == 6 and s.last_batch() == 5
     assert s.read(0, 4).count() == 4 and s.read(0).count() == 6
     s.clear(0)
-    assert s.read(0).count() == 0
+    assert s.read(0).count() == 0 and s.version == 7 and s.last_batch() == 5
+    with pytest.raises(StateError):
+        s.store(5000, {})
     s.drop()
     assert s.version is None
 
 
-def test_unchanged_variables_are_referred_to(spark, tmp_path):
+def test_old_versions_go_when_they_are_old(spark, tmp_path):
     s = make(spark, tmp_path)
-    s.create_variable(Variable(1, "C1", VariableMeta("float64", 2)))
-    ones = spark.range(3).withColumnRenamed("id", "key")
-    s.store(0, {}, {0: ones, 1: ones})
-    for b in range(1, 6):
-        s.store(b, {}, {0: spark.range(3 + b).withColumnRenamed("id", "key")})
-    assert s.read(0).count() == 8 and s.read(1).count() == 3 and s.read(0, 5).count() == 7
-    assert s.files.names("storage_0", "v=1") == ["variable_id=0", "variable_id=1"] and s.files.names("storage_0", "v=6") == ["variable_id=0"]
-    assert s.files.names("storage_0") == ["_current", "_manifests", "v=1", "v=4", "v=5", "v=6"]
+    s.grace_seconds = 0
+    for b in range(6):
+        s.store(b, {}, {0: spark.range(b + 1).withColumnRenamed("id", "key")})
+    assert s.files.names("storage_0", "_manifests") == ["4", "5", "6"] and s.read(0, 4).count() == 4 and s.read(0).count() == 6
+    with pytest.raises(StateError, match="no version 3"):
+        s.read(0, 3)
+    used = {f for v in (4, 5, 6) for held in s._manifest(v)["variables"]["0"]["shards"].values() for f, _ in held}
+    assert set(folders(s)) == used
 
 
-def test_untouched_shards_are_referred_to(spark, tmp_path):
+def test_a_reader_keeps_its_version(spark, tmp_path):
+    s = make(spark, tmp_path, dim=1)
+    s.upsert(0, spark.createDataFrame([(1, [1.0])], "key bigint, weights array<double>"))
+    old = s.read(0)
+    for i in range(6):
+        s.upsert(0, spark.createDataFrame([(1, [float(i)]), (i + 2, [9.0])], "key bigint, weights array<double>"))
+    assert weights(old) == {1: [1.0]} and weights(s.read(0))[1] == [5.0]
+
+
+def test_of_two_writers_one_is_refused(spark, tmp_path):
+    a, b = make(spark, tmp_path, dim=1), make(spark, tmp_path, dim=1)
+    row = lambda v: spark.createDataFrame([(1, [v])], "key bigint, weights array<double>")
+    a.upsert(0, row(1.0))
+    stale = b._manifest()
+    a.upsert(0, row(2.0))
+    written = b._put(stale, 0, b.read(0, 1))
+    with pytest.raises(StateError, match="another writer"):
+        b._commit(stale, written)
+    assert weights(b.read(0)) == {1: [2.0]} and not set(written) & set(folders(a))
+    b.upsert(0, row(3.0))
+    assert weights(a.read(0)) == {1: [3.0]} and a.version == 3
+
+
+def test_batches_are_counted_apart_from_versions(spark, tmp_path):
+    s = make(spark, tmp_path, dim=1, optimizer={"category": "sgd", "learning_rate": 1.0})
+    row = spark.createDataFrame([(1, [10.0])], "key bigint, weights array<double>")
+    s.upsert(0, row)
+    s.upsert(0, row)
+    batch = spark.createDataFrame([(1,)], "key bigint")
+    down = lambda p: p.select("key", F.array(F.lit(1.0)).alias("grad"))
+    assert train_batch(s, 0, batch, 0, down) and weights(s.read(0)) == {1: [9.0]}
+    assert not train_batch(s, 0, batch, 0, down)
+    assert train_batch(s, 0, batch, 0, down, stream="another") and weights(s.read(0)) == {1: [8.0]}
+    assert (s.last_batch(), s.last_batch("another"), s.last_batch("none")) == (0, 0, -1)
+    s.wait_for(1)
+    with pytest.raises(StateError, match="waits"):
+        s.wait_for(2)
+
+
+def test_a_step_writes_the_rows_it_touches(spark, tmp_path):
     s = make(spark, tmp_path, shards=4, initializer={"category": "constant", "value": 1.0}, optimizer={"category": "sgd", "learning_rate": 1.0})
-    s.upsert(0, spark.createDataFrame([(k, [float(k), 0.0]) for k in range(40)], "key bigint, weights array<double>"))
-    s.store(0, {0: spark.createDataFrame([(5, [1.0, 1.0], 1), (41, [1.0, 1.0], 1)], "key bigint, grad array<double>, cnt bigint")})
-    assert s.files.names("storage_0", "v=1", "variable_id=0") == ["_SUCCESS", "shard=1"]
+    s.upsert(0, spark.createDataFrame([(k, [float(k), 0.0]) for k in range(400)], "key bigint, weights array<double>"))
+    assert rows_written(s, 1) == 400
+    step = lambda keys: spark.createDataFrame([(k, [1.0, 1.0], 1) for k in keys], "key bigint, grad array<double>, cnt bigint")
+    for b in range(3):
+        assert s.store(b, {0: step([5, 401, b])})
+        assert rows_written(s, b + 2) == 3
     got = weights(s.read(0))
-    assert got[5] == [4.0, -1.0] and got[41] == [0.0, 0.0] and len(got) == 41 and got[6] == [6.0, 0.0]
-    assert s._manifest(1)[0] == {0: 0, 1: 1, 2: 0, 3: 0}
-    with pytest.raises(StateError):
-        s.store(5000, {})
-    assert len(weights(s.read(0, shards=[2]))) == 10
+    assert got[5] == [2.0, -3.0] and got[401] == [-2.0, -2.0] and got[0] == [-1.0, -1.0] and got[6] == [6.0, 0.0] and len(got) == 401
+    assert weights(s.read(0, 2))[5] == [4.0, -1.0] and len(weights(s.read(0, shards=[2]))) == 100
+    # half a shard changed: the commit that finds it so compacts that shard, and no other
+    s.store(3, {0: step(range(3, 400, 8))})
+    held = s._manifest()["variables"]["0"]["shards"]
+    assert len(held["3"]) == 1 and held["3"][0][1] == 100 and len(held["1"]) > 1 and rows_written(s, 5) == 150
+    assert len(weights(s.read(0))) == 401 and weights(s.read(0))[3] == [2.0, -1.0]
+
+
+def test_many_small_changes_are_compacted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(st, "MAX_CHANGES", 3)
+    s = make(spark, tmp_path, dim=1, shards=1)
+    s.upsert(0, spark.createDataFrame([(k, [0.0]) for k in range(100)], "key bigint, weights array<double>"))
+    sizes = []
+    for i in range(5):
+        s.upsert(0, spark.createDataFrame([(i, [1.0 + i])], "key bigint, weights array<double>"))
+        sizes.append(len(s._manifest()["variables"]["0"]["shards"]["0"]))
+    assert sizes == [2, 3, 1, 2, 3] and [weights(s.read(0))[i] for i in range(5)] == [[1.0], [2.0], [3.0], [4.0], [5.0]]
+
+
+def test_other_optimizer_without_rewriting(spark, tmp_path):
+    s = make(spark, tmp_path, dim=1, optimizer={"category": "adagrad"})
+    g = spark.createDataFrame([(1, [2.0], 1), (2, [2.0], 1)], "key bigint, grad array<double>, cnt bigint")
+    s.store(0, {0: g})
+    before = folders(s)
+    s.configure(0, optimizer_config={"category": "adadelta"})
+    assert folders(s) == before and s.read(0, 1).first().slots.accum == [4.1]
+    assert all(r.slots.accum == [0.0] and r.slots.accum_update == [0.0] for r in s.read(0).collect())
+    s.store(1, {0: g.where("key = 2")})
+    got = {r.key: r for r in s.read(0).collect()}
+    assert got[1].slots.accum == [0.0] and got[2].slots.accum[0] > 0 and got[1].weights == s.read(0, 1).where("key = 1").first().weights
+
+
+def test_keys_out_of_range_are_refused_by_every_way_in(spark, tmp_path):
+    s = st.Store(spark, f"file://{tmp_path}", "storage_0", 2)
+    s.create_variable(Variable(0, "C0", VariableMeta("float64", 1, 10)))
+    for bad in (10, -1):
+        g = spark.createDataFrame([(bad, [1.0], 1)], "key bigint, grad array<double>, cnt bigint")
+        for call in (lambda g=g: s.store(0, {0: g}), lambda g=g: s.store(0, {}, {0: g}), lambda g=g: s.upsert(0, g.select("key", F.col("grad").alias("weights")))):
+            with pytest.raises(Exception, match="out of range"):
+                call()
+    assert s.version is None
+
+
+def test_blocks_and_null_sink(spark, tmp_path):
+    state = spark.createDataFrame([(k, [float(k)]) for k in range(25)], "key bigint, weights array<double>")
+    blocks = list(st.read_blocks(state, 10))
+    assert [b.num_rows for b in blocks] == [10, 10, 5] and blocks[1]["key"].to_pylist() == list(range(10, 20))
+    assert [b["key"].to_pylist()[0] for b in st.read_blocks(state, 10, after=19)] == [20] and not list(st.read_blocks(state.limit(0), 4))
+    assert {r.block: r["count"] for r in st.numbered_blocks(state, 10).groupBy("block").count().collect()} == {0: 10, 1: 10, 2: 5}
+    st.dump(state, "null:///x", 0, 3)
+    sink = st.Files(spark, "null:///x")
+    assert sink.write("text", "a") and not sink.exists("a") and sink.names() == []
+    with pytest.raises(StateError, match="bounded"):
+        st.export_dense(state, 1 << 63, {"category": "constant"}, 1)
 
 
 def test_meta_guard(spark, tmp_path):
@@ -158,6 +260,10 @@ def test_catalog(spark, tmp_path):
     got = c.read_only_pull(sign, 0, spark.createDataFrame([(1,), (5,)], "key bigint"))
     assert sorted((r.key, r.weights[0], r.is_new) for r in got.collect()) == [(1, 1.0, False), (5, 7.0, True)]
     c._put(c.show_model(sign) | {"status": "CREATING"})
+    c.files.create_exclusive("models", sign, "lock")
+    with pytest.raises(StateError, match="being created"):
+        c.create_model(uri)
+    c.stale_seconds = 0  # the lock's holder is gone
     with pytest.raises(StateError):
         c.find_variable(sign, 0)
     assert c.create_model(uri) == sign  # an interrupted creation is resumed
@@ -165,6 +271,27 @@ def test_catalog(spark, tmp_path):
     assert c.request("GET", f"/models/{sign}")[0] == 404 and c.request("PUT", "/x")[0] == 404
 
 
+def test_catalog_after_a_crash(spark, tmp_path, monkeypatch):
+    from quillstate.plans import catalog as module
+
+    s = make(spark, tmp_path / "s")
+    s.upsert(0, spark.createDataFrame([(1, [1.0, 2.0]), (5, [3.0, 4.0])], "key bigint, weights array<double>"))
+    uri = f"file://{tmp_path}/m"
+    sign = save_model([s], uri, 1)
+    c = Catalog(spark, f"file://{tmp_path}/serving", stale_seconds=0)
+    c.files.create_exclusive("models", sign, "lock")  # a crash before the entry was written
+    c.delete_model(sign)
+    c.files.create_exclusive("models", sign, "lock")
+    with monkeypatch.context() as m:
+        m.setattr(module, "load", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            c.create_model(uri)
+    assert c.show_model(sign)["status"] == "CREATING" and "division" in c.show_model(sign)["error"] and not c.files.exists("models", sign, "lock")
+    assert c.create_model(uri, 2, 3) == sign
+    assert c.files.names("models", sign, "rows", "storage_0", "0", "variable_id=0") == ["shard=1", "shard=2"]
+    assert {r.key: list(r.weights) for r in c.find_variable(sign, 0)[1].collect()} == {1: [1.0, 2.0], 5: [3.0, 4.0]}
+
+
 def test_batch_training_follows_weights(spark, tmp_path):
     """Gradients that depend on the pulled weights equal a plain loop."""
     s = make(spark, tmp_path, dim=1, optimizer={"category": "sgd", "learning_rate": 0.5}, initializer={"category": "constant", "value": 1.0})
