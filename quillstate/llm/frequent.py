@@ -26,8 +26,12 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Largest number of surviving prefixes that are shipped to all tasks; beyond it both sides shuffle.
+from quillstate.session import cut
+
+#: Largest number of surviving prefixes that are shipped to all tasks; beyond it both sides shuffle, salted.
 MAX_BROADCAST = 200_000
+#: Parts that the rows below one prefix are dealt out to where both sides shuffle.
+SALTS = 32
 
 
 def _prefix(bits: int) -> Column:
@@ -38,17 +42,32 @@ def _hashed(df: DataFrame, field: str, keys: list[str]) -> DataFrame:
     return df.select(field, *keys, F.xxhash64(*keys).alias("__h"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Survivors as a local broadcast table when they are few, else as they are."""
+def _survivors(df: DataFrame) -> tuple[DataFrame, bool]:
+    """Survivors as a local broadcast table when they are few, else written down, so that no later pass computes them again; and which of both."""
     rows = df.limit(MAX_BROADCAST + 1).collect()
     if len(rows) > MAX_BROADCAST:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema).coalesce(1))
+        return cut(df), False
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema).coalesce(1)), True
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return _survivors(df)[0]
+
 
+def _below(rows: DataFrame, survivors: tuple[DataFrame, bool], field: str, bits: int) -> DataFrame:
+    """The rows below surviving prefixes.
 
-def _below(rows: DataFrame, survivors: DataFrame, field: str, bits: int) -> DataFrame:
-    s = survivors.select(F.col(field).alias("__f"), F.col("__p").alias("__sp"))
-    return rows.join(s, F.col(field).eqNullSafe(F.col("__f")) & (_prefix(bits) == F.col("__sp")), "left_semi")
+    Surviving prefixes are the frequent ones: where they have to be shuffled, the rows of a prefix are dealt out
+    by the task that reads them, and the survivors are repeated for every part.
+    """
+    kept, few = survivors
+    s = kept.select(F.col(field).alias("__f"), F.col("__p").alias("__sp"))
+    same = F.col(field).eqNullSafe(F.col("__f")) & (_prefix(bits) == F.col("__sp"))
+    if few:
+        return rows.join(s, same, "left_semi")
+    dealt = rows.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    every = s.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(every, same & (F.col("__salt") == F.col("__part")), "left_semi").drop("__salt")
 
 
 def _with(left: DataFrame, right: DataFrame, field: str) -> DataFrame:
@@ -76,8 +95,8 @@ def frequent_by_share(df: DataFrame, field: str, keys: list[str], min_share: str
         else:
             counted = _with(counted, totals, field)
         kept = counted.where(F.col("__n") * F.lit(share.denominator) >= F.col("__total") * F.lit(share.numerator))
-        survivors = _small(kept.select(field, "__p", "__total"))
-        totals = _small(survivors.select(field, "__total").distinct())  # one row a field
+        survivors = _survivors(kept.select(field, "__p", "__total"))
+        totals = _small(survivors[0].select(field, "__total").distinct())  # one row a field
         bits += step_bits
     full = _below(rows, survivors, field, bits - step_bits).groupBy(field, *keys).agg(F.count(F.lit(1)).alias("n_rows"))
     return (
@@ -93,9 +112,10 @@ def frequent_by_rank(df: DataFrame, field: str, keys: list[str], k: int, step_bi
     bits, survivors, bound = step_bits, None, None
     top = Window.partitionBy(field).orderBy(F.col("__n").desc(), F.col("__p"))
     while bits <= prefix_bits:
-        counted = _counts(rows if survivors is None else _below(rows, survivors, field, bits - step_bits), field, bits)
+        # counted once, used for the pilot and for the survivors
+        counted = cut(_counts(rows if survivors is None else _below(rows, survivors, field, bits - step_bits), field, bits))
         # pilot: exact counts of the values below the k largest prefixes give a lower bound on the k-th count
-        pilot = _small(counted.withColumn("__r", F.row_number().over(top)).where(F.col("__r") <= k).select(field, "__p"))
+        pilot = _survivors(counted.withColumn("__r", F.row_number().over(top)).where(F.col("__r") <= k).select(field, "__p"))
         exact = _below(rows, pilot, field, bits).groupBy(field, *keys).agg(F.count(F.lit(1)).alias("__n"))
         kth = Window.partitionBy(field).orderBy(F.col("__n").desc(), *keys)
         lower = _small(
@@ -103,7 +123,7 @@ def frequent_by_rank(df: DataFrame, field: str, keys: list[str], k: int, step_bi
             .agg(F.when(F.count(F.lit(1)) == k, F.min("__n")).otherwise(F.lit(1)).alias("__lower"))
         )
         bound = lower if bound is None else _small(bound.unionByName(lower).groupBy(field).agg(F.max("__lower").alias("__lower")))
-        survivors = _small(_with(counted, bound, field).where(F.col("__n") >= F.col("__lower")).select(field, "__p"))
+        survivors = _survivors(_with(counted, bound, field).where(F.col("__n") >= F.col("__lower")).select(field, "__p"))
         bits += step_bits
     full = _below(rows, survivors, field, bits - step_bits).groupBy(field, *keys).agg(F.count(F.lit(1)).alias("n_rows"))
     w = Window.partitionBy(field).orderBy(F.col("n_rows").desc(), *keys)

@@ -22,6 +22,7 @@ usual; empty tables give no rows.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +39,8 @@ FLUSH = 2_000_000
 class Compactors:
     """One mergeable sketch."""
 
-    def __init__(self, k: int = K, n: int = 0, spread: float = 0.0, levels: list[np.ndarray] | None = None):
-        self.k, self.n, self.spread = k, n, spread
+    def __init__(self, k: int = K, n: int = 0, spread: float = 0.0, levels: list[np.ndarray] | None = None, seed: tuple[int, ...] = ()):
+        self.k, self.n, self.spread, self.seed = k, n, spread, seed
         self.levels = levels or [np.zeros(0)]
 
     def size(self) -> int:
@@ -66,8 +67,9 @@ class Compactors:
             if len(items) > self.k:
                 items = np.sort(items)
                 even = len(items) & ~1
-                # fixed by what was seen, so that a retried task gives the same sketch
-                start = np.random.default_rng([self.n, h, even]).integers(2)
+                # fixed by the task, the group and what was seen: a retried task gives the same sketch,
+                # and the coins of different tasks, groups, levels and times are independent
+                start = np.random.default_rng([*self.seed, self.n, h, even]).integers(2)
                 if h + 1 == len(self.levels):
                     self.levels.append(np.zeros(0))
                 self.levels[h + 1] = np.concatenate([self.levels[h + 1], items[start:even:2]])
@@ -110,6 +112,11 @@ def _null_to_none(key: tuple) -> tuple:
     return tuple(None if v is pd.NaT or (isinstance(v, float) and v != v) else v for v in key)
 
 
+def _number(key: tuple) -> int:
+    """A number that stands for a group, the same in every process."""
+    return zlib.crc32(repr(key).encode())
+
+
 def sketch(df: DataFrame, groups: list[str], value: str, k: int = K) -> DataFrame:
     """One sketch per group: ``*groups, n, spread, sizes, items``."""
     usable = df.select(*groups, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
@@ -122,30 +129,36 @@ def sketch(df: DataFrame, groups: list[str], value: str, k: int = K) -> DataFram
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        salt = TaskContext.get().partitionId() % salts
+        part = TaskContext.get().partitionId()
+        salt, size, flushes = part % salts, 0, 0
         held: dict[tuple, Compactors] = {}
         for f in frames:
             values = f["__v"].to_numpy()
             for key, index in f.groupby(groups, dropna=False, sort=False).indices.items():
                 key = _null_to_none(key if isinstance(key, tuple) else (key,))
-                held.setdefault(key, Compactors(k)).add(values[index])
-            if sum(s.size() for s in held.values()) > FLUSH:
-                yield _pack(groups, list(held), list(held.values()), [salt] * len(held))
-                held = {}
+                if key not in held:
+                    held[key] = Compactors(k, seed=(part, flushes, _number(key)))
+                held[key].add(values[index])
+                size += len(index)
+            if size > FLUSH:  # an upper bound of what is held since it was last counted
+                size = sum(s.size() for s in held.values())
+                if 2 * size > FLUSH:
+                    yield _pack(groups, list(held), list(held.values()), [salt] * len(held))
+                    held, size, flushes = {}, 0, flushes + 1
         if held:
             yield _pack(groups, list(held), list(held.values()), [salt] * len(held))
 
-    def joined(pdf: pd.DataFrame) -> Compactors:
-        total = Compactors(k)
+    def joined(pdf: pd.DataFrame, *seed: object) -> Compactors:
+        total = Compactors(k, seed=(_number(seed),))
         for n, spread, sizes, items in zip(pdf["n"], pdf["spread"], pdf["sizes"], pdf["items"]):
             total.merge(_unpack(k, n, spread, sizes, items))
         return total
 
     def merge_salted(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _pack(groups, [_null_to_none(key[:-1])], [joined(pdf)], [key[-1]])
+        return _pack(groups, [_null_to_none(key[:-1])], [joined(pdf, "salted", *key)], [key[-1]])
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _pack(groups, [_null_to_none(key)], [joined(pdf)])
+        return _pack(groups, [_null_to_none(key)], [joined(pdf, "all", *key)])
 
     partial = usable.mapInPandas(build, salted)
     if salts > 1:
@@ -158,7 +171,7 @@ def merge_sketches(sketches: DataFrame, groups: list[str], k: int = K) -> DataFr
     schema = T.StructType([*[sketches.schema[g] for g in groups], *[sketches.schema[c] for c in ("n", "spread", "sizes", "items")]])
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = Compactors(k)
+        total = Compactors(k, seed=(_number(("merged", *key)),))
         for n, spread, sizes, items in zip(pdf["n"], pdf["spread"], pdf["sizes"], pdf["items"]):
             total.merge(_unpack(k, n, spread, sizes, items))
         return _pack(groups, [_null_to_none(key)], [total])

@@ -83,6 +83,20 @@ def p2_error_rate(spark: SparkSession, d: str) -> DataFrame:
     return both.select(F.col("stream").alias("field"), "records", (F.col("records") - F.col("reported_new")).alias("reported_seen"), wrong.alias("wrong"), (wrong / F.col("records")).alias("wrong_rate"))
 
 
+def p2_state(spark: SparkSession, d: str) -> DataFrame:
+    """Coded sets kept between days: saved keys first, then each stream merged in; keys held, and those that each day added."""
+    days = [table(spark, d, "checkpoint_rows").select("variable_id", F.col("key").alias("id")).where(_present("id"))]
+    stream = _p2_stream(spark, d)
+    days += [stream.where(F.col("stream") == s).select("variable_id", "id") for s in ("C5", "indices")]
+    bits = seen.range_bits(sum(x.count() for x in days), 8)
+    state, held = None, []
+    for day in days:
+        made = seen.build_state(day, ["variable_id", "id"], part_bits=bits) if state is None else seen.update_state(state, day, ["variable_id", "id"], part_bits=bits)
+        state = cut(made)
+        held.append(state.agg(F.sum("n")).first()[0] or 0)
+    return spark.createDataFrame([(i, n, n - (held[i - 1] if i else 0)) for i, n in enumerate(held)], "day int, n_keys bigint, n_new bigint")
+
+
 _P2_SQL = """
 WITH s AS (
   SELECT 'C5' AS field, rec_id, 0 AS pos, 5 AS variable_id, C5 AS id FROM train100
@@ -195,6 +209,25 @@ def p4_rank_error(spark: SparkSession, d: str) -> DataFrame:
     return agg.select("field", "c9", "pct", "n", (off <= F.col("n") * 0.01).alias("within_1_percent"))
 
 
+def p4_merged(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of each field over all days and groups, from the sketches of days and ``c9`` groups merged twice.
+
+    Most such groups are larger than a level, so compactors have worked. ``rank_ok``: the exact rank of the answer,
+    counted over all rows, lies within the bound the sketch claims.
+    """
+    groups = ["field"]
+    days = percentiles.sketch(_p4_rows(spark, d), _P4_GROUPS, "v")
+    per = percentiles.merge_sketches(days, ["field", "c9"])
+    sketches = cut(percentiles.merge_sketches(per, groups))
+    got = percentiles.percentiles(sketches, groups, P4_PCTS).join(sketches.select(F.col("field").alias("__s"), "spread"), F.col("field") == F.col("__s"))
+    asked = got.select("field", "pct", "n", "value", F.sqrt(2 * F.col("spread") * F.log(F.lit(2 / percentiles.DELTA))).alias("bound"))
+    rows = _p4_rows(spark, d).where(F.col("v").isNotNull() & ~F.isnan("v")).select(F.col("field").alias("f"), "v")
+    agg = rows.join(asked, F.col("f") == F.col("field")).groupBy("field", "pct", "n", "value", "bound").agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("v") < F.col("value"), 1)).alias("below"), F.count(F.when(F.col("v") <= F.col("value"), 1)).alias("upto"))
+    want = F.col("pct") / 100 * (F.col("n") - 1)
+    ok = (F.col("below") - 1 - want <= F.col("bound")) & (want - F.col("upto") <= F.col("bound"))
+    return agg.select("field", "pct", "n", "n_rows", (F.col("bound") > 0).alias("compacted"), (ok & (F.col("bound") < 0.1 * F.col("n"))).alias("rank_ok"))
+
+
 _P4_SQL = """
 WITH l AS (
   SELECT strftime(event_ts, '%Y-%m-%d') AS event_day, C9 AS c9, 'I2' AS field, I2 AS v FROM train100
@@ -260,10 +293,12 @@ QUERIES = {
     "p1_top": p1_top,
     "p2_found": p2_found,
     "p2_error_rate": p2_error_rate,
+    "p2_state": p2_state,
     "p3_found": p3_found,
     "p3_counts": p3_counts,
     "p4_found": p4_found,
     "p4_rank_error": p4_rank_error,
+    "p4_merged": p4_merged,
     "p6_ids": p6_ids,
     "p6_round_trip": p6_round_trip,
     "p7_found": p7_found,
@@ -283,6 +318,13 @@ FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY field ORDER BY n_rows DESC, vari
     "p2_error_rate": _P2_SQL + """
 SELECT field, COUNT(*) AS records, COUNT(*) FILTER (saved OR nth > 1) AS reported_seen, CAST(0 AS BIGINT) AS wrong, CAST(0 AS DOUBLE) AS wrong_rate
 FROM r GROUP BY field""",
+    "p2_state": """
+WITH a AS (
+  SELECT 0 AS day, variable_id, key AS id FROM checkpoint_rows UNION ALL SELECT 1, 5, C5 FROM train100
+  UNION ALL SELECT 2, variable_id, UNNEST(indices) FROM embedding_pull_items),
+f AS (SELECT variable_id, id, MIN(day) AS day FROM a WHERE id IS NOT NULL AND id <> -1 GROUP BY variable_id, id),
+n AS (SELECT d.day, COUNT(*) FILTER (f.day <= d.day) AS n_keys, COUNT(*) FILTER (f.day = d.day) AS n_new FROM (SELECT UNNEST([0, 1, 2]) AS day) d, f GROUP BY d.day)
+SELECT * FROM n""",
     "p3_counts": _P3_SQL + "SELECT meta_id, field, CAST(vocabulary_size AS BIGINT) AS vocabulary_size, n_ids FROM m JOIN n USING (meta_id)",
     "p3_found": _P3_SQL + "SELECT DISTINCT meta_id FROM m JOIN n USING (meta_id) WHERE abs(CAST(vocabulary_size AS HUGEINT) - n_ids) * 10 > n_ids",
     "p4_found": _P4_SQL + """
@@ -290,6 +332,9 @@ q AS (SELECT field, event_day, c9, quantile_cont(v, 0.5) AS m, quantile_cont(v,
 x AS (SELECT field, event_day, c9, 50 AS pct, m AS value FROM q UNION ALL SELECT field, event_day, c9, 90, t FROM q)
 SELECT x.field, x.event_day, x.c9, x.pct FROM x JOIN (SELECT DISTINCT * FROM feature_baseline) b ON b.field = x.field AND b.c9 = x.c9 AND b.pct = x.pct
 WHERE abs(x.value - b.expected) > 0.4 * abs(b.expected)""",
+    "p4_merged": _P4_SQL + """
+n AS (SELECT field, COUNT(*) AS n FROM u GROUP BY field)
+SELECT field, p AS pct, n, n AS n_rows, n > 2048 AS compacted, TRUE AS rank_ok FROM n, (SELECT UNNEST([50, 90]) AS p)""",
     "p4_rank_error": _P4_SQL + """
 n AS (SELECT field, c9, COUNT(*) AS n FROM u GROUP BY field, c9)
 SELECT field, c9, p AS pct, n, TRUE AS within_1_percent FROM n, (SELECT UNNEST([50, 90]) AS p)""",

@@ -92,7 +92,8 @@ def first_occurrences(stream: DataFrame, known: DataFrame | None, keys: list[str
     """
     spark = stream.sparkSession
     b = stream.agg(F.count(F.lit(1)).alias("n"), F.min("rec").alias("lo"), F.max("rec").alias("hi")).first()
-    pbits = range_bits(b["n"], shuffle_partitions(spark))
+    # a range holds the keys known before as well as those of the stream
+    pbits = range_bits(b["n"] + (known.count() if known is not None else 0), shuffle_partitions(spark))
     universe = hash_bits - pbits
     lo, hi = (b["lo"] or 0), (b["hi"] or 0)
     span = max(1, -(-(hi - lo + 1) // batches))

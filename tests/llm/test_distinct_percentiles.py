@@ -28,6 +28,21 @@ def test_ranges_and_combinations(spark):
     assert {r.n_ids for r in distinct.answer_ranges(empty, requests, "meta_id", ["c9", "label"], FIRST).collect()} == {0}
 
 
+def test_buckets_and_days_are_merged(spark):
+    """Counters of separate ranges of buckets add up; states of separate days give what all days give."""
+    rng = np.random.default_rng(8)
+    rows = [("C1", int(rng.integers(200)), FIRST + timedelta(int(rng.integers(90))), int(rng.integers(3))) for _ in range(2000)]
+    pairs = spark.createDataFrame(rows, "field string, id bigint, day date, c9 bigint")
+    patterns, last = [(False,), (True,)], FIRST + timedelta(89)
+    key = lambda df: sorted((r.pattern, -1 if r.c9 is None else r.c9, r.prev, r.day, r.n_ids) for r in df.collect())
+    whole = key(distinct.range_counters(pairs, ["c9"], patterns, FIRST, last))
+    third = distinct.BUCKETS // 3
+    parts = [distinct.range_counters(pairs, ["c9"], patterns, FIRST, last, b) for b in (range(third), range(third, 2 * third), range(2 * third, distinct.BUCKETS))]
+    assert all(key(p) for p in parts) and key(distinct.merge(parts)) == whole
+    states = [distinct.bucket_state(pairs.where(c), ["c9"], FIRST, last) for c in ("day < '2020-02-01'", "day >= '2020-02-01'")]
+    assert key(distinct.state_counters(distinct.merge_states(states, ["c9"]), ["c9"], patterns)) == whole
+
+
 @pytest.fixture(scope="module")
 def values(spark):
     rng = np.random.default_rng(6)
