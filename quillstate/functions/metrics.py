@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstate.operators.gradients import push_reduce
 from quillstate.session import cut
 
 
@@ -43,11 +44,22 @@ def error_rate(df: DataFrame, label: str, p: str) -> DataFrame:
     return df.agg(F.avg(F.when(predicted != F.col(label), 1.0).otherwise(0.0)).alias("error_rate"))
 
 
-def fm_second_order(vectors: DataFrame, row: str, vector: str) -> DataFrame:
-    """``0.5 * sum((sum v)^2 - sum v^2)`` per row over its vectors; summed per element first."""
-    e = vectors.select(row, F.posexplode(vector).alias("i", "v")).withColumn("v", F.col("v").cast("double"))
-    per = e.groupBy(row, "i").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
-    return per.groupBy(row).agg((F.sum(F.col("s") * F.col("s") - F.col("q")) * 0.5).alias("fm"))
+def fm_second_order(vectors: DataFrame, row: str, vector: str, dim: int | None = None) -> DataFrame:
+    """``0.5 * sum((sum v)^2 - sum v^2)`` per row over its vectors; NULL vectors are none.
+
+    Values and squares lie side by side in one vector, whose sums are taken element by element
+    without multiplying rows (``push_reduce``).
+    """
+    pairs = F.flatten(F.transform(F.col(vector).cast("array<double>"), lambda v: F.array(v, v * v)))
+    sums = push_reduce(vectors.where(F.col(vector).isNotNull()).select(row, pairs.alias("__v")), [row], "__v", dim and 2 * dim)
+    parts = F.transform("grad", lambda x, i: F.when(i % 2 == 0, x * x).otherwise(-x))
+    return sums.select(row, (F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) * 0.5).alias("fm"))
+
+
+def worker_average(values: DataFrame, worker: str, columns: list[str]) -> DataFrame:
+    """One row: the mean over workers of each worker's mean, as workers that report once each give it."""
+    per = values.groupBy(worker).agg(*[F.avg(c).alias(c) for c in columns])
+    return per.agg(*[F.avg(c).alias(c) for c in columns])
 
 
 def lr_forward(embedded: DataFrame, row: str, weight: str, dense: Column, bias: float = 0.0) -> DataFrame:

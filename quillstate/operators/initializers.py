@@ -6,6 +6,9 @@ retried or recomputed gets the same values before it is ever stored.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -49,29 +52,40 @@ class Uniform:
         return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.lit(float(self.minval)) + span * unit(self.seed, key, i))
 
 
+# coefficients of P. J. Acklam's rational approximation of the inverse normal distribution (fixed values)
+_CENTRE = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00], [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0]
+_TAIL = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00], [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0]
+
+
+def _ratio(x: Column, coefficients: tuple[list[float], list[float]]) -> Column:
+    up, down = (reduce(lambda v, c: v * x + F.lit(c), cs[1:], F.lit(cs[0])) for cs in coefficients)
+    return up / down
+
+
+def inverse_normal(p: Column) -> Column:
+    """The value that a standard normal number stays below with chance ``p`` in (0, 1), to about nine digits."""
+    q = p - 0.5
+    low, high = F.sqrt(F.lit(-2.0) * F.log(p)), F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - p))
+    return F.when(p < 0.02425, _ratio(low, _TAIL)).when(p > 1 - 0.02425, -_ratio(high, _TAIL)).otherwise(q * _ratio(q * q, _CENTRE))
+
+
 @register("normal")
 class Normal:
-    """Box-Muller; with ``truncated > 0.1`` both tails beyond that many deviations are redrawn
-    by falling back to further draws (eight at most, then the bound itself)."""
+    """Normal numbers by inversion of one uniform number; with ``truncated > 0.1`` none lies beyond that many deviations."""
 
     mean: float = 0.0
     stddev: float = 1.0
     truncated: float = 0.0
     seed: int = 0
 
-    def _draw(self, key: Column, i: Column, salt: int) -> Column:
-        u, v = unit(self.seed, key, i, 2 * salt), unit(self.seed, key, i, 2 * salt + 1)
-        return F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u)) * F.cos(F.lit(6.283185307179586) * v)
-
     def vector(self, key: Column, dim: int) -> Column:
+        below = 0.5 * math.erfc(self.truncated / math.sqrt(2)) if self.truncated > 0.1 else 0.0
+        least = max(below, 2.0**-54)  # 0 has no inverse
+        wide = float(self.truncated) if below else math.inf
+
         def one(i: Column) -> Column:
-            z = self._draw(key, i, 0)
-            if self.truncated > 0.1:
-                bound = F.lit(float(self.truncated))
-                draws = F.array(*[self._draw(key, i, s) for s in range(8)])
-                inside = F.filter(draws, lambda x: F.abs(x) <= bound)
-                z = F.coalesce(F.get(inside, F.lit(0)), F.signum(z) * bound)
-            return F.lit(float(self.mean)) + F.lit(float(self.stddev)) * z
+            z = inverse_normal(F.lit(least) + F.lit(1 - 2 * least) * unit(self.seed, key, i))
+            return F.lit(float(self.mean)) + F.lit(float(self.stddev)) * F.greatest(F.lit(-wide), F.least(F.lit(wide), z))
 
         return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), one)
 

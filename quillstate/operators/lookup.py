@@ -41,9 +41,12 @@ def pull(
     """``keys`` with the state's ``weights`` (default: the initializer's row) and ``is_new``.
 
     ``on`` names further key columns (such as ``variable_id``); ``columns`` the state
-    columns to bring (``slots`` for a lookup with optimizer state). Reading never writes:
+    columns to bring (``slots`` for a lookup with optimizer state). Keys of another type are cast to
+    64-bit integers. Reading never writes:
     a missing key shows its initial row and stays missing.
     """
+    if dict(keys.dtypes)[key] != "bigint":
+        keys = keys.withColumn(key, F.col(key).cast("bigint"))
     if meta is not None:
         keys, dim = check_keys(keys, key, meta), meta.embedding_dim
     if init is not None and dim is None:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillstate.plans import feature_queries, general_queries, state_queries
+from quillstate.plans import feature_queries, general_queries, service_queries, state_queries
 
-_MODULES = [state_queries, feature_queries, general_queries]
+_MODULES = [state_queries, feature_queries, general_queries, service_queries]
 
 
 def queries() -> dict:

@@ -33,6 +33,24 @@ def read_days(spark: SparkSession, path: str, sparse: T.DataType | None = None)
     return rows.fillna(0, subset=DENSE).withColumn("day_n", F.regexp_extract(F.input_file_name(), r"day_(?:n=)?(\d+|__HIVE_DEFAULT_PARTITION__)", 1).try_cast("int"))
 
 
+def worker_files(spark: SparkSession, path: str, rank: int, size: int) -> list[str]:
+    """The data files a worker reads: of all files below ``path`` in order of name, those at ``rank``, ``rank + size``, ..."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found, files = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True), []
+    while found.hasNext():
+        f = found.next().getPath()
+        if not f.getName().startswith(("_", ".")):
+            files.append(f.toString())
+    return sorted(files)[rank::size]
+
+
+def read_worker_days(spark: SparkSession, path: str, rank: int, size: int, sparse: T.DataType | None = None) -> DataFrame:
+    """The rows of a worker's files of a folder of day files, each file read by one worker only."""
+    files = worker_files(spark, path, rank, size)
+    kind = schema(sparse or T.LongType())
+    return spark.read.schema(kind).option("sep", "\t").csv(files) if files else spark.createDataFrame([], kind)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     """Numbers with six decimals, one header per file."""
     made = [F.format_string("%.6f", F.col(c)).alias(c) if k in ("double", "float") else F.col(c) for c, k in df.dtypes]
