@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstate.functions import features, metrics
 from quillstate.operators import initializers, lookup
 from quillstate.plans import analysis
-from quillstate.session import shared_dir, table
+from quillstate.session import table, work_dir
 from quillstate.sources import clicklog, profiling, tfrecord
 
 LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]  # unique together
 
 
-def _work(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quillstate/{name}-{uuid.uuid4().hex}"
-
-
 def _log(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "train100")
 
@@ -117,14 +111,14 @@ def init_normal(spark, d):
 
 def csv_roundtrip(spark, d):
     log = _log(spark, d)
-    path = _work(spark, "csv")
+    path = work_dir(spark, "csv")
     clicklog.write_csv(log.select(F.col("rec_id").alias("_c0"), "label", *clicklog.DENSE, *clicklog.SPARSE).fillna(0.0, subset=clicklog.DENSE), path)
     return clicklog.read_csv(spark, path).select("label", F.round("I2", 6).alias("I2"), F.round("I13", 6).alias("I13"), "C3", "C26")
 
 
 def tsv_hex_scan(spark, d):
     log = _log(spark, d)
-    path = _work(spark, "tsv")
+    path = work_dir(spark, "tsv")
     tokens = [F.when(F.col(c) >= 0, F.lower(F.hex(c))).alias(c) for c in clicklog.SPARSE]
     log.select("label", *clicklog.DENSE, *tokens).write.option("sep", "\t").csv(path)
     raw = clicklog.read_tsv(spark, path)
@@ -134,7 +128,7 @@ def tsv_hex_scan(spark, d):
 def day_files_scan_all(spark, d):
     """Every day passes through writer and reader."""
     log = _log(spark, d).select("label", *[F.nanvl(F.coalesce(c, F.lit(0.0)), F.lit(0.0)).alias(c) for c in clicklog.DENSE], *clicklog.SPARSE, "day_n")
-    path = _work(spark, "days")
+    path = work_dir(spark, "days")
     clicklog.write_all_days(log, path, 400)
     rows = clicklog.read_days(spark, path)
     return rows.groupBy("day_n").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("label").alias("clicks"), F.sum("C9").alias("c9_sum"))
@@ -146,7 +140,7 @@ def day_files_scan(spark, d):
 
 def tfrecord_roundtrip(spark, d):
     log = _log(spark, d).select("rec_id", "label", "C3", "I2").where("label is not null and C3 is not null and I2 is not null")
-    path = _work(spark, "tfrecord")
+    path = work_dir(spark, "tfrecord")
     tfrecord.write(log, path)
     return tfrecord.read(spark, path, log.schema).select("rec_id", "label", "C3", F.round("I2", 6).alias("I2"))
 
@@ -154,19 +148,19 @@ def tfrecord_roundtrip(spark, d):
 def tfrecord_roundtrip_all(spark, d):
     """Rows with missing features too: the writer leaves them out, the reader gives NULL."""
     log = _log(spark, d).select("rec_id", "label", "C3", "I2")
-    path = _work(spark, "tfrecord")
+    path = work_dir(spark, "tfrecord")
     tfrecord.write(log, path)
     return tfrecord.read(spark, path, log.schema).select("rec_id", "label", "C3", F.round("I2", 6).alias("I2"))
 
 
 def vocabulary_meta(spark, d):
-    path = _work(spark, "vocabulary")
+    path = work_dir(spark, "vocabulary")
     clicklog.write_vocabulary(column_cardinality(spark, d), path)
     return clicklog.read_vocabulary(spark, path)
 
 
 def record_files(spark, d):
-    path = _work(spark, "records")
+    path = work_dir(spark, "records")
     clicklog.write_records(table(spark, d, "events").select("event_id", "user_id"), path, 3000)
     files = spark.read.parquet(path).groupBy(F.input_file_name().alias("f")).count()
     return files.agg(F.sum("count").alias("n_rows"), (F.max("count") <= 3000).alias("bounded"))
@@ -209,7 +203,7 @@ def log_pivot(spark, d):
 
 
 def epoch_logs(spark, d):
-    path = _work(spark, "logs")
+    path = work_dir(spark, "logs")
     lines = table(spark, d, "region").select(F.concat(F.lit("step - "), F.col("r_regionkey") + 10, F.lit("s - loss: 0.5")).alias("value"))
     lines.unionByName(spark.createDataFrame([("Epoch 1/5",)], "value string")).coalesce(1).write.text(path)
     files = spark.read.text(path).select("value", F.lit("dir/deepfm_9_4.out").alias("file"))

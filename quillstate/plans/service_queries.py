@@ -14,8 +14,8 @@ from quillstate.operators import gradients, initializers, lookup, optimizers, sh
 from quillstate.plans import analysis
 from quillstate.plans import store as st
 from quillstate.plans.catalog import Catalog, load_beside, load_model, save_beside, save_model
-from quillstate.plans.state_queries import DIM, _embeddings, _keys, _new_store, _r, _scalar_gradients, _variable, _work
-from quillstate.session import table
+from quillstate.plans.state_queries import DIM, _embeddings, _keys, _new_store, _r, _scalar_gradients, _variable
+from quillstate.session import table, work_dir
 from quillstate.sources import clicklog, profiling
 from quillstate.streaming.loop import train_stream
 from quillstate.streaming.prefetch import PrefetchQueue
@@ -46,7 +46,7 @@ def push_reduce_wide(spark, d):
 
 def push_guard(spark, d):
     """A step with keys out of range is refused as a whole."""
-    s = st.Store(spark, _work(spark, "guard"), "storage_0", 4)
+    s = st.Store(spark, work_dir(spark, "guard"), "storage_0", 4)
     s.create_variable(Variable(0, "C0", VariableMeta("float64", 2, 500)))
     g = _scalar_gradients(spark, d).withColumn("key", F.col("key") * 7)
     refused = _refused(lambda: s.store(0, {0: gradients.push_reduce(g, ["key"], "grad", 2)}))
@@ -93,7 +93,7 @@ def unknown_properties(spark, d):
 
 def layer_rows(spark, d):
     """A layer's variable: rows of its initializer, one step of its optimizer."""
-    s = Context(spark, _work(spark, "layer")).create_storage(4)
+    s = Context(spark, work_dir(spark, "layer")).create_storage(4)
     v = layer_variable(s, -1, 2, embeddings_initializer="Ones", optimizer="SGD", optimizer_config={"learning_rate": 0.5, "name": "sgd"})
     v.pull(_keys(spark, d, 7))
     v.push(_scalar_gradients(spark, d))
@@ -110,14 +110,14 @@ def stream_after_load(spark, d):
     first = _new_store(spark, "before", [_variable(0, 1, optimizer=config)])
     events = table(spark, d, "events")
     first.upsert(0, events.select(F.col("user_id").alias("key"), F.array(F.lit(10.0)).alias("weights")))
-    uri = _work(spark, "model")
+    uri = work_dir(spark, "model")
     save_model([first], uri, 1)
     s = _new_store(spark, "after", [_variable(0, 1, optimizer=config)], 3)
     load_model([s], uri)
-    path = _work(spark, "stream-files")
+    path = work_dir(spark, "stream-files")
     events.select(F.col("user_id").alias("key"), "value").repartition(4).write.parquet(path)
     stream = spark.readStream.schema("key bigint, value double").option("maxFilesPerTrigger", 1).parquet(path)
-    train_stream(stream, s, 0, lambda b: b.select("key", F.array(F.col("value")).alias("grad")), _work(spark, "stream-checkpoint")).awaitTermination()
+    train_stream(stream, s, 0, lambda b: b.select("key", F.array(F.col("value")).alias("grad")), work_dir(spark, "stream-checkpoint")).awaitTermination()
     return s.read(0).select("key", _r(F.get("weights", F.lit(0)), 4).alias("w"))
 
 
@@ -157,7 +157,7 @@ def block_cursor(spark, d):
 
 
 def delete_storage(spark, d):
-    c = Context(spark, _work(spark, "delete"))
+    c = Context(spark, work_dir(spark, "delete"))
     s, other = c.create_storage(2), c.create_storage(2)
     for x in (s, other):
         x.create_variable(-1, DIM, "float64").set_weights(_embeddings(spark, d).select("key", "weights"))
@@ -181,7 +181,7 @@ def load_model_rows(spark, d):
     """Saved with 4 shards, loaded into 3 over older rows."""
     a = _new_store(spark, "save", [_variable(0)])
     a.upsert(0, _embeddings(spark, d).select("key", "weights"))
-    uri = _work(spark, "model")
+    uri = work_dir(spark, "model")
     save_model([a], uri, 2)
     b = _new_store(spark, "load", [_variable(0)], 3)
     b.upsert(0, _embeddings(spark, d).select((F.col("key") + 10_000).alias("key"), "weights"))
@@ -194,7 +194,7 @@ def save_beside_rows(spark, d):
     for file_style in (False, True):
         a, b = _new_store(spark, "beside", [_variable(0)]), _new_store(spark, "beside-loaded", [_variable(0)], 2)
         a.upsert(0, _embeddings(spark, d).select("key", "weights"))
-        path = _work(spark, "dense-model")
+        path = work_dir(spark, "dense-model")
         save_beside([a], path, file_style)
         load_beside([b], path)
         out.append(b.read(0).select(F.lit(file_style).alias("file_style"), "key", _r(F.get("weights", F.lit(1))).alias("w1")))
@@ -205,9 +205,9 @@ def create_after_crash(spark, d):
     """A creation that died behind its lock, and one that failed: both are taken up, and the copy has its own shards."""
     a = _new_store(spark, "crash", [_variable(0)])
     a.upsert(0, _embeddings(spark, d).select("key", "weights"))
-    uri = _work(spark, "model")
+    uri = work_dir(spark, "model")
     sign = save_model([a], uri, 1)
-    c = Catalog(spark, _work(spark, "serving"), stale_seconds=0)
+    c = Catalog(spark, work_dir(spark, "serving"), stale_seconds=0)
     c.files.create_exclusive("models", sign, "lock")
     c.delete_model(sign)
     c.files.create_exclusive("models", sign, "lock")
@@ -239,7 +239,7 @@ def prefetch_queue(spark, d):
 def worker_day_files(spark, d):
     """Three workers, each with every third file, read all rows once."""
     log = table(spark, d, "train100").select("label", *[F.nanvl(F.coalesce(c, F.lit(0.0)), F.lit(0.0)).alias(c) for c in clicklog.DENSE], *clicklog.SPARSE, "day_n")
-    path = _work(spark, "worker-days")
+    path = work_dir(spark, "worker-days")
     clicklog.write_all_days(log, path, 400)
     parts = [clicklog.read_worker_days(spark, path, r, 3).select(F.lit(r).alias("rank"), "label", "C9") for r in range(3)]
     rows = reduce(DataFrame.unionByName, parts)
@@ -250,14 +250,14 @@ def trace_files(spark, d):
     """Traces written as files, a document to a file, and read back."""
     e = table(spark, d, "events").select(F.concat(F.lit("op:"), "event_type").alias("name"), F.col("event_id").cast("double").alias("ts"), F.col("value").alias("dur"))
     docs = e.groupBy(F.floor(F.col("ts") / 2000).alias("f")).agg(F.to_json(F.struct(F.collect_list(F.struct("name", "ts", "dur")).alias("traceEvents"))).alias("value"))  # up to 2,000 events a document
-    path = _work(spark, "traces")
+    path = work_dir(spark, "traces")
     docs.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return analysis.trace_rollup(profiling.read_trace(spark, path))
 
 
 def epoch_log_files(spark, d):
     """Log files named by case and workers."""
-    path = _work(spark, "log-files")
+    path = work_dir(spark, "log-files")
     files = st.Files(spark, path)
     for r in table(spark, d, "nation").collect():  # 25 rows
         files.write(f"Epoch 1/2\n{r.n_nationkey + 5}s - loss: 0.5\nstep\n {r.n_nationkey + 3}s - loss: 0.4\n", f"deepfm_{r.n_regionkey}_{r.n_nationkey}.out")
@@ -267,7 +267,7 @@ def epoch_log_files(spark, d):
 
 def sink_files(spark, d):
     """The same dump to a folder and to nowhere."""
-    state, path = _embeddings(spark, d).select("key", "weights"), _work(spark, "sink")
+    state, path = _embeddings(spark, d).select("key", "weights"), work_dir(spark, "sink")
     for p in (path, "null:///sink"):
         st.dump(state, p, 0, 3)
     n = st.load(spark, path, 0).agg(F.count(F.lit(1)).alias("n_rows"))

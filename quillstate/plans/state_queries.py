@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,7 @@ from quillstate.operators import gradients, lookup, sharding
 from quillstate.operators.training import apply_gradients, train_ordered
 from quillstate.plans import store as st
 from quillstate.plans.catalog import Catalog, save_model
-from quillstate.session import shared_dir, table
+from quillstate.session import table, work_dir
 from quillstate.streaming.keyed import adagrad_stream
 from quillstate.streaming.loop import train_stream
 from quillstate.types import Variable, VariableMeta
@@ -22,11 +21,6 @@ DIM, VOCABULARY = 64, 500
 SHARDS = 7
 
 
-def _work(spark: SparkSession, name: str) -> str:
-    """A folder of its own in the cluster's shared folder."""
-    return f"{shared_dir(spark)}/quillstate/{name}-{uuid.uuid4().hex}"
-
-
 def _r(c, digits: int = 6):
     return F.round(c, digits)
 
@@ -277,7 +271,7 @@ SELECT user_id, n AS n_steps, ROUND(w, 6) AS w FROM l WHERE rn = 1"""
 
 
 def _new_store(spark, name: str, variables: list[Variable], shard_num: int = 4) -> st.Store:
-    made = st.Store(spark, _work(spark, name), "storage_0", shard_num)
+    made = st.Store(spark, work_dir(spark, name), "storage_0", shard_num)
     for v in variables:
         made.create_variable(v)
     return made
@@ -304,7 +298,7 @@ def clear_state(spark, d):
 
 
 def _dumped(spark, d, shard_num: int = SHARDS) -> str:
-    path = _work(spark, "dump")
+    path = work_dir(spark, "dump")
     rows = _saved(spark, d).where("variable_id = 3")
     st.dump(rows.select("key", "weights", "slots"), path, 3, shard_num)
     return path
@@ -336,7 +330,7 @@ def _saved_ids(spark, d) -> list[int]:
 
 def _dumped_all(spark, d, shard_num: int = SHARDS) -> dict[int, str]:
     """A folder for each variable."""
-    path, saved = _work(spark, "dump"), _saved(spark, d)
+    path, saved = work_dir(spark, "dump"), _saved(spark, d)
     out = {i: f"{path}/{i}" for i in _saved_ids(spark, d)}
     for i, p in out.items():
         st.dump(saved.where(F.col("variable_id") == i).select("key", "weights", "slots"), p, i, shard_num)
@@ -428,9 +422,9 @@ def catalog_models(spark, d):
     s = _new_store(spark, "catalog", [_variable(0), _variable(1, 2)])
     s.upsert(0, _embeddings(spark, d).select("key", "weights"))
     s.upsert(1, _embeddings(spark, d).select("key", F.slice("weights", 1, 2).alias("weights")))
-    uri = _work(spark, "model")
+    uri = work_dir(spark, "model")
     save_model([s], uri, 3)
-    catalog = Catalog(spark, _work(spark, "serving"))
+    catalog = Catalog(spark, work_dir(spark, "serving"))
     catalog.request("POST", "/models", {"model_uri": uri, "replica_num": 1, "shard_num": -1})
     return catalog.models().select("status", "n_variables", F.substring_index("model_sign", "-", -1).cast("int").alias("version"))
 
@@ -438,9 +432,9 @@ def catalog_models(spark, d):
 def serving_pull(spark, d):
     s = _new_store(spark, "serve", [_variable(0, initializer={"category": "constant", "value": 9.0})])
     s.upsert(0, _embeddings(spark, d).select("key", "weights"))
-    uri = _work(spark, "model")
+    uri = work_dir(spark, "model")
     save_model([s], uri, 0, include_optimizer=False)
-    catalog = Catalog(spark, _work(spark, "serving"))
+    catalog = Catalog(spark, work_dir(spark, "serving"))
     sign = catalog.create_model(uri)
     return catalog.read_only_pull(sign, 0, _keys(spark, d, 7)).select("event_id", "is_new", _r(F.get("weights", F.lit(0))).alias("w0"))
 
@@ -449,17 +443,17 @@ def stream_train_sgd(spark, d):
     """Streamed in micro-batches; gradients do not depend on weights, so the end is the batch sum."""
     s = _new_store(spark, "stream", [_variable(0, 1, optimizer={"category": "sgd", "learning_rate": 0.5})])
     events = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    q = train_stream(events.select(F.col("user_id").alias("key"), "value"), s, 0, lambda b: b.select("key", F.array(F.col("value")).alias("grad")), _work(spark, "stream-checkpoint"))
+    q = train_stream(events.select(F.col("user_id").alias("key"), "value"), s, 0, lambda b: b.select("key", F.array(F.col("value")).alias("grad")), work_dir(spark, "stream-checkpoint"))
     q.awaitTermination()
     return s.read(0).select("key", _r(F.get("weights", F.lit(0)), 4).alias("w"))
 
 
 def stream_keyed_adagrad(spark, d):
     """State kept by the stream itself; one micro-batch, so one update per key with its summed gradient."""
-    out = _work(spark, "keyed")
+    out = work_dir(spark, "keyed")
     events = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
     rows = adagrad_stream(events.select(F.col("user_id").alias("key"), (F.col("value") / 100).alias("grad")), 0.5)
-    q = rows.writeStream.outputMode("update").foreachBatch(lambda b, i: b.write.mode("append").parquet(out)).option("checkpointLocation", _work(spark, "keyed-checkpoint")).trigger(availableNow=True).start()
+    q = rows.writeStream.outputMode("update").foreachBatch(lambda b, i: b.write.mode("append").parquet(out)).option("checkpointLocation", work_dir(spark, "keyed-checkpoint")).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(out).select("key", _r("weight").alias("w"), _r("accum", 4).alias("a"), "n_updates")
 
@@ -482,7 +476,7 @@ def late_gradients(spark, d):
     """Gradients pushed in two rounds of one step count once, in one update."""
     from quillstate.api import Context
 
-    s = Context(spark, _work(spark, "late")).create_storage(4)
+    s = Context(spark, work_dir(spark, "late")).create_storage(4)
     v = s.create_variable(-1, 2, "float64", optimizer={"category": "test", "learning_rate": 1.0}, initializer={"category": "constant", "value": 100.0})
     g = _scalar_gradients(spark, d)
     v.pull(_keys(spark, d, 7))
