@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quillstate.operators.sharding import row_numbers
 
-#: Elements that one aggregate sums side by side; longer vectors are summed slice by slice.
-WIDTH = 128
+#: Elements that one aggregate sums side by side, for vectors of known and unknown length; longer ones are summed slice by slice.
+WIDTH, UNKNOWN_WIDTH = 128, 32
 
 
 def push_reduce(df: DataFrame, keys: list[str], grad: str, dim: int | None = None, count: str | None = None) -> DataFrame:
@@ -25,16 +25,17 @@ def push_reduce(df: DataFrame, keys: list[str], grad: str, dim: int | None = Non
         sums = [F.coalesce(F.sum(F.get(grad, F.lit(i)).cast("double")), F.lit(0.0)).alias(f"__g{i}") for i in range(dim)]
         out = df.groupBy(*keys).agg(*sums, F.sum(one).alias("cnt"))
         return out.select(*keys, F.array(*[f"__g{i}" for i in range(dim)]).alias("grad"), "cnt")
+    width = WIDTH if dim is not None else UNKNOWN_WIDTH
     size = F.lit(dim) if dim is not None else F.greatest(F.size(grad), F.lit(0))
-    slices = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((size - 1) / WIDTH).cast("int"))), lambda c: F.struct(c.alias("c"), F.slice(F.col(grad), c * WIDTH + 1, F.lit(WIDTH)).alias("v")))
+    slices = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((size - 1) / width).cast("int"))), lambda c: F.struct(c.alias("c"), F.slice(F.col(grad), c * width + 1, F.lit(width)).alias("v")))
     rows = df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], one.alias("__one"), size.alias("__size"), F.explode(slices).alias("__s"))
     first = F.col("__s.c") == 0
     names = [f"__k{i}" for i in range(len(keys))]
     summed = rows.groupBy(*names, F.col("__s.c").alias("__c")).agg(
-        *[F.coalesce(F.sum(F.get("__s.v", F.lit(i)).cast("double")), F.lit(0.0)).alias(f"__g{i}") for i in range(WIDTH)],
+        *[F.coalesce(F.sum(F.get("__s.v", F.lit(i)).cast("double")), F.lit(0.0)).alias(f"__g{i}") for i in range(width)],
         F.sum(F.when(first, F.col("__one"))).alias("__n"), F.max(F.when(first, F.col("__size"))).alias("__size"),
     )
-    part = F.struct("__c", F.array(*[f"__g{i}" for i in range(WIDTH)]).alias("v"))
+    part = F.struct("__c", F.array(*[f"__g{i}" for i in range(width)]).alias("v"))
     whole = summed.groupBy(*names).agg(F.array_sort(F.collect_list(part)).alias("__p"), F.sum("__n").alias("cnt"), F.max("__size").alias("__size"))  # one entry per slice
     vector = F.slice(F.flatten(F.transform("__p", lambda p: p["v"])), F.lit(1), F.col("__size"))
     return whole.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], vector.alias("grad"), "cnt")

@@ -242,7 +242,7 @@ def _event_vectors(spark, d):
 
 
 def fm_second_order(spark, d):
-    return metrics.fm_second_order(_event_vectors(spark, d), "event_id", "weights").select("event_id", F.round("fm", 6).alias("fm"))
+    return metrics.fm_second_order(_event_vectors(spark, d), "event_id", "weights", 4).select("event_id", F.round("fm", 6).alias("fm"))
 
 
 def lr_forward(spark, d):

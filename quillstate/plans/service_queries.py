@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstate.api import Context, layer_variable
-from quillstate.functions import metrics
+from quillstate.functions import features, metrics
 from quillstate.operators import gradients, initializers, lookup, optimizers, sharding
 from quillstate.plans import analysis
 from quillstate.plans import store as st
@@ -285,14 +285,29 @@ def dense_columns(spark, d):
     return spark.createDataFrame([(c, n, lookup.is_dense(n), lookup.is_dense(n, 4096)) for c, n in sizes.items()], "column string, cardinality bigint, dense boolean, dense_at_4096 boolean")
 
 
+def mod_bucket_all(spark, d):
+    """Every row; a missing id stays NULL."""
+    return table(spark, d, "train100").select("rec_id", features.mod_bucket(F.col("C3")).alias("bucket"))
+
+
+def hash_encode_all(spark, d):
+    """Every row; a NULL id stays NULL in the common id space."""
+    rows = table(spark, d, "train100").select("rec_id", "C3", "C5", (F.lit((1 << 63) - 5) + F.pmod("rec_id", F.lit(3))).alias("C99"))
+    return lookup.hash_encode(rows, ["C3", "C5", "C99"])
+
+
 QUERIES = {f.__name__: f for f in (
     push_reduce_wide, push_guard, meta_guard, key_cast, layer_initializers, unknown_properties, layer_rows, stream_after_load, delta_write_restore, compaction_rule, block_reader, block_cursor,
-    delete_storage, batch_order, load_model_rows, save_beside_rows, create_after_crash, prefetch_queue, worker_day_files, trace_files, epoch_log_files, sink_files, worker_mean, dense_columns,
+    delete_storage, batch_order, load_model_rows, save_beside_rows, create_after_crash, prefetch_queue, worker_day_files, trace_files, epoch_log_files, sink_files, worker_mean, dense_columns, mod_bucket_all, hash_encode_all,
 )}
 
 _ROWS = "SELECT vec_id AS key, ROUND(CAST(embedding[1] AS DOUBLE), 6) AS w0 FROM embeddings"
 
 ORACLE = {
+    "mod_bucket_all": "SELECT rec_id, ((C3 % 65536) + 65536) % 65536 AS bucket FROM train100",
+    "hash_encode_all": """
+SELECT rec_id, CAST(C3 AS BIGINT) AS C3, C5 + 1000000007 AS C5, CAST((CAST(9223372036854775803 AS HUGEINT) + rec_id % 3 + 2000000014) % 9223372036854775808 AS BIGINT) AS C99
+FROM train100""",
     "push_reduce_wide": "SELECT CASE WHEN vec_id % 7 <> 0 THEN label END AS key, CAST(200 AS BIGINT) AS dim, "
     + ", ".join(f"ROUND(COALESCE(SUM(CAST(embedding[{j}] AS DOUBLE)) FILTER (vec_id % 5 <> 0), 0), 4) AS g{i}" for i, j in ((0, 1), (127, 64), (128, 1), (199, 8))) + ", COUNT(*) AS cnt FROM embeddings GROUP BY 1",
     "push_guard": "SELECT COUNT(*) FILTER (user_id * 7 >= 500) AS n_bad, COUNT(*) FILTER (user_id * 7 >= 500) > 0 AS refused, CASE WHEN COUNT(*) FILTER (user_id * 7 >= 500) > 0 THEN 0 ELSE COUNT(DISTINCT user_id) END AS n_stored FROM events",

@@ -65,6 +65,12 @@ class Files:
         """Seconds since a file or folder was last changed."""
         return time.time() - self.fs.getFileStatus(self.path(*parts)).getModificationTime() / 1000
 
+    def ages(self, *parts: object) -> dict[str, float]:
+        """Name and age of everything in a folder, by one listing."""
+        if not self.exists(*parts):
+            return {}
+        return {s.getPath().getName(): time.time() - s.getModificationTime() / 1000 for s in self.fs.listStatus(self.path(*parts))}
+
     def delete(self, *parts: object) -> None:
         if not self.null:
             self.fs.delete(self.path(*parts), True)
@@ -227,7 +233,7 @@ class Store:
         names = self.files.names(self.storage, folder, f"variable_id={variable_id}")
         if not any(n.startswith("shard=") for n in names):
             return {}
-        return {str(r["shard"]): r["count"] for r in self.spark.read.parquet(self._dir(folder, variable_id)).groupBy("shard").count().collect()}
+        return {str(r["shard"]): r["count"] for r in self.spark.read.schema("key bigint, shard int").parquet(self._dir(folder, variable_id)).groupBy("shard").count().collect()}
 
     def _commit(self, manifest: dict, folders: list[str]) -> None:
         """Makes ``manifest``, built from version ``manifest["version"]``, the next version."""
@@ -240,16 +246,21 @@ class Store:
         self._expire(version)
 
     def _expire(self, version: int) -> None:
+        """Deletes what no kept version names; without a manifest to go, one listing is all it takes."""
+        ages = self.files.ages(self.storage, "_manifests")
+        old = [n for n, age in ages.items() if n.isdigit() and int(n) < version - self.retain and age >= self.grace_seconds]
+        if not old:
+            return
+        for name in old:
+            self.files.delete(self.storage, "_manifests", name)
         kept: set[str] = set()
-        for name in self.files.names(self.storage, "_manifests"):
-            if name.isdigit() and int(name) < version - self.retain and self.files.age(self.storage, "_manifests", name) >= self.grace_seconds:
-                self.files.delete(self.storage, "_manifests", name)
-            elif name.isdigit():
+        for name in ages.keys() - set(old):
+            if name.isdigit():
                 m = json.loads(self.files.read(self.storage, "_manifests", name))
                 kept |= {f for state in m["variables"].values() for held in state["shards"].values() for f, _ in held}
-        for name in self.files.names(self.storage):
+        for name, age in self.files.ages(self.storage).items():
             # a folder of a writer that has not committed yet is younger than the grace
-            if name.startswith("v=") and name not in kept and version_of(name) <= version and self.files.age(self.storage, name) >= self.grace_seconds:
+            if name.startswith("v=") and name not in kept and version_of(name) <= version and age >= self.grace_seconds:
                 self.files.delete(self.storage, name)
 
     def _put(self, manifest: dict, variable_id: int, rows: DataFrame) -> list[str]:
