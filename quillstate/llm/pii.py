@@ -40,7 +40,7 @@ KINDS = ["email", "phone", "identity", "address", "name"]
 PLACEHOLDER = {"email": "<EMAIL>", "phone": "<PHONE>", "identity": "<ID>", "address": "<ADDRESS>", "name": "<NAME>"}
 WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.json")
 #: Characters before and after a span that its features see.
-NEAR = 40
+NEAR = 24
 
 #: Words, and lines, whose result a task keeps at most; those of LONG characters are not kept.
 CACHED, LONG = 1 << 16, 400
