@@ -3,7 +3,7 @@
 Hash-range decomposition. Identifiers belong to ``BUCKETS`` disjoint hash buckets. The (identifier,
 groups) pairs are deduplicated with the set of their days as bit words (a bitwise OR, combined
 map-side, so a hot identifier is one row per map task and group), and the distinct pairs go on
-to the task of their (field, bucket, identifier): two exchanges, the first of combined rows,
+to the task of their (field, identifier): two exchanges, the first of combined rows,
 the second of distinct pairs. There every requested combination of groups is formed from
 deduplicated pairs, which keeps it exact, and every identifier adds to small counters. Buckets
 are disjoint in identifiers, so counters of buckets add up to exact totals: the error is 0.
@@ -35,8 +35,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstate.session import shuffle_partitions
-
 WORD = 62
 #: Hash buckets; fixed, so that counters and states of separate runs fit together.
 BUCKETS = 4096
@@ -59,27 +57,27 @@ def _day_words(day: Column, first: date, n_words: int) -> list[Column]:
 
 
 def bucket_state(pairs: DataFrame, groups: list[str], first: date, last: date, buckets: range | None = None) -> DataFrame:
-    """``field, bucket, id, *groups, w0..``: distinct pairs with the bits of their days from ``first`` to ``last``.
+    """``field, id, *groups, w0.., bucket``: distinct pairs with the bits of their days from ``first`` to ``last``.
 
     ``pairs``: ``field, id, day DATE`` and the group columns; ``buckets`` limits the work to some of them.
     """
-    inside = pairs.where(F.col("day").between(F.lit(first), F.lit(last)) & F.col("id").isNotNull() & (F.col("id") != -1)).withColumn("bucket", bucket_of(F.col("id")))
+    inside = pairs.where(F.col("day").between(F.lit(first), F.lit(last)) & F.col("id").isNotNull() & (F.col("id") != -1))
     if buckets is not None:
-        inside = inside.where(F.col("bucket").between(buckets.start, buckets.stop - 1))
+        inside = inside.where(bucket_of(F.col("id")).between(buckets.start, buckets.stop - 1))
     words = _day_words(F.col("day"), first, _n_words(first, last))
-    return _by_identifier(inside.groupBy("field", "bucket", "id", *groups).agg(*words))
+    return _by_identifier(inside.groupBy("field", "id", *groups).agg(*words))
 
 
 def _by_identifier(distinct: DataFrame) -> DataFrame:
-    """All rows of an identifier in one place."""
-    return distinct.repartition(shuffle_partitions(distinct.sparkSession), "field", "bucket", "id")
+    """All rows of an identifier in one place; the bucket is named by its identifiers and does not travel."""
+    return distinct.repartition("field", "id").withColumn("bucket", bucket_of(F.col("id")))
 
 
 def merge_states(states: Iterable[DataFrame], groups: list[str]) -> DataFrame:
     """The state of the rows of some states made with the same ``first`` and number of words."""
     every = reduce(DataFrame.unionByName, states)
     words = [c for c in every.columns if c not in ("field", "bucket", "id", *groups)]
-    return _by_identifier(every.groupBy("field", "bucket", "id", *groups).agg(*[F.bit_or(w).alias(w) for w in words]))
+    return _by_identifier(every.groupBy("field", "id", *groups).agg(*[F.bit_or(w).alias(w) for w in words]))
 
 
 def state_counters(state: DataFrame, groups: list[str], patterns: list[tuple[bool, ...]]) -> DataFrame:
@@ -96,8 +94,8 @@ def state_counters(state: DataFrame, groups: list[str], patterns: list[tuple[boo
         )
         for p in patterns
     ])
-    combos = state.select("field", "bucket", "id", *words, F.explode(kinds).alias("__k")).select("field", "bucket", "id", *words, "__k.*")
-    per_id = combos.groupBy("field", "bucket", "id", "pattern", *groups).agg(*[F.bit_or(w).alias(w) for w in words])
+    combos = state.select("field", "id", *words, F.explode(kinds).alias("__k")).select("field", "id", *words, "__k.*")
+    per_id = combos.groupBy("field", "id", "pattern", *groups).agg(*[F.bit_or(w).alias(w) for w in words])
     # identifiers with one set of days count together before days are listed
     sets = per_id.groupBy("field", "pattern", *groups, *words).agg(F.count(F.lit(1)).alias("__n"))
 
