@@ -56,19 +56,11 @@ def hash_bucket_share(spark, d):
     return b.groupBy("event_type").agg(F.countDistinct("b").alias("n_buckets"), F.count(F.lit(1)).alias("n_rows"))
 
 
-def mod_bucket(spark, d):
-    return _log(spark, d).where("C3 is not null").select("rec_id", features.mod_bucket(F.col("C3")).alias("bucket"))
-
-
 def offset_encode(spark, d):
     done = lookup.offset_encode(_log(spark, d).select("rec_id", "C1", "C2", "C9"), ["C1", "C2", "C9"])
     return done
 
 
-def hash_encode(spark, d):
-    return lookup.hash_encode(_log(spark, d).where("C3 is not null and C5 is not null").select("rec_id", "C3", "C5", (F.lit((1 << 63) - 5) + F.pmod("rec_id", F.lit(3))).alias("C99")), ["C3", "C5", "C99"])
-
-
 def row_replicate(spark, d):
     src = table(spark, d, "region").select(F.col("r_regionkey").cast("bigint").alias("r_regionkey"), "r_name")
     return features.replicate(src, 3, "r_regionkey", "id").select("r_name", "id")
@@ -134,17 +126,6 @@ def day_files_scan_all(spark, d):
     return rows.groupBy("day_n").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("label").alias("clicks"), F.sum("C9").alias("c9_sum"))
 
 
-def day_files_scan(spark, d):
-    return day_files_scan_all(spark, d).where("day_n in (0, 1)")
-
-
-def tfrecord_roundtrip(spark, d):
-    log = _log(spark, d).select("rec_id", "label", "C3", "I2").where("label is not null and C3 is not null and I2 is not null")
-    path = work_dir(spark, "tfrecord")
-    tfrecord.write(log, path)
-    return tfrecord.read(spark, path, log.schema).select("rec_id", "label", "C3", F.round("I2", 6).alias("I2"))
-
-
 def tfrecord_roundtrip_all(spark, d):
     """Rows with missing features too: the writer leaves them out, the reader gives NULL."""
     log = _log(spark, d).select("rec_id", "label", "C3", "I2")
@@ -179,10 +160,6 @@ def batch_locality(spark, d):
     return got.select("column", "n_rows", "n_distinct", "hit_rows", "hit_distinct", F.round("row_ratio", 6).alias("row_ratio"), F.round("distinct_ratio", 6).alias("distinct_ratio"))
 
 
-def cumulative_cache_hit(spark, d):
-    return analysis.cumulative_hit(_batched(spark, d), "column", "batch", "key", 6)
-
-
 def cumulative_cache_hit_all(spark, d):
     """Every batch of 4096 rows, over all rows."""
     return analysis.cumulative_hits(_batched(spark, d, 4096), "column", "batch", "key")
@@ -251,9 +228,9 @@ def lr_forward(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    fill_missing, column_prefix, minmax_scale, standardise, label_encode_sorted, label_encode_first_seen, hash_bucket_share, mod_bucket, offset_encode, hash_encode, row_replicate, hex_parse,
-    batch_assign, train_test_split, column_cardinality, init_uniform, init_normal, csv_roundtrip, tsv_hex_scan, day_files_scan, day_files_scan_all, tfrecord_roundtrip, tfrecord_roundtrip_all, vocabulary_meta, record_files,
-    batch_locality, cumulative_cache_hit, cumulative_cache_hit_all, trace_rollup, log_pivot, epoch_logs, logloss, auc, error_rate, metric_average, fm_second_order, lr_forward,
+    fill_missing, column_prefix, minmax_scale, standardise, label_encode_sorted, label_encode_first_seen, hash_bucket_share, offset_encode, row_replicate, hex_parse,
+    batch_assign, train_test_split, column_cardinality, init_uniform, init_normal, csv_roundtrip, tsv_hex_scan, day_files_scan_all, tfrecord_roundtrip_all, vocabulary_meta, record_files,
+    batch_locality, cumulative_cache_hit_all, trace_rollup, log_pivot, epoch_logs, logloss, auc, error_rate, metric_average, fm_second_order, lr_forward,
 )}
 
 _NAN0 = "CASE WHEN {0} IS NULL OR isnan({0}) THEN 0 ELSE {0} END"
@@ -282,11 +259,7 @@ FROM lineitem, m""",
 WITH f AS (SELECT C20 AS v, ROW_NUMBER() OVER (ORDER BY MIN(rec_id)) - 1 AS code FROM train100 WHERE C20 IS NOT NULL GROUP BY C20)
 SELECT rec_id, C20, code FROM train100 LEFT JOIN f ON v = C20""",
     "hash_bucket_share": "SELECT event_type, CAST(1 AS BIGINT) AS n_buckets, COUNT(*) AS n_rows FROM events GROUP BY event_type",
-    "mod_bucket": "SELECT rec_id, ((C3 % 65536) + 65536) % 65536 AS bucket FROM train100 WHERE C3 IS NOT NULL",
     "offset_encode": "WITH m AS (SELECT MAX(C1) + 1 AS a, MAX(C2) + 1 AS b FROM train100) SELECT rec_id, C1, C2 + a AS C2, C9 + a + b AS C9 FROM train100, m",
-    "hash_encode": """
-SELECT rec_id, CAST(C3 AS BIGINT) AS C3, C5 + 1000000007 AS C5, CAST((CAST(9223372036854775803 AS HUGEINT) + rec_id % 3 + 2000000014) % 9223372036854775808 AS BIGINT) AS C99
-FROM train100 WHERE C3 IS NOT NULL AND C5 IS NOT NULL""",
     "row_replicate": "SELECT r_name, CAST(r_regionkey AS BIGINT) * 3 + r AS id FROM region, (SELECT UNNEST([0, 1, 2]) AS r)",
     "hex_parse": f"""
 SELECT p_partkey, CAST({_HEX.format('p_partkey')} AS BIGINT) AS value,
@@ -303,9 +276,7 @@ UNION ALL SELECT 'C9', MIN(C9), MAX(C9), MAX(C9) + 1 FROM train100 UNION ALL SEL
     "init_normal": "SELECT TRUE AS above, TRUE AS below, TRUE AS centred",
     "csv_roundtrip": f"SELECT label, ROUND({_NAN0.format('I2')}, 6) AS I2, ROUND({_NAN0.format('I13')}, 6) AS I13, C3, C26 FROM train100",
     "tsv_hex_scan": "SELECT label, CASE WHEN C1 >= 0 THEN C1 ELSE -1 END AS C1, CASE WHEN C26 >= 0 THEN C26 ELSE -1 END AS C26 FROM train100",
-    "day_files_scan": "SELECT CAST(day_n AS INT) AS day_n, COUNT(*) AS n_rows, CAST(SUM(label) AS BIGINT) AS clicks, CAST(SUM(C9) AS BIGINT) AS c9_sum FROM train100 WHERE day_n IN (0, 1) GROUP BY day_n",
     "day_files_scan_all": "SELECT CAST(day_n AS INT) AS day_n, COUNT(*) AS n_rows, CAST(SUM(label) AS BIGINT) AS clicks, CAST(SUM(C9) AS BIGINT) AS c9_sum FROM train100 GROUP BY day_n",
-    "tfrecord_roundtrip": "SELECT rec_id, label, C3, ROUND(CAST(CAST(I2 AS FLOAT) AS DOUBLE), 6) AS I2 FROM train100 WHERE label IS NOT NULL AND C3 IS NOT NULL AND I2 IS NOT NULL",
     "tfrecord_roundtrip_all": "SELECT rec_id, label, C3, ROUND(CAST(CAST(I2 AS FLOAT) AS DOUBLE), 6) AS I2 FROM train100",
     "vocabulary_meta": """SELECT 'C1' AS "column", MAX(C1) + 1 AS cardinality FROM train100 UNION ALL SELECT 'C9', MAX(C9) + 1 FROM train100 UNION ALL SELECT 'C20', MAX(C20) + 1 FROM train100""",
     "record_files": "SELECT COUNT(*) AS n_rows, TRUE AS bounded FROM events",
@@ -313,8 +284,6 @@ UNION ALL SELECT 'C9', MIN(C9), MAX(C9), MAX(C9) + 1 FROM train100 UNION ALL SEL
 SELECT b."column", CAST(SUM(b.n) AS BIGINT) AS n_rows, COUNT(*) AS n_distinct, CAST(COALESCE(SUM(b.n) FILTER (p.key IS NOT NULL), 0) AS BIGINT) AS hit_rows, COUNT(p.key) AS hit_distinct,
   ROUND(COALESCE(SUM(b.n) FILTER (p.key IS NOT NULL), 0) / SUM(b.n), 6) AS row_ratio, ROUND(COUNT(p.key) / COUNT(*), 6) AS distinct_ratio
 FROM b LEFT JOIN b p ON p."column" = b."column" AND p.batch = b.batch - 1 AND p.key = b.key GROUP BY b."column" """,
-    "cumulative_cache_hit": _BATCHED + """
-SELECT "column", COUNT(*) AS n_distinct, COUNT(*) FILTER (EXISTS (SELECT 1 FROM b q WHERE q."column" = b."column" AND q.key = b.key AND q.batch < 6)) AS n_seen FROM b WHERE batch = 6 GROUP BY "column" """,
     "cumulative_cache_hit_all": _BATCHED.replace("// 100 ", "// 4096 ") + """
 SELECT "column", batch, COUNT(*) AS n_distinct, COUNT(*) FILTER (first < batch) AS n_seen FROM (SELECT *, MIN(batch) OVER (PARTITION BY "column", key) AS first FROM b) GROUP BY "column", batch""",
     "trace_rollup": """

@@ -12,7 +12,7 @@ from quillstate.operators import gradients, lookup, sharding
 from quillstate.operators.training import apply_gradients, train_ordered
 from quillstate.plans import store as st
 from quillstate.plans.catalog import Catalog, save_model
-from quillstate.session import table, work_dir
+from quillstate.session import cut, table, work_dir
 from quillstate.streaming.keyed import adagrad_stream
 from quillstate.streaming.loop import train_stream
 from quillstate.types import Variable, VariableMeta
@@ -73,12 +73,6 @@ def _saved(spark, d):
     return st.snapshot(table(spark, d, "checkpoint_rows"), ["variable_id", "key"], None)
 
 
-def pull_ragged(spark, d):
-    rows = table(spark, d, "embedding_pull_items").where("variable_id = 3").select("rec_id", "indices")
-    got = lookup.pull_ragged(rows, _saved(spark, d).where("variable_id = 3").select("key", "weights"), "rec_id", "indices", init={"category": "constant", "value": 0.25}, dim=4)
-    return got.select("rec_id", F.transform("vectors", lambda v: _r(F.get(v, F.lit(0)))).alias("w0s"))
-
-
 def pull_ragged_all(spark, d):
     """The requests of every variable, in one lookup."""
     rows = table(spark, d, "embedding_pull_items").select("rec_id", "variable_id", "indices")
@@ -297,61 +291,34 @@ def clear_state(spark, d):
     return s.read(0).select(F.lit(0).alias("variable_id"), "key").unionByName(s.read(1).select(F.lit(1).alias("variable_id"), "key")).groupBy("variable_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def _dumped(spark, d, shard_num: int = SHARDS) -> str:
-    path = work_dir(spark, "dump")
-    rows = _saved(spark, d).where("variable_id = 3")
-    st.dump(rows.select("key", "weights", "slots"), path, 3, shard_num)
-    return path
-
-
-def dump_load_roundtrip(spark, d):
-    back = st.load(spark, _dumped(spark, d), 3)
-    return back.select("key", _r(F.get("weights", F.lit(3))).alias("w3"), _r(F.get("slots.accum", F.lit(3))).alias("a3"))
-
-
-def reshard(spark, d):
-    loaded = st.load(spark, _dumped(spark, d, 3), 3)
-    again = st.reshard(loaded, 11)
-    return again.select("key", "shard", F.spark_partition_id().alias("partition"))
-
-
-def restore_local(spark, d):
-    return st.restore_local(spark, _dumped(spark, d), 3, SHARDS, [0, 5]).select("key", _r(F.get("weights", F.lit(0))).alias("w0"))
-
-
 def _each(ids: list[int], rows) -> DataFrame:
     """``rows(variable_id)`` of every variable, with its id."""
     return reduce(DataFrame.unionByName, [rows(i).withColumn("variable_id", F.lit(i)) for i in ids])
 
 
-def _saved_ids(spark, d) -> list[int]:
-    return sorted(r[0] for r in _saved(spark, d).select("variable_id").distinct().collect())
+def _ids(saved: DataFrame) -> list[int]:
+    return sorted(r[0] for r in saved.select("variable_id").distinct().collect())
 
 
-def _dumped_all(spark, d, shard_num: int = SHARDS) -> dict[int, str]:
-    """A folder for each variable."""
-    path, saved = work_dir(spark, "dump"), _saved(spark, d)
-    out = {i: f"{path}/{i}" for i in _saved_ids(spark, d)}
-    for i, p in out.items():
-        st.dump(saved.where(F.col("variable_id") == i).select("key", "weights", "slots"), p, i, shard_num)
-    return out
+def _dumped_all(spark, d, shard_num: int = SHARDS) -> str:
+    """Every variable, in one write."""
+    path = work_dir(spark, "dump")
+    st.dump(_saved(spark, d).select("variable_id", "key", "weights", "slots"), path, None, shard_num)
+    return path
 
 
 def dump_load_roundtrip_all(spark, d):
-    paths = _dumped_all(spark, d)
-    back = _each(list(paths), lambda i: st.load(spark, paths[i], i))
+    back = st.load(spark, _dumped_all(spark, d), None)
     return back.select("variable_id", "key", _r(F.get("weights", F.lit(3))).alias("w3"), _r(F.get("slots.accum", F.lit(3))).alias("a3"))
 
 
 def reshard_all(spark, d):
-    paths = _dumped_all(spark, d, 3)
-    again = st.reshard(_each(list(paths), lambda i: st.load(spark, paths[i], i)), 11)
+    again = st.reshard(st.load(spark, _dumped_all(spark, d, 3), None), 11)
     return again.select("variable_id", "key", "shard", F.spark_partition_id().alias("partition"))
 
 
 def restore_local_all(spark, d):
-    paths = _dumped_all(spark, d)
-    return _each(list(paths), lambda i: st.restore_local(spark, paths[i], i, SHARDS, [0, 5])).select("variable_id", "key", _r(F.get("weights", F.lit(0))).alias("w0"))
+    return st.restore_local(spark, _dumped_all(spark, d), None, SHARDS, [0, 5]).select("variable_id", "key", _r(F.get("weights", F.lit(0))).alias("w0"))
 
 
 def export_dense(spark, d):
@@ -386,16 +353,9 @@ def pull_without_gradient(spark, d):
     return s.read(0).select("key", F.get("weights", F.lit(1)).alias("w1"))
 
 
-def optimizer_change(spark, d):
-    """Another optimizer category resets slots and keeps weights."""
-    s = _new_store(spark, "change", [_variable(0, 4, optimizer={"category": "adagrad"})])
-    s.upsert(0, _saved(spark, d).where("variable_id = 5").select("key", "weights", "slots"))
-    s.configure(0, optimizer_config={"category": "adadelta"})
-    return s.read(0).select("key", _r(F.get("weights", F.lit(0))).alias("w0"), F.get("slots.accum", F.lit(0)).alias("a0"))
-
-
 def optimizer_change_all(spark, d):
-    ids, saved = _saved_ids(spark, d), _saved(spark, d)
+    saved = cut(_saved(spark, d))
+    ids = _ids(saved)
     s = _new_store(spark, "change", [_variable(i, 4, optimizer={"category": "adagrad"}) for i in ids])
     for i in ids:
         s.upsert(i, saved.where(F.col("variable_id") == i).select("key", "weights", "slots"))
@@ -410,14 +370,6 @@ def commit_metrics_all(spark, d):
     return metrics(a, b, on=("variable_id",))
 
 
-def commit_metrics(spark, d):
-    from quillstate.plans.analysis import commit_metrics as metrics
-
-    deltas = table(spark, d, "checkpoint_rows").where("variable_id = 1")
-    a, b = (st.snapshot(deltas, ["key"], w).select("key", "weights") for w in (300, 500))
-    return metrics(a, b)
-
-
 def catalog_models(spark, d):
     s = _new_store(spark, "catalog", [_variable(0), _variable(1, 2)])
     s.upsert(0, _embeddings(spark, d).select("key", "weights"))
@@ -488,10 +440,10 @@ def late_gradients(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     stream_keyed_adagrad, hot_cold_rule, prefetch_match, late_gradients,
-    pull_missing_default, pull_ordered, pull_new_keys, pull_multi_variable, pull_bounds_check, pull_broadcast, pull_ragged, pull_ragged_all, pull_with_slots, num_items,
+    pull_missing_default, pull_ordered, pull_new_keys, pull_multi_variable, pull_bounds_check, pull_broadcast, pull_ragged_all, pull_with_slots, num_items,
     shard_route, shard_balance, shard_roundtrip, shard_filter, worker_stride, worker_part,
     push_reduce, push_two_level, push_vector_reduce, push_vector_exploded, mean_gradient, dense_gradient, unique_inverse, pull_accumulators,
-    upsert_state, clear_state, dump_load_roundtrip, dump_load_roundtrip_all, reshard, reshard_all, restore_local, restore_local_all, export_dense, delta_snapshot, compact_deltas, model_versions, pull_without_gradient, optimizer_change, optimizer_change_all, commit_metrics, commit_metrics_all,
+    upsert_state, clear_state, dump_load_roundtrip_all, reshard_all, restore_local_all, export_dense, delta_snapshot, compact_deltas, model_versions, pull_without_gradient, optimizer_change_all, commit_metrics_all,
     catalog_models, serving_pull, stream_train_sgd,
 )} | {f"store_{c}_1step": _one_step(c) for c in ONE_STEP} | {f"train_{c}": _train(c) for c in TRAIN}
 
@@ -523,11 +475,6 @@ FROM k LEFT JOIN e ON e.variable_id = k.variable_id AND vec_id = key""",
     "pull_broadcast": """
 SELECT p_partkey, CAST(p_size AS BIGINT) AS key, vec_id IS NULL AS is_new, ROUND(COALESCE(CAST(embedding[3] AS DOUBLE), 0), 6) AS w2
 FROM part LEFT JOIN (SELECT * FROM embeddings WHERE vec_id < 64) ON vec_id = p_size""",
-    "pull_ragged": _NEWEST + """,
-x AS (SELECT rec_id, UNNEST(range(len(indices))) AS pos, UNNEST(indices) AS key FROM embedding_pull_items WHERE variable_id = 3),
-g AS (SELECT rec_id, pos, ROUND(COALESCE(weights[1], 0.25), 6) AS w FROM x LEFT JOIN (SELECT key, weights FROM s WHERE variable_id = 3) USING (key)),
-l AS (SELECT rec_id, list(w ORDER BY pos) AS w0s FROM g GROUP BY rec_id)
-SELECT rec_id, COALESCE(w0s, CAST([] AS DOUBLE[])) AS w0s FROM (SELECT rec_id FROM embedding_pull_items WHERE variable_id = 3) LEFT JOIN l USING (rec_id)""",
     "pull_ragged_all": _NEWEST + """,
 x AS (SELECT rec_id, variable_id, UNNEST(range(len(indices))) AS pos, UNNEST(indices) AS key FROM embedding_pull_items),
 g AS (SELECT rec_id, variable_id, pos, ROUND(COALESCE(weights[1], 0.25), 6) AS w FROM x LEFT JOIN s USING (variable_id, key)),
@@ -560,9 +507,6 @@ WITH n AS (SELECT vec_id + 100 AS key, CAST(embedding[1] AS DOUBLE) + 1 AS w FRO
 SELECT key, ROUND(w, 6) AS w0 FROM n
 UNION ALL SELECT vec_id, ROUND(CAST(embedding[1] AS DOUBLE), 6) FROM embeddings WHERE vec_id NOT IN (SELECT key FROM n)""",
     "clear_state": "SELECT 1 AS variable_id, COUNT(*) AS n_rows FROM embeddings",
-    "dump_load_roundtrip": _NEWEST + "SELECT key, ROUND(weights[4], 6) AS w3, ROUND(slots.accum[4], 6) AS a3 FROM s WHERE variable_id = 3",
-    "reshard": _NEWEST + "SELECT key, CAST(key % 11 AS INT) AS shard, CAST(key % 11 AS INT) AS partition FROM s WHERE variable_id = 3",
-    "restore_local": _NEWEST + "SELECT key, ROUND(weights[1], 6) AS w0 FROM s WHERE variable_id = 3 AND key % 7 IN (0, 5)",
     "dump_load_roundtrip_all": _NEWEST + "SELECT variable_id, key, ROUND(weights[4], 6) AS w3, ROUND(slots.accum[4], 6) AS a3 FROM s",
     "reshard_all": _NEWEST + "SELECT variable_id, key, CAST(key % 11 AS INT) AS shard, CAST(key % 11 AS INT) AS partition FROM s",
     "restore_local_all": _NEWEST + "SELECT variable_id, key, ROUND(weights[1], 6) AS w0 FROM s WHERE key % 7 IN (0, 5)",
@@ -578,12 +522,6 @@ WITH b AS (SELECT user_id AS key, event_id % 4 AS b, SUM(value / 100) AS g FROM
 v AS (SELECT UNNEST([2, 3, 4]) AS version)
 SELECT version, key, ROUND(-SUM(g), 6) AS w0 FROM v JOIN b ON b.b < version GROUP BY version, key""",
     "pull_without_gradient": "SELECT DISTINCT user_id * 7 AS key, CAST(0.75 AS DOUBLE) AS w1 FROM events",
-    "optimizer_change": _NEWEST + "SELECT key, ROUND(weights[1], 6) AS w0, CAST(0 AS DOUBLE) AS a0 FROM s WHERE variable_id = 5",
-    "commit_metrics": """
-WITH d AS (SELECT * FROM checkpoint_rows WHERE variable_id = 1 AND work_id <> -1),
-a AS (SELECT key, arg_max(weights, work_id) AS w FROM d WHERE work_id < 300 GROUP BY key),
-b AS (SELECT key, arg_max(weights, work_id) AS w FROM d WHERE work_id < 500 GROUP BY key)
-SELECT COUNT(*) FILTER (a.key IS NULL) AS added, COUNT(*) FILTER (a.w <> b.w) AS changed, COUNT(*) FILTER (a.w = b.w) AS unchanged FROM b LEFT JOIN a USING (key)""",
     "optimizer_change_all": _NEWEST + "SELECT variable_id, key, ROUND(weights[1], 6) AS w0, CAST(0 AS DOUBLE) AS a0 FROM s",
     "commit_metrics_all": """
 WITH d AS (SELECT * FROM checkpoint_rows WHERE work_id <> -1),

@@ -25,6 +25,7 @@ import json
 import time
 import uuid
 from collections.abc import Iterator
+from math import gcd
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -354,25 +355,31 @@ def upsert(state: DataFrame, rows: DataFrame) -> DataFrame:
 # ---- dump, load, reshard ---------------------------------------------------------------------
 
 
-def dump(state: DataFrame, path: str, variable_id: int, shard_num: int, include_optimizer: bool = True) -> None:
-    """Rows by shard with their local index, as ``variable_id=<id>/shard=<s>``; a ``null://`` path computes and keeps nothing."""
+def dump(state: DataFrame, path: str, variable_id: int | None, shard_num: int, include_optimizer: bool = True) -> None:
+    """Rows by shard with their local index, as ``variable_id=<id>/shard=<s>``; a ``null://`` path computes and keeps nothing.
+
+    With None the rows carry their ``variable_id``: all variables of one shape in one write.
+    """
     rows = state if include_optimizer else state.drop("slots")
     key = F.col("key")
-    out = rows.withColumn("shard", shard_of(key, shard_num)).withColumn("local", local_of(key, shard_num)).withColumn("shard_num", F.lit(shard_num)).withColumn("variable_id", F.lit(variable_id)).drop("key")
+    out = rows.withColumn("shard", shard_of(key, shard_num)).withColumn("local", local_of(key, shard_num)).withColumn("shard_num", F.lit(shard_num)).drop("key")
+    out = out.repartition("variable_id", "shard") if variable_id is None else by_shard(out.withColumn("variable_id", F.lit(variable_id)), shard_num)
     if path.startswith("null:"):
-        by_shard(out, shard_num).write.format("noop").mode("overwrite").save()
+        out.write.format("noop").mode("overwrite").save()
         return
-    by_shard(out, shard_num).write.mode("overwrite").partitionBy("variable_id", "shard").parquet(path)
+    out.write.mode("overwrite").partitionBy("variable_id", "shard").parquet(path)
 
 
-def load(spark: SparkSession, path: str, variable_id: int, shards: list[int] | None = None) -> DataFrame:
-    """A dumped variable with global keys, whatever the number of shards it was dumped with."""
-    rows = spark.read.parquet(path).where(F.col("variable_id") == variable_id)
+def load(spark: SparkSession, path: str, variable_id: int | None, shards: list[int] | None = None) -> DataFrame:
+    """A dumped variable with global keys, whatever the number of shards it was dumped with; with None all, with their ``variable_id``."""
+    rows = spark.read.parquet(path)
+    if variable_id is not None:
+        rows = rows.where(F.col("variable_id") == variable_id).drop("variable_id")
     if shards is not None:
         rows = rows.where(F.col("shard").isin(shards))  # prunes folders
     n = F.col("shard_num").cast("bigint")
     keyed = rows.withColumn("key", F.col("local") * n + F.col("shard").cast("bigint"))
-    return keyed.drop("local", "shard_num", "variable_id", "shard")
+    return keyed.drop("local", "shard_num", "shard")
 
 
 def reshard(state: DataFrame, shard_num: int) -> DataFrame:
@@ -380,16 +387,17 @@ def reshard(state: DataFrame, shard_num: int) -> DataFrame:
     return by_shard(state.withColumn("shard", shard_of(F.col("key"), shard_num)), shard_num)
 
 
-def restore_local(spark: SparkSession, path: str, variable_id: int, shard_num: int, local: list[int]) -> DataFrame:
+def restore_local(spark: SparkSession, path: str, variable_id: int | None, shard_num: int, local: list[int]) -> DataFrame:
     """What a replaced server reads back: keys of its shards, without optimizer slots.
 
     A dump of the same shard count is read in those folders only; of another, shard ``s`` of ``n``
     holds keys of shard ``l`` of ``shard_num`` only where both leave the same rest by their
     greatest common divisor, and only such folders are read.
     """
-    from math import gcd
-
-    one = spark.read.parquet(path).where(F.col("variable_id") == variable_id).select("shard_num").first()
+    dumped = spark.read.parquet(path)
+    if variable_id is not None:
+        dumped = dumped.where(F.col("variable_id") == variable_id)
+    one = dumped.select("shard_num").first()  # one dump has one shard count
     if one is None:
         return load(spark, path, variable_id).drop("slots")
     n, g = one[0], gcd(one[0], shard_num)
