@@ -17,12 +17,12 @@ def empty_state(spark, opt_config: dict, datatype: str = "double") -> DataFrame:
     return spark.createDataFrame([], f"key bigint, weights array<{datatype}>, slots {slot_schema(optimizer(opt_config))}")
 
 
-def apply_gradients(state: DataFrame, reduced: DataFrame, opt_config: dict, init_config: dict, dim: int, pulled: DataFrame | None = None, touched_only: bool = False) -> DataFrame:
+def apply_gradients(state: DataFrame, reduced: DataFrame, opt_config: dict, init_config: dict, dim: int, pulled: DataFrame | None = None, touched_only: bool = False, also: Column | None = None) -> DataFrame:
     """The next state: one update per key with a gradient, new rows for pulled keys without one.
 
     One outer join on the key; both sides hold a key once, so no key can be hot. Keys with
-    neither gradient nor pull pass through, or are left out with ``touched_only``. Weights are
-    computed in double and cast to the state's element type once.
+    neither gradient nor pull pass through, or are left out with ``touched_only``, but for those
+    whose ``key`` meets ``also``. Weights are computed in double and cast to the state's element type once.
     """
     opt = optimizer(opt_config)
     touched = reduced.select("key", "grad", "cnt")
@@ -30,7 +30,9 @@ def apply_gradients(state: DataFrame, reduced: DataFrame, opt_config: dict, init
         keys = pulled.select("key").where("key is not null").distinct()
         touched = keys.join(touched, "key", "full_outer").select("key", "grad", "cnt")
     t = touched.select(F.col("key").alias("__key"), "grad", "cnt")
-    joined = state.join(t, F.col("key") == F.col("__key"), "right_outer" if touched_only else "full_outer").withColumn("key", F.coalesce("key", "__key"))
+    joined = state.join(t, F.col("key") == F.col("__key"), "right_outer" if touched_only and also is None else "full_outer").withColumn("key", F.coalesce("key", "__key"))
+    if touched_only and also is not None:
+        joined = joined.where(F.col("__key").isNotNull() | also)
     w = F.coalesce(F.col("weights").cast("array<double>"), initializer(init_config).vector(F.col("key"), dim))
     s = F.coalesce("slots", fresh_slots(opt, dim))
     based = joined.select("key", w.alias("w"), s.alias("s"), "grad", "cnt")

@@ -6,7 +6,7 @@
 A commit writes the rows it changed, and nothing else: of each shard the manifest lists a base
 folder and the folders of later changes. A read takes the newest row of a key among the
 changes, which are few, and the base rows of all other keys. A shard whose changes have grown
-to a share of its base, or to many folders, is compacted by the commit that finds it so.
+to a share of its base, or to many folders, is written anew by the commit that finds it so.
 
 A commit becomes visible when its manifest is renamed to the next version, which fails if
 that version is there: of two writers that started from one version the second is refused,
@@ -264,15 +264,23 @@ class Store:
             if name.startswith("v=") and name not in kept and version_of(name) <= version and age >= self.grace_seconds:
                 self.files.delete(self.storage, name)
 
-    def _put(self, manifest: dict, variable_id: int, rows: DataFrame) -> list[str]:
-        """Writes changed rows, each key once, into ``manifest``; the folders written."""
+    def _due(self, held: list, more: int) -> bool:
+        """Whether a shard is to be written anew when ``more`` rows of it change."""
+        changed = sum(n for _, n in held[1:]) + more
+        return bool(held) and (len(held) >= MAX_CHANGES or should_persist(changed, held[0][1], 0, self.compact_share))
+
+    def _put(self, manifest: dict, variable_id: int, rows: DataFrame, anew: set[str] = frozenset()) -> list[str]:
+        """Writes changed rows, each key once, into ``manifest``; the folders written.
+
+        Of shards in ``anew`` the rows are all there are.
+        """
         version = manifest["version"] + 1
         folder = f"v={version}-{uuid.uuid4().hex[:8]}"
         v = self.variables[variable_id]
         state = manifest["variables"].setdefault(str(variable_id), {"shards": {}, "plain": []})
         state["optimizer"] = v.optimizer
         for s, n in self._write(folder, variable_id, rows).items():
-            state["shards"].setdefault(s, []).append([folder, n])
+            state["shards"][s] = [*([] if s in anew else state["shards"].get(s, [])), [folder, n]]
         used = {f for held in state["shards"].values() for f, _ in held}
         state["plain"] = [f for f in state["plain"] if f in used]
         due = {s: held for s, held in state["shards"].items() if len(held) > 1 and (len(held) > MAX_CHANGES or should_persist(sum(n for _, n in held[1:]), held[0][1], 0, self.compact_share))}
@@ -331,9 +339,13 @@ class Store:
             grads = cut(check_keys(grads, "key", v.meta))
             keys = cut(check_keys(keys.select("key").where("key is not null"), "key", v.meta).distinct()) if keys is not None else None
             touched = grads.select("key") if keys is None else grads.select("key").unionByName(keys)
-            shards = [r[0] for r in touched.select(shard_of(F.col("key"), self.shard_num)).distinct().collect()]  # at most one per shard
-            state = self._rows(i, before.get(str(i)), shards)
-            folders += self._put(m, i, apply_gradients(state, grads, v.optimizer, v.initializer, v.meta.embedding_dim, keys, touched_only=True))
+            counts = touched.groupBy(shard_of(F.col("key"), self.shard_num).alias("s")).count().collect()  # one row per shard
+            held = before.get(str(i), {"shards": {}})["shards"]
+            # shards of which many rows change are written anew at once, not as changes first
+            anew = {str(r["s"]) for r in counts if self._due(held.get(str(r["s"]), []), r["count"])}
+            state = self._rows(i, before.get(str(i)), [r["s"] for r in counts])
+            whole = shard_of(F.col("key"), self.shard_num).isin([int(s) for s in anew]) if anew else None
+            folders += self._put(m, i, apply_gradients(state, grads, v.optimizer, v.initializer, v.meta.embedding_dim, keys, touched_only=True, also=whole), anew)
         self._commit(m, folders)
         return True
 
