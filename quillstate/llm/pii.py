@@ -26,7 +26,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import accumulate
 from math import inf
@@ -67,8 +67,8 @@ _CUES = frozenset(CUES)
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+|[^\w\s]|_")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _MAILS = [
-    re.compile(r"(?<![\w.+%-])[\w.+%-]+(?:[@＠]|[ ]?[(\[{<][ ]?(?:at|AT|@)[ ]?[)\]}>][ ]?)[\w-]+(?:(?:\.|[ ]?[(\[{][ ]?(?:dot|DOT)[ ]?[)\]}][ ]?|[ ](?:dot|DOT)[ ])[\w-]+)+"),
-    re.compile(r"(?<![\w.+%-])(?=([\w.+%-]+[ ](?:at|AT)[ ][\w-]+(?:(?:\.|[ ]?[(\[{][ ]?(?:dot|DOT)[ ]?[)\]}][ ]?|[ ](?:dot|DOT)[ ])[\w-]+)+))"),
+    re.compile(r"(?<![\w.+%-])[\w.+%-]++(?:[@＠]|[ ]?[(\[{<][ ]?(?:at|AT|@)[ ]?[)\]}>][ ]?)[\w-]+(?:(?:\.|[ ]?[(\[{][ ]?(?:dot|DOT)[ ]?[)\]}][ ]?|[ ](?:dot|DOT)[ ])[\w-]+)+"),
+    re.compile(r"(?<![\w.+%-])(?=([\w.+%-]++[ ](?:at|AT)[ ][\w-]+(?:(?:\.|[ ]?[(\[{][ ]?(?:dot|DOT)[ ]?[)\]}][ ]?|[ ](?:dot|DOT)[ ])[\w-]+)+))"),
 ]
 # every repetition below has one way to match, so that no text makes a pattern try twice
 _DIGITS = re.compile(r"(?<![\w.])(?:[+＋]|\(\+?)?(?:[A-Z]{1,2}[ -]?)?\d(?:(?:[ \t]|[ \t]?[-./()][ \t]?)?\d){5,24}(?:-?[A-Z]\b|[ ][A-Z]\b)?(?!\w)")
@@ -81,6 +81,8 @@ _NAME = r"[^\W\d_]++(?:['’][^\W\d_]++)*+\.?"
 _NAME_WORD = re.compile(_NAME)
 _NEXT = rf"(?:(?:[ \u00a0\u3000]|-|,[ ]|[ ]-[ ]){_NAME})"
 _RUN, _LONG_RUN = re.compile(rf"(?<![^\W\d_]){_NAME}{_NEXT}*+"), re.compile(rf"(?<![^\W\d_]){_NAME}{_NEXT}++")
+#: ``_LONG_RUN`` as plain ASCII needs it.
+_ASCII_RUN = re.compile(r"(?<![A-Za-z])[A-Za-z]++(?:'[A-Za-z]++)*+\.?(?:(?: |-|, | - )[A-Za-z]++(?:'[A-Za-z]++)*+\.?)++")
 _CJK_NAME = re.compile(r"[\u4e00-\u9fff々]{1,4}[ \u3000]?[\u4e00-\u9fff\u3040-\u309f々]{1,5}")
 # what every form of a kind must hold; only lines without it are spared the forms
 _CJK = re.compile(r"[\u4e00-\u9fff]")
@@ -90,7 +92,6 @@ _STREETS = {x for w in STREET_END | STREET_START for x in re.findall(r"[^\W\d_]+
 _TAILS = {w.rstrip(".")[-3:] for w in STREET_SUFFIX}
 _WIDE = str.maketrans("０１２３４５６７８９－＋＠", "0123456789-+@")
 _FOLDED = bytes(ord(chr(i).lower()) if i < 128 and chr(i).isalpha() else 32 for i in range(256))
-_ALIKE = str.maketrans("3456789３４５６７８９", "2222222２２２２２２２")
 _SHAPE = str.maketrans("0123456789０１２３４５６７８９－＋＠" + ascii_lowercase + ascii_uppercase, "d" * 20 + "-+@" + "a" * 26 + "A" * 26)
 
 
@@ -294,84 +295,105 @@ def _run_spans(classes: str, seps: tuple[str, ...], short: bool) -> list[tuple[i
     return out
 
 
-def _spans(line: str, words: list[str], gaz: Gazetteer, inner: Callable, run_spans: Callable) -> Iterator[tuple]:
-    """(start, end, kind, inside, first word, last word) of all spans worth scoring.
-
-    ``words`` are the line's runs of letters, case folded. ``inner(kind, feats, *key)`` values the features of a span's inside, ``run_spans`` those of a
-    run of words. The words are named for names only, where they are in no list.
+def _numbers(s: str, first: bool, inner: Callable) -> Iterator[tuple]:
+    """(start, end, kind, inside) of the spans of a run of digits, ``first`` if it starts its line."""
+    a, b = 0, len(s)
+    pieces = [(a, b, s, False)]
+    if s[0] == "(" and ")" not in s or s[0] == "+" and first:  # an opening bracket of the text, a mark of the line
+        a, s = a + 1, s[1:]
+        pieces.append((a, b, s, True))
+    lead = re.match(r"[A-Z]{1,2}[ -]?", s)
+    trail = re.search(r"[ ][A-Z]$", s)
+    if lead:
+        pieces.append((a + lead.end(), b, s[lead.end() :], True))
+    if trail:
+        pieces.append((a, b - 2, s[:-2], True))
+    for x, y, t, cut in pieces:
+        key = _digit_key(t, cut)
+        yield x, y, "phone", inner("phone", _digit_feats, *key)
+        yield x, y, "identity", inner("identity", _digit_feats, *key)
+
+
+def _names(text: str, gaz: Gazetteer, run_spans: Callable) -> Iterator[tuple]:
+    """(start, end, inside, first word, last word) of the names in a run of words; the words are named where they are in no list."""
+    class_of = gaz.classes.__getitem__
+    if text.isalpha():  # one word
+        k = class_of(text)
+        if k in "GFBgfb":
+            for *_, x in run_spans(k, (), False):
+                yield 0, len(text), x, "", ""
+        return
+    toks = None
+    if text.replace(" ", "").isalpha():  # single spaces, and nothing else
+        names = text.split(" ")
+        seps = (" ",) * (len(names) - 1)
+    else:
+        toks = []
+        for m in _NAME_WORD.finditer(text):
+            a, b, w = m.start(), m.end(), m[0]
+            # a full stop belongs to a word only after an initial or a short title
+            if w[-1] == "." and len(w) > 2 and w[:-1].casefold() not in TITLES:
+                b, w = b - 1, w[:-1]
+            if len(w) > 3 and w[-1] == "s" and w[-2] in "'’":
+                b, w = b - 2, w[:-2]
+            toks.append((a, b))
+        names = [text[a:b] for a, b in toks]
+        seps = tuple([text[x[1] : y[0]] for x, y in zip(toks, toks[1:])])
+    classes = "".join(map(class_of, names))
+    for i, j, x in run_spans(classes, seps, len(names) > 1 and (len(names[0]) < 3 or len(names[1]) < 3)):
+        if toks is None:
+            ends = list(accumulate(len(w) + 1 for w in names))
+            toks = [(e - len(w) - 1, e - 1) for e, w in zip(ends, names)]
+        yield toks[i][0], toks[j][1], x, names[i].casefold() if classes[i] in "UAl" else "", names[j].casefold() if classes[j] in "UAl" and j > i else ""
+
+
+def _named(text: str, gaz: Gazetteer) -> list[tuple[int, int, list[str]]]:
+    """(start, end, features) of the names in a run of words."""
+    return [(a, b, [*x, *[f"w0={first}"] * bool(first), *[f"wn={last}"] * bool(last)]) for a, b, x, first, last in _names(text, gaz, _run_spans)]
+
+
+def _spans(line: str, words: list[str], gaz: Gazetteer, inner: Callable, numbers: Callable, names: Callable) -> Iterator[tuple]:
+    """(start, end, kind, inside) of all spans worth scoring.
+
+    ``words`` are the line's runs of letters, case folded. ``inner(kind, feats, *key)`` values the features of a span's inside,
+    ``numbers(text, first)`` gives (start, end, kind, inside) of the spans of a run of digits, ``names(text, gaz)`` (start, end, inside) of
+    the names in a run of words.
     """
     plain = line.isascii()
     wide = line if plain else line.translate(_WIDE)
     coded = wide.encode()
     digits = len(coded) - len(coded.translate(None, b"0123456789"))
-    for m in (m for form in _MAILS for m in form.finditer(line)) if "@" in line or "at" in words or "＠" in line else ():
+    mails = [m for form in _MAILS for m in form.finditer(line)] if "@" in line or "at" in words or "＠" in line else ()
+    for m in mails:
         s = m[1] if m.re is _MAILS[1] else m[0]
         b = m.start() + len(s)
         if m.re is _MAILS[1] and not re.search(r"[ (\[{](?:dot|DOT)[ )\]}]", s):
             continue
-        yield m.start(), b, "email", inner("email", _email_feats, s, False), "", ""
+        yield m.start(), b, "email", inner("email", _email_feats, s, False)
         lead = re.match(r"[.%+-]+", s)
         if lead and lead.end() < len(s):
-            yield m.start() + lead.end(), b, "email", inner("email", _email_feats, s[lead.end() :], True), "", ""
+            yield m.start() + lead.end(), b, "email", inner("email", _email_feats, s[lead.end() :], True)
     for m in _DIGITS.finditer(wide) if digits > 5 else ():
-        a, b = m.span()
-        s = m[0]
-        pieces = [(a, b, s, False)]
-        if s[0] == "(" and ")" not in s or s[0] == "+" and a == 0:  # an opening bracket of the text, a mark of the line
-            a, s = a + 1, s[1:]
-            pieces.append((a, b, s, True))
-        lead = re.match(r"[A-Z]{1,2}[ -]?", s)
-        trail = re.search(r"[ ][A-Z]$", s)
-        if lead:
-            pieces.append((a + lead.end(), b, s[lead.end() :], True))
-        if trail:
-            pieces.append((a, b - 2, s[:-2], True))
-        for x, y, t, cut in pieces:
-            key = _digit_key(t, cut)
-            yield x, y, "phone", inner("phone", _digit_feats, *key), "", ""
-            yield x, y, "identity", inner("identity", _digit_feats, *key), "", ""
+        at = m.start()
+        for x, y, kind, v in numbers(m[0], at == 0):
+            yield at + x, at + y, kind, v
     if digits and (not plain or not _STREETS.isdisjoint(words) or not _TAILS.isdisjoint([w[-3:] for w in words])) and _HOUSE_BESIDE.search(line):
         for m in _FRONT.finditer(line):
             near, at = m[3].split(" "), m.start(3)
             for k in range(1, len(near) + 1):
                 end = at + sum(map(len, near[:k])) + k - 1
                 stop = near[k - 1].endswith(".")  # a full stop ends the text, not the street
-                yield m.start(), end - stop, "address", inner("address", _address_feats, (*near[: k - 1], near[k - 1].rstrip(".")), True, bool(m[2]), m[1], "", near[k] if k < len(near) else ""), "", ""
+                yield m.start(), end - stop, "address", inner("address", _address_feats, (*near[: k - 1], near[k - 1].rstrip(".")), True, bool(m[2]), m[1], "", near[k] if k < len(near) else "")
         for m in _BACK.finditer(line):
             near, at = m[1].split(" "), m.start(1)
             for k in range(len(near)):
-                yield at + sum(map(len, near[:k])) + k, m.end(), "address", inner("address", _address_feats, tuple(near[k:]), False, bool(m[2]), m[3], near[k - 1] if k else "", ""), "", ""
-    class_of = gaz.classes.__getitem__
-    for run in (_LONG_RUN if gaz.parts.isdisjoint(words) else _RUN).finditer(line):
-        text, at = run[0], run.start()
-        if text.isalpha():  # one word
-            k = class_of(text)
-            if k in "GFBgfb":
-                for *_, x in run_spans(k, (), False):
-                    yield at, run.end(), "name", x, "", ""
-            continue
-        toks = None
-        if text.replace(" ", "").isalpha():  # single spaces, and nothing else
-            names = text.split(" ")
-            seps = (" ",) * (len(names) - 1)
-        else:
-            toks = []
-            for m in _NAME_WORD.finditer(text):
-                a, b, w = m.start() + at, m.end() + at, m[0]
-                # a full stop belongs to a word only after an initial or a short title
-                if w[-1] == "." and len(w) > 2 and w[:-1].casefold() not in TITLES:
-                    b, w = b - 1, w[:-1]
-                if len(w) > 3 and w[-1] == "s" and w[-2] in "'’":
-                    b, w = b - 2, w[:-2]
-                toks.append((a, b))
-            names = [line[a:b] for a, b in toks]
-            seps = tuple([line[x[1] : y[0]] for x, y in zip(toks, toks[1:])])
-        classes = "".join(map(class_of, names))
-        for i, j, x in run_spans(classes, seps, len(names) > 1 and min(len(names[0]), len(names[1])) < 3):
-            if toks is None:
-                ends = list(accumulate(len(w) + 1 for w in names))
-                toks = [(at + e - len(w) - 1, at + e - 1) for e, w in zip(ends, names)]
-            yield toks[i][0], toks[j][1], "name", x, names[i].casefold() if classes[i] in "UAl" else "", names[j].casefold() if classes[j] in "UAl" and j > i else ""
+                yield at + sum(map(len, near[:k])) + k, m.end(), "address", inner("address", _address_feats, tuple(near[k:]), False, bool(m[2]), m[3], near[k - 1] if k else "", "")
+    for m in (_RUN if not gaz.parts.isdisjoint(words) else _ASCII_RUN if plain else _LONG_RUN).finditer(line):
+        spans = names(m[0], gaz)
+        if spans:
+            at = m.start()
+            for i, j, x in spans:
+                yield at + i, at + j, "name", x
     if not plain and _CJK.search(line):
         for m in _CJK_NAME.finditer(line):
             space = " " in m[0] or "\u3000" in m[0]
@@ -381,18 +403,18 @@ def _spans(line: str, words: list[str], gaz: Gazetteer, inner: Callable, run_spa
                     if s[0].isspace() or s[-1].isspace() or not "\u4e00" <= s[0] <= "\u9fff":
                         continue
                     sh = "".join(" " if x.isspace() else "k" if "\u4e00" <= x <= "\u9fff" or x == "々" else "h" for x in s)
-                    yield a, b, "name", inner("name", _cjk_feats, sh, a == m.start(), b == m.end(), space, b - a), "", ""
+                    yield a, b, "name", inner("name", _cjk_feats, sh, a == m.start(), b == m.end(), space, b - a)
 
 
 def candidates(line: str, gaz: Gazetteer) -> list[tuple[int, int, str, list[str]]]:
     """(start, end, kind, features) of all spans worth scoring, by start."""
     out, words = [], _words(line)
     shared = _line(words)
-    for a, b, kind, inside, first, last in _spans(line, words, gaz, lambda kind, feats, *key: feats(*key), _run_spans):
+    inner = lambda kind, feats, *key: feats(*key)
+    for a, b, kind, inside in _spans(line, words, gaz, inner, lambda text, first: _numbers(text, first, inner), _named):
         if inside:
             (l1, left), (r1, right) = _left(line[max(0, a - NEAR) : a]), _right(line[b : b + NEAR])
-            ends = [f"w0={first}"] * bool(first) + [f"wn={last}"] * bool(last)
-            out.append((a, b, kind, [f"{kind}:{f}" for f in [*shared, *inside, *ends, *left, *right, f"lr={l1}|{r1}"]]))
+            out.append((a, b, kind, [f"{kind}:{f}" for f in [*shared, *inside, *left, *right, f"lr={l1}|{r1}"]]))
     out.sort(key=lambda c: (c[0], c[1]))
     return out
 
@@ -407,9 +429,11 @@ class Model:
     """Weights by feature, and the scores of what lines share, kept for the lines to come.
 
     A span scored below ``floor[kind]`` is in no best segmentation: taking it out costs its
-    score and changes at most the transitions around it, whose largest gain is ``-floor``. A
-    span is left unscored on the right where even the largest right side could not lift it
-    to the floor, so decoding gives what scoring every candidate gives.
+    score and changes at most the transitions around it, whose largest gain is ``-floor``. The
+    candidates of a line have neighbours of the kinds proposed there only (``floors``), and none
+    where all of them share a place (``alone``). A span is left unscored on the right where even
+    the largest right side could not lift it to the floor, so decoding gives what scoring every
+    candidate gives.
     """
 
     def __init__(self, weights: dict[str, float]):
@@ -419,17 +443,26 @@ class Model:
             kind, _, rest = f.partition(":")
             self.by_kind[kind][rest] = v
         self.trans = {p: {k: weights.get(f"trans:{p}>{k}", 0.0) for k in KINDS} | {"$": 0.0} for p in ["", *KINDS]}
-        self.floor = {k: -max(self.trans[p][k] + self.trans[k][n] - self.trans[p][n] for p in self.trans for n in [*KINDS, "$"]) - 1e-9 for k in KINDS}
+        self.floor = self._floor(KINDS)
+        self.floors = lru_cache(1 << len(KINDS))(self._floor)
+        self.alone = {k: -self.trans[""][k] - 1e-9 for k in KINDS}
         self.most_in = {k: max(self.trans[p][k] for p in self.trans) for k in KINDS}
-        self.most_right = {k: self._most(k, "r1", "r2", "rw", "re", "rcue", "lr", "wn") for k in KINDS}
-        self.most_beside = {k: self.most_right[k] + self._most(k, "l1", "l2", "l3", "lw", "le", "lb", "lcue", "lspace", "w0") for k in KINDS}
+        self.most_right = {k: self._most(k, "r1", "r2", "rw", "re", "rcue", "lr") for k in KINDS}
+        self.most_beside = {k: self.most_right[k] + self._most(k, "l1", "l2", "l3", "lw", "le", "lb", "lcue", "lspace") for k in KINDS}
         self.most_around = {k: self.most_beside[k] + self._most(k, "bias", "head", "cue") for k in KINDS}
+        self.most_named = self.most_around["name"] + self._most("name", "w0", "wn")
         self.inner = lru_cache(CACHED)(self._inner)
         self.left = lru_cache(CACHED)(self._left)
         self.right = lru_cache(CACHED)(self._right)
         self.run_spans = lru_cache(CACHED)(self._run_spans)
+        self.numbers = lru_cache(CACHED)(self._numbers)
+        self.names = lru_cache(CACHED)(self._names)
         self.shared = lru_cache(CACHED)(self.part)
 
+    def _floor(self, kinds: Iterable[str]) -> dict[str, float]:
+        """By kind, the least score of a span in a best segmentation of spans of some kinds."""
+        return {k: -max(self.trans[p][k] + self.trans[k][n] - self.trans[p][n] for p in ["", *kinds] for n in [*kinds, "$"]) - 1e-9 for k in kinds}
+
     def _most(self, kind: str, *templates: str) -> float:
         """The largest score that features of some templates can have together."""
         sums, best = {"cue", "lcue", "rcue", "lb"}, dict.fromkeys(templates, 0.0)  # several of these can hold at once
@@ -473,37 +506,49 @@ class Model:
 
     def _run_spans(self, classes: str, seps: tuple[str, ...], short: bool) -> list[tuple[int, int, float]]:
         scored = [(i, j, self.part("name", feats)) for i, j, feats in _run_spans(classes, seps, short)]
-        return [(i, j, v) for i, j, v in scored if v + self.most_around["name"] >= self.floor["name"]]
+        return [(i, j, v) for i, j, v in scored if v + self.most_named >= self.floor["name"]]
 
     def _cached_run(self, classes: str, seps: tuple[str, ...], short: bool) -> list[tuple[int, int, float]]:
         return (self.run_spans if len(classes) < NEAR else self._run_spans)(classes, seps, short)
 
+    def _numbers(self, text: str, first: bool) -> tuple[tuple[int, int, str, float], ...]:
+        return tuple([x for x in _numbers(text, first, self.inner) if x[3] is not None])
+
+    def _names(self, text: str, gaz: Gazetteer) -> tuple[tuple[int, int, float], ...]:
+        w = self.by_kind["name"]
+        scored = [(a, b, v + w.get("w0=" + first, 0.0) + w.get("wn=" + last, 0.0)) for a, b, v, first, last in _names(text, gaz, self._cached_run)]
+        return tuple([x for x in scored if x[2] + self.most_around["name"] >= self.floor["name"]])
+
+    def _cached_names(self, text: str, gaz: Gazetteer) -> tuple[tuple[int, int, float], ...]:
+        return (self.names if len(text) < 4 * NEAR else self._names)(text, gaz)
+
     def spans(self, line: str, gaz: Gazetteer) -> list[tuple[int, int, str, float]]:
         """(start, end, kind, score) of the candidates that a best segmentation can hold, by start."""
-        out, shared, lines, words = [], {}, None, _words(line)
-        for a, b, kind, v, first, last in _spans(line, words, gaz, self.inner, self._cached_run):
-            if v is None:
-                continue
-            w = self.by_kind[kind]
-            if kind not in shared:
-                lines = lines or _line(words)
-                shared[kind] = self.shared(kind, lines)
-            v += shared[kind]
-            if v + self.most_beside[kind] < self.floor[kind]:
+        words = _words(line)
+        found = [c for c in _spans(line, words, gaz, self.inner, self.numbers, self._cached_names) if c[3] is not None]
+        if not found:
+            return found
+        if len(found) == 1 or max([c[0] for c in found]) < min([c[1] for c in found]):  # no two of them can stand together
+            floor = self.alone
+        else:
+            floor = self.floors(tuple(sorted({c[2] for c in found})))
+        out, last, lines = [], "", _line(words)
+        for a, b, kind, v in found:
+            if kind != last:
+                last, least, shared, beside, beyond = kind, floor[kind], self.shared(kind, lines), self.most_beside[kind], self.most_right[kind]
+            v += shared
+            if v + beside < least:
                 continue
-            l1, left = self.left(kind, line[max(0, a - NEAR) : a])
+            l1, left = self.left(kind, line[a - NEAR : a] if a > NEAR else line[:a])
             v += left
-            if first:
-                v += w.get("w0=" + first, 0.0)
-            if v + self.most_right[kind] < self.floor[kind]:
+            if v + beyond < least:
                 continue
             r1, right = self.right(kind, line[b : b + NEAR])
-            v += right + w.get(f"lr={l1}|{r1}", 0.0)
-            if last:
-                v += w.get("wn=" + last, 0.0)
-            if v >= self.floor[kind]:
+            v += right + self.by_kind[kind].get(f"lr={l1}|{r1}", 0.0)
+            if v >= least:
                 out.append((a, b, kind, v))
-        out.sort(key=lambda c: (c[0], c[1]))
+        if len(out) > 1:
+            out.sort(key=lambda c: (c[0], c[1]))
         return out
 
     def decode(self, line: str, gaz: Gazetteer) -> list[tuple[int, int, str]]:
@@ -511,7 +556,7 @@ class Model:
         return self.best(self.spans(line, gaz))
 
     def best(self, spans: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str]]:
-        if all(v + self.most_in[k] <= 0 for *_, k, v in spans):  # no span can add anything
+        if not spans or all(v + self.most_in[k] <= 0 for *_, k, v in spans):  # no span can add anything
             return []
         # state: kind of the last span ("" at the start of the line)
         ends: dict[int, list] = {}
@@ -536,23 +581,30 @@ class Model:
         return found[::-1]
 
 
-def decoder(model: Model, gaz: Gazetteer) -> Callable[[str], list[tuple[int, int, str]]]:
-    """``model.decode`` with one name list; lines that repeat but for their digits are decoded once.
+def _alike(text: str) -> str:
+    """A text with 2 for each digit from 2 to 9; no feature tells these apart."""
+    for digit in "3456789":
+        text = text.replace(digit, "2")
+    if not text.isascii():
+        for digit in "３４５６７８９":
+            text = text.replace(digit, "２")
+    return text
 
-    No feature tells the digits 2 to 9 apart.
-    """
-    whole = lambda line: model.decode(line, gaz)
+
+def decoder(model: Model, gaz: Gazetteer) -> Callable[[str], Sequence[tuple[int, int, str]]]:
+    """``model.decode`` with one name list; lines that repeat are decoded once."""
+    whole = lambda line: model.decode(line, gaz) or ()
     kept = lru_cache(2 * CACHED)(whole)
-    return lambda line: kept(line.translate(_ALIKE)) if len(line) < LONG else whole(line)
+    return lambda line: kept(line) if len(line) < LONG else whole(line)
 
 
-def spans_of(text: str, decode: Callable[[str], list[tuple[int, int, str]]]) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of all personal information in a text, in order."""
+def spans_of(text: str, decode: Callable[[str], Sequence[tuple[int, int, str]]]) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of all personal information in a text, in order. Lines that repeat but for their digits are the same line to ``decode``."""
     out, at = [], 0
-    for raw in text.split("\n"):
+    for raw in _alike(text).split("\n"):
         line = raw.rstrip("\r")
-        if line:
-            out += [(at + a, at + b, kind) for a, b, kind in decode(line)]
+        if line and (found := decode(line)):
+            out += [(at + a, at + b, kind) for a, b, kind in found]
         at += len(raw) + 1
     return out
 

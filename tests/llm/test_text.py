@@ -222,6 +222,35 @@ def test_no_line_is_passed_over():
             assert pii.spans_of(line, pii.decoder(model, gaz)) == model.best(every_span(model, line, gaz)), line
 
 
+def test_spans_that_no_best_segmentation_holds_are_left_out():
+    """A line's own candidates say which neighbours a span can have: what is alone is kept only if it is found."""
+    model, alone = pii.Model.load(), 0
+    for held in (False, True):
+        maker = pii_train.Maker(78, held)
+        for _ in range(1000):
+            line, _, gaz = maker.line()
+            every = every_span(model, line, gaz)
+            kept, best = model.spans(line, gaz), model.best(every)
+            assert set(best) <= {c[:3] for c in kept}, line
+            if every and max(c[0] for c in every) < min(c[1] for c in every):
+                alone += 1
+                assert bool(kept) == bool(best), line
+    assert alone > 100
+
+
+def test_runs_that_repeat_are_valued_once(monkeypatch):
+    """The insides of like runs of digits and of words are worked out once, whatever stands around them."""
+    seen, shape, words = [], pii._digit_key, pii._NAME_WORD
+    model, gaz = pii.Model.load(), pii.Gazetteer({"amara"}, {"quistgaard"})
+    monkeypatch.setattr(pii, "_digit_key", lambda s, cut: seen.append(s) or shape(s, cut))
+    monkeypatch.setattr(pii, "_NAME_WORD", type("", (), {"finditer": lambda self, s: seen.append(s) or words.finditer(s)})())
+    decode = pii.decoder(model, gaz)
+    for i in range(2, 8):
+        text = f"[{'x' * i}] Quistgaard, Amara: +44 1632 96012{i} {'y' * i}"
+        assert [(k, text[a:b]) for a, b, k in pii.spans_of(text, decode)] == [("name", "Quistgaard, Amara"), ("phone", f"+44 1632 96012{i}")]
+    assert len(seen) == 2, seen
+
+
 def test_the_operator_is_the_model_on_every_line(spark):
     """All documents of the test tables: bounds, caches and like digits change no result."""
     d = "/root/testdata/sf0.01"
